@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, kdtree, quality, suffixes, warc
+from . import bpe, decontaminate, jaccard, kdtree, quality, suffixes, warc
 from .shared import documents
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return warc.roundtrip(pages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -37,6 +44,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup(documents(spark, sf_dir), window=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), outputs="digests")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
@@ -44,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_kd_tree": op6_kd_tree,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
