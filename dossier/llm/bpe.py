@@ -233,7 +233,8 @@ def encode(docs: DataFrame, vocabulary: str, outputs: str = "ids") -> DataFrame:
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int")), lambda i: F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE)))
     long_rows = rows.where(is_long).select(F.sha2("text", 256).alias("hash"), "doc_id", "text")
-    numbered = long_rows.select(F.concat_ws(":", "hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.monotonically_increasing_id()).alias("row"), "doc_id", F.posexplode(cut).alias("piece", "text"))
+    named = long_rows.select(F.concat_ws(":", "hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.monotonically_increasing_id()).alias("row"), "doc_id", "text")
+    numbered = named.select("row", "doc_id", F.posexplode(cut).alias("piece", "text"))
     dealt = numbered.repartition(n, "row", "piece").mapInArrow(pieces, "row string, doc_id bigint, piece int, text string, strings array<string>")
     grouped = dealt.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("piece", "text", "strings"))).alias("parts"))
     return direct.unionByName(grouped.select("doc_id", "parts").mapInArrow(joined, schema))
