@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, kdtree, linecrf, pii, quality, suffixes, warc
+from . import attention, bpe, decontaminate, jaccard, kdtree, linecrf, pii, quality, suffixes, warc
 from .shared import documents
 
 
@@ -57,6 +57,13 @@ def _fold(folds: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(_fold(7) == 2, F.lit(False))
+    found = attention.score(docs, docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.coalesce(_fold(3) == 1, F.lit(False))
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_kd_tree": op6_kd_tree,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_bpe": op8_bpe,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
