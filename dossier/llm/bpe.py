@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,6 +169,12 @@ def _digests(entries: list[Entry]) -> tuple[int, str, str]:
     return sum([e[2] for e in filled]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest()
 
 
+def _id_lists(texts: list[str]) -> pa.Array:
+    lists = [np.fromstring(t, dtype=np.int32, sep=" ") if t else np.empty(0, np.int32) for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.empty(0, np.int32), *lists])))
+
+
 def _groups(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
     some, held = [], 0
     for text in column.to_pylist():
@@ -197,7 +204,7 @@ def encode(docs: DataFrame, vocabulary: str, outputs: str = "ids") -> DataFrame:
     def finish(ids, lists: list[list[Entry]]) -> pa.RecordBatch:
         if whole:
             packed = [[e for e in one if e[2]] for one in lists]
-            columns = [pa.array([sum(e[2] for e in one) for one in packed], pa.int64()), pa.array([[int(x) for e in one for x in e[0].split()] for one in packed], pa.list_(pa.int32())), pa.array([" ".join(e[1] for e in one) for one in packed], pa.string())]
+            columns = [pa.array([sum(e[2] for e in one) for one in packed], pa.int64()), _id_lists([" ".join([e[0] for e in one]) for one in packed]), pa.array([" ".join(e[1] for e in one) for one in packed], pa.string())]
         else:
             rows = [_digests(one) for one in lists]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
