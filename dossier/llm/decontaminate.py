@@ -119,14 +119,27 @@ def build_index(docs: DataFrame, terms: Broadcast) -> DataFrame:
     return store(docs.select("doc_id", "key", "text").mapInArrow(task, "term bigint, doc_id bigint, key bigint, positions array<int>"), "positional-index")
 
 
-def diagonals(index: DataFrame, items: Items, terms: np.ndarray, chosen: list) -> DataFrame:
-    """key, item, diagonal and the chosen offsets that agree on it, from the shifted posting lists."""
-    rows = [(int(np.searchsorted(terms, items.words[i][o])), i, o) for i, per in enumerate(chosen) for o in sorted({o for w in per for o in w})]
-    wanted = index.sparkSession.createDataFrame(rows, "term bigint, item int, offset int")
+def diagonals(index: DataFrame, items: Items, terms: np.ndarray, chosen: list, slop: int) -> DataFrame:
+    """key and found (item, need and its places) of the texts in which enough of an item's chosen terms agree.
+
+    Posting lists are shifted by each term's offset in its item and met by
+    (text, item): places are (diagonal, offset), at most the text's postings.
+    They are kept if as many as an exact window needs share a diagonal, or
+    RAREST of them with different offsets lie within slop diagonals.
+    """
+    spark = index.sparkSession
+    rows = [(int(np.searchsorted(terms, items.words[i][o])), i, o, min(len(w) for w in per)) for i, per in enumerate(chosen) for o in sorted({o for w in per for o in w})]
+    wanted = spark.createDataFrame(rows, "term bigint, item int, offset int, need int")
     if len(rows) <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    moved = index.where("term >= 0").join(wanted, "term").select("key", "item", "offset", F.explode(F.transform("positions", lambda p: p - F.col("offset"))).alias("diagonal"))
-    return moved.groupBy("key", "item", "diagonal").agg(F.collect_set("offset").alias("offsets"))
+    moved = index.where("term >= 0").join(wanted, "term").select("key", "item", "need", "offset", F.explode("positions").alias("at")).select("key", "item", "need", F.struct((F.col("at") - F.col("offset")).alias("d"), F.col("offset").alias("o")).alias("place"))
+    met = moved.groupBy("key", "item", "need").agg(F.sort_array(F.collect_set("place")).alias("s")).where(F.size("s") >= F.col("need"))
+    same = F.filter("s", lambda x, i: F.coalesce(F.get("s", i + F.col("need") - 1)["d"] == x["d"], F.lit(False)))
+    second, third = lambda i: F.get("s", i + 1), lambda i: F.get("s", i + 2)
+    close = F.filter("s", lambda x, i: F.coalesce((third(i)["d"] - x["d"] <= slop) & (x["o"] != second(i)["o"]) & (x["o"] != third(i)["o"]) & (second(i)["o"] != third(i)["o"]), F.lit(False)))
+    judged = met.withColumn("exact", F.array_distinct(F.transform(same, lambda x: x["d"]))).withColumn("near", F.size(close) > 0).where((F.size("exact") > 0) | F.col("near"))
+    places = F.filter("s", lambda x: F.array_contains("exact", x["d"]))
+    return judged.groupBy("key").agg(F.collect_list(F.struct("item", "near", places.alias("places"))).alias("found"))
 
 
 def _equal(words: np.ndarray, item: np.ndarray, diagonal: int, length: int) -> np.ndarray:
@@ -164,17 +177,14 @@ def search(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 3) -
 
 def _search(docs: DataFrame, items: Items, slop: int) -> tuple[DataFrame, DataFrame]:
     """The index, and key, hits, items and near of the texts that have any."""
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+    sc = docs.sparkSession.sparkContext
     terms = items.vocabulary
     counted = term_counts(docs, sc.broadcast(terms)) if len(terms) else np.zeros(0, np.int64)
     chosen = anchors(items, terms, counted)
     picked = np.unique(np.concatenate([np.empty(0, np.uint64), *[w[sorted({o for win in per for o in win})] for w, per in zip(items.words, chosen)]]))
     index = build_index(docs, sc.broadcast(picked))
-    grouped = diagonals(index, items, picked, chosen)
+    by_text = store(diagonals(index, items, picked, chosen, slop), "diagonals")
     shared = sc.broadcast((items, chosen))
-    needs = spark.createDataFrame([(i, min(len(w) for w in per)) for i, per in enumerate(chosen)], "item int, need int")
-    close = grouped.join(F.broadcast(needs) if len(chosen) <= BROADCAST_ROWS else needs, "item").where(F.size("offsets") >= F.col("need"))
-    by_text = store(close.groupBy("key").agg(F.collect_list(F.struct("item", "diagonal", "offsets")).alias("found")).join(diagonal_groups(grouped, slop), "key", "full"), "diagonals")
     member = Membership(by_text, "key", 20)
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,31 +194,27 @@ def _search(docs: DataFrame, items: Items, slop: int) -> tuple[DataFrame, DataFr
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, windows = shared.value
         for batch in batches:
-            out, found, nearby = [], batch.column("found").to_pylist(), batch.column("near").to_pylist()
+            out, found = [], batch.column("found").to_pylist()
             for block in blocks(batch.column("text"), NOT_ALNUM, True):
                 for r in range(block.rows):
                     words, hits, names = block.hash[block.words[r] : block.words[r + 1]], [np.empty(0, np.int64)], set()
-                    for f in found[block.first + r] or ():
-                        i, have = f["item"], set(f["offsets"])
-                        if any(have.issuperset(w) for w in windows[i]):
-                            same = _equal(words, own.words[i], f["diagonal"], own.length(i))
-                            if len(same):
-                                hits.append(same + f["diagonal"])
-                                names.add(own.ids[i])
-                    out.append((np.unique(np.concatenate(hits)).astype(np.int32), sorted(names), sorted({own.ids[i] for i in nearby[block.first + r] or ()})))
+                    for f in found[block.first + r]:
+                        i, agree = f["item"], {}
+                        for p in f["places"]:
+                            agree.setdefault(p["d"], set()).add(p["o"])
+                        for d, have in agree.items():
+                            if any(have.issuperset(w) for w in windows[i]):
+                                same = _equal(words, own.words[i], d, own.length(i))
+                                if len(same):
+                                    hits.append(same + d)
+                                    names.add(own.ids[i])
+                    close_by = sorted({own.ids[f["item"]] for f in found[block.first + r] if f["near"]})
+                    out.append((np.unique(np.concatenate(hits)).astype(np.int32), sorted(names), close_by))
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([o[0] for o in out], pa.list_(pa.int32())), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["key", "hits", "items", "near"])
 
     texts = docs.select("key", "text").mapInArrow(possible, "key bigint, text string").dropDuplicates(["key"]).join(by_text, "key")
-    return index, store(texts.select("key", "text", "found", "near").mapInArrow(task, "key bigint, hits array<int>, items array<bigint>, near array<bigint>"), "phrase-hits")
-
-
-def diagonal_groups(grouped: DataFrame, slop: int) -> DataFrame:
-    """key and near: the items of which RAREST chosen offsets lie within slop words of one diagonal."""
-    width = 2 * slop + 1
-    banded = grouped.select("key", "item", F.explode(F.array(F.floor(F.col("diagonal") / width), F.floor((F.col("diagonal") + slop) / width) + (1 << 40))).alias("band"), "offsets")
-    met = banded.groupBy("key", "item", "band").agg(F.size(F.array_distinct(F.flatten(F.collect_list("offsets")))).alias("n")).where(F.col("n") >= RAREST)
-    return met.groupBy("key").agg(F.collect_set("item").alias("near"))
+    return index, store(texts.select("key", "text", "found").mapInArrow(task, "key bigint, hits array<int>, items array<bigint>, near array<bigint>"), "phrase-hits")
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
