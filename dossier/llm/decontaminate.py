@@ -63,6 +63,8 @@ def load_items(items: DataFrame, window: int) -> Items:
 
 def _find(words: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of words that are terms (a sorted array), and which."""
+    if not len(terms):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     at = np.searchsorted(terms, words)
     at[at == len(terms)] = 0
     here = np.flatnonzero(terms[at] == words)

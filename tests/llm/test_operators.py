@@ -1,0 +1,264 @@
+"""The ten operators on small tables, against plain restatements, with nulls, ties, repeats, empty tables and extra columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from dossier.llm import attention, bpe, decontaminate, jaccard, kdtree, linecrf, pii, quality, suffixes, warc
+from dossier.llm.queries import vocabulary
+
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, token string, row bigint"
+
+
+def sample(n=60, seed=5):
+    """Texts with copies, near copies, shared passages, long and odd ones; ids are not in order."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice(["ab", "ka", "the", "of", "Ré", "zu"]) for _ in range(r.randint(1, 4))) for _ in range(400)]
+    passage = [r.choice(vocabulary) for _ in range(60)]
+    texts = []
+    for i in range(n):
+        words = [r.choice(vocabulary) for _ in range(r.choice([3, 40, 120, 300]))]
+        if i % 5 == 1:
+            words[10:10] = passage[r.randint(0, 20) :]
+        if i % 6 == 2 and texts:
+            words = (texts[-1] or "").split() or words
+            words[r.randrange(len(words))] = "changed"
+        texts.append(" ".join(words[:50]) + "\n" + "\t".join(words[50:]))
+        if i % 9 == 0:
+            texts.append(texts[-1])
+    texts += [None, "", " \n\t ", "one", "x" * 5000, "one", " ".join(passage * 30)]
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    return list(zip(ids, texts))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = sample()
+    rows.append(rows[3])  # a repeated row
+    frame = spark.createDataFrame([(i, t, "en" if i % 3 else None, "s", 1, "clash", 9) for i, t in rows], SCHEMA).repartition(3).persist()
+    yield rows, frame
+    frame.unpersist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_jaccard_components(docs, empty):
+    rows, frame = docs
+    sets = {}
+    for i, t in rows:
+        w = WORDS.findall((t or "").translate(FOLD))
+        sets[i] = frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset()
+    component = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    component[a] = component[b] = min(component[a], component[b])
+    got = jaccard.join(frame, 4, 85).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(sets[i]), component[i]) for i in sets}
+    assert jaccard.join(empty).count() == 0
+
+
+def test_jaccard_blocks(docs, monkeypatch):
+    rows, frame = docs
+    expected = {(r.doc_id, r.component_id) for r in jaccard.join(frame, 4, 85).collect()}
+    monkeypatch.setattr(jaccard, "SHORT_LIST", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    monkeypatch.setattr(jaccard, "CENTRE_ROUNDS", 1)
+    assert {(r.doc_id, r.component_id) for r in jaccard.join(frame, 4, 85).collect()} == expected
+
+
+def test_decontamination(docs, empty, spark):
+    rows, frame = docs
+    split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    long_ = next(t for i, t in rows if t and len(t.split()) > 200).split()
+    items = [(1, " ".join(long_[20:45])), (2, "ONE"), (3, None), (4, ""), (10, "never, ever seen"), (5, " ".join(long_[20:32]))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    windows = defaultdict(set)
+    for i, t in items:
+        w = split.findall((t or "").translate(FOLD))
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[k : k + n])].add(i)
+    expected = set()
+    for i, t in rows:
+        w, hit, found = split.findall((t or "").translate(FOLD)), set(), set()
+        for window, names in windows.items():
+            for k in range(len(w) - len(window) + 1):
+                if tuple(w[k : k + len(window)]) == window:
+                    hit.update(range(k, k + len(window)))
+                    found |= names
+        expected.add((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)))
+    got = decontaminate.report(frame, bench, 10).collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == expected
+    assert any(e[-1] for e in expected) and not all(e[-1] for e in expected)
+    assert decontaminate.report(empty, bench).count() == 0
+    assert decontaminate.report(frame, bench.where("false")).where("contaminated").count() == 0
+
+
+def test_substring_dedup(docs, empty):
+    rows, frame = docs
+    words, first = {i: WORDS.findall(t or "") for i, t in rows}, {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - 12):
+            first.setdefault(tuple(words[i][k : k + 13]), i)
+    expected = set()
+    for i, w in words.items():
+        gone = set()
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < i:
+                gone.update(range(k, k + 13))
+        expected.add((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    got = suffixes.dedup(frame, 13).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == expected
+    assert suffixes.dedup(empty, 13).count() == 0
+
+
+def test_warc(spark):
+    pages = [(1, "http://a", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c\r\nX: y", None), (4, "u", ""), (5, "v", "long " * 50_000), (None, "w", "x")]
+    frame = spark.createDataFrame([(*p, 7) for p in pages], "page_id bigint, url string, html string, length int")
+    got = {r.page_id: r for r in warc.roundtrip(frame).collect()}
+    for i, url, html in pages:
+        payload = (html or "").encode()
+        assert got[i].payload_bytes == len(payload) and got[i].payload_digest == warc.digest32(payload) and got[i].url == url
+    assert got[2].record_type == "revisit" and got[2].refers_to == 1 and got[4].refers_to == 3 and got[1].record_type == "response"
+    assert bytes(got[5].payload) == b"long " * 50_000
+    assert warc.roundtrip(frame.where("false")).count() == 0
+    assert [g[:2] for g in warc.ranges([(0, 10), (10, 5), (10**6, 3)])] == [(0, 15), (10**6, 10**6 + 3)]
+
+
+def test_pii_base_and_chain(spark):
+    text = "Call +1 (743) 555-3824 or (743) 555-3824; a.b@x.org, a.b [at] x [dot] org. 10.0.0.256; 10.0.0.25; 4111 1111 1111 1111"
+    base, spans = pii.find(text)
+    named = [(pii.KINDS[k], text[s:e]) for k, s, e in base]
+    assert named == [("email", "a.b@x.org"), ("ip", "10.0.0.25"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (743) 555-3824")]
+    added = {text[s:e] for k, s, e in set(spans) - set(base)}
+    assert added == {"(743) 555-3824", "a.b [at] x [dot] org"}
+    assert pii.find("the (743) 555-3824 alone")[1] == [] and pii.find(None) == ([], [])
+    frame = spark.createDataFrame([(1, text, 5), (2, None, None), (3, "", 0)], "doc_id bigint, text string, n_chars bigint")
+    got = {r.doc_id: r for r in pii.redact(frame).collect()}
+    assert "555" not in got[1].text and got[1].n_chars == len(got[1].text) and got[2].text is None
+    assert pii.scan(frame).count() == 3 and pii.scan(frame.where("false")).count() == 0
+
+
+def test_quality_counts_and_verdict(docs, empty, spark):
+    rows, frame = docs
+    for r in quality.assess(frame).collect():
+        text = next(t for i, t in rows if i == r.doc_id) or ""
+        w = WORDS.findall(text)
+        grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        twice = {g for g, n in Counter(grams).items() if n > 1}
+        lines = [x for x in text.split("\n") if WORDS.search(x)]
+        repeated = len({k + j for k, g in enumerate(grams) if g in twice for j in range(3)})
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), repeated)
+        assert r.base_failed == (len(w) < 50 or 100 * repeated > 50 * len(w))
+    assert quality.assess(empty).count() == 0
+    clean = [(i, " ".join(w for k in range(75) for w in (random.Random(97 * i + k).choice(["the", "of", "and", "to", "in"]), "".join(random.Random(31 * i + k).choice("abcdefghij") for _ in range(6)))) + ".", "en") for i in range(40)]
+    noisy = [(99, " ".join(f"x{k}### $$|" for k in range(150)), "en")]
+    got = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame(clean + noisy, "doc_id bigint, text string, lang string")).select("doc_id", "kept").collect()}
+    assert not got[99] and sum(got[i] for i in range(40)) == sum(not r.base_failed for r in quality.assess(spark.createDataFrame(clean, "doc_id bigint, text string, lang string")).collect())
+
+
+def test_kd_tree(docs, empty):
+    rows, frame = docs
+    got = kdtree.shard(frame, leaves=4).collect()
+    assert len(got) == len(rows)
+    sizes, slots = Counter(), defaultdict(list)
+    for r in got:
+        text = (next(t for i, t in rows if i == r.doc_id) or "").encode()
+        assert r["size"] == len(text) + 1 and r.text_crc32 == zlib.crc32(text)
+        sizes[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(sizes) == {0, 1, 2, 3}
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in got)
+    assert kdtree.shard(empty, leaves=4).count() == 0
+
+
+def test_bpe_matches_the_library(docs, empty, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    own, rows = Tokenizer.from_file(path), docs[0]
+    monkeypatch.setattr(bpe, "PIECE", 700)
+    odd = [(1001, "x\x1cy \x85é İ ΑΣ <|endoftext|>don't　a" * 40), (1002, "re'sx1a!" * 900)]
+    frame = docs[1].unionByName(docs[1].sparkSession.createDataFrame([(i, t, "en", "s", 1, "c", 1) for i, t in odd], SCHEMA))
+    texts = dict(rows + odd)
+    got = bpe.encode(frame, path).collect()
+    assert len(got) == len(rows) + len(odd)
+    for r in got:
+        ids = own.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids, r.decoded) == (len(ids), ids, own.decode(ids, skip_special_tokens=False))
+    assert bpe.encode(empty, path, "digests").count() == 0
+
+
+def test_bpe_trees():
+    encoder = bpe.Encoder.get(vocabulary("word_bpe_49k.json"))
+    r = random.Random(1)
+    for letters in ("abcdefghij", "aab", "thinger", "a"):
+        word = "".join(r.choice(letters) for _ in range(r.randint(600, 3000)))
+        assert [t[2] for t in encoder.word_tree(word)] == encoder.tokenizer.encode(word, add_special_tokens=False).ids
+    text = "".join(r.choice("ab \n") for _ in range(2000))
+    assert bpe.join(text, 777, text[:777].split(), text[777:].split()) == text.split()
+
+
+@pytest.mark.parametrize("frequent", [8, 1 << 18])
+def test_lm_base_scores(docs, empty, monkeypatch, frequent):
+    rows, frame = docs
+    monkeypatch.setattr(attention, "FREQUENT", frequent)
+    monkeypatch.setattr(attention, "EPOCHS", 1)
+    training = frame.where("doc_id % 7 <> 2").dropDuplicates(["doc_id"])
+    tokens = {i: WORDS.findall((t or "").translate(FOLD)) + [None] for i, t in rows}
+    count = Counter(w for i, w_ in tokens.items() if i % 7 != 2 for w in w_)
+    n, v = sum(count.values()), len(count)
+    got = attention.score(frame, training).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        own = tokens[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(count[w] > 0 for w in own), n)
+        assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9)
+        assert -math.inf < r.score < 0
+    assert attention.score(empty, empty).count() == 0
+
+
+def test_attention_gradients():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    model = attention.Model.new(np.full(attention.CLASSES, 1 / attention.CLASSES))
+    x, y = r.integers(0, attention.ROWS, (3, attention.WIDTH)), r.integers(-1, attention.CLASSES, (3, attention.STRIDE))
+    model.p = {k: z.astype(np.float64) for k, z in model.p.items()}
+    loss, grads = model.step(x, y)
+    for name in ("q", "v", "o", "near", "b"):
+        at = tuple(0 for _ in model.p[name].shape)
+        model.p[name][at] += 1e-4
+        up = model.step(x, y)[0]
+        model.p[name][at] -= 2e-4
+        down = model.step(x, y)[0]
+        model.p[name][at] += 1e-4
+        assert math.isclose((up - down) / 2e-4, grads[name][at], rel_tol=0.05, abs_tol=1e-5)
+
+
+def test_line_crf(spark, empty):
+    r = random.Random(2)
+    good = lambda: "\n".join(" ".join(r.choice(["river", "stone", "The", "of", "walks"]) for _ in range(12)) + "." for _ in range(5))
+    bad = lambda: "\n".join("## $$ x " * 8 for _ in range(5))
+    rows = [(i, good() if i % 2 else bad(), i % 2) for i in range(80)] + [(900, None, 1), (901, "", 0)]
+    docs, labels = spark.createDataFrame([r_[:2] for r_ in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, y) for i, _, y in rows if i < 40], "doc_id bigint, quality int")
+    chain = linecrf.train(docs, labels)
+    got = {x.doc_id: x.score for x in linecrf.score(docs, chain).collect()}
+    assert all((got[i] >= 0.5) == bool(y) for i, _, y in rows if 40 <= i < 900) and 0 <= got[900] <= 1 and 0 <= got[901] <= 1
+    assert linecrf.score(docs, linecrf.train(docs, labels.where("false"))).where("score <> 0.5").where("doc_id < 900").count() == 0
+    assert linecrf.score(empty, chain).count() == 0
