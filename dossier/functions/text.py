@@ -39,7 +39,7 @@ def evidence_norm(s: Column) -> Column:
 
 def fragments(snippet: Column) -> Column:
     """The parts of a snippet between ellipses, without empty ones."""
-    return F.filter(F.transform(F.split(snippet, r"…+|\.{3,}"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(snippet, r"…+|\.{3,}"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def ocr_norm(s: Column) -> Column:
@@ -87,7 +87,7 @@ def posix(path: Column) -> Column:
 
 def split_csv(s: Column) -> Column:
     """Parts between ASCII or CJK commas, trimmed, none empty."""
-    return F.filter(F.transform(F.split(s, "[,，]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, "[,，]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def lexical_path(path: Column) -> Column:
@@ -106,7 +106,7 @@ def frontmatter_map(s: Column) -> Column:
     """Index dialect: key: value lines up to --- or the end; lines with a lead of space, tab, # or - are skipped; later keys win."""
     lines = F.split(s, r"\r?\n")
     body = F.slice(lines, 2, F.size(lines))
-    end = F.coalesce(F.nullif(F.array_position(F.transform(body, F.trim), F.lit("---")), F.lit(0)), F.size(body) + 1)
+    end = F.coalesce(F.nullif(F.array_position(F.transform(body, lambda x: F.trim(x)), F.lit("---")), F.lit(0)), F.size(body) + 1)
     used = F.filter(F.slice(body, 1, end.cast("int") - 1), lambda x: ~x.rlike(r"^[ \t#-]") & x.contains(":"))
     pairs = F.transform(used, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.regexp_replace(F.trim(F.substr(x, F.instr(x, ":") + 1)), r"^[\"']+|[\"']+$", "").alias("v")))
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
