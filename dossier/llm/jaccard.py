@@ -13,11 +13,13 @@ intersected before any pair is verified:
 3.  Pairs come from the postings of the rarity order, with position and
     length filters, and must share a prefix token under two further orders.
 
-Posting lists are never squared.  In each list the most central class is
-compared with the others; links join components, and what is left outside the
-centre's component is compared again.  Only classes still apart are paired in
-the end, so a group of near copies costs a few rows a member, and yet no link
-between different components is lost.
+Posting lists are never squared in rows.  In each list the most central class
+is compared with the others; links join components, and what is left outside
+the centre's component is compared again.  What is apart in the end is
+compared exactly: in short lists by pairs, in long ones by blocks of BLOCK
+classes, a task for two blocks, which returns a spanning forest of the links
+that it finds.  So a group of near copies costs a few rows a member, and no
+link between different components is lost.
 """
 
 from __future__ import annotations
@@ -37,7 +39,9 @@ from .words import WHITE, blocks, gram_sets, mix
 #: Fixed salts of the token orders.
 SALT_A, SALT_B, SALT_SET, SALT_SET2 = 0x51ED270B, 0x2545F491, 0x9E6C63D0, 0x68E31DA4
 #: Rounds in which lists are compared with their centres before what is left is paired.
-CENTRE_ROUNDS = 4
+CENTRE_ROUNDS = 3
+#: Lists of more classes are compared by blocks of BLOCK classes.
+SHORT_LIST, BLOCK, COLUMNS = 48, 1024, 2048
 
 
 class Spec:
@@ -175,13 +179,6 @@ def verify(pairs: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("own").alias(f"own{x}"), F.col("tokens").alias(f"t{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
-    def ordered_prefix(tokens: np.ndarray, n: int, own: int, salt: int) -> np.ndarray:
-        width = n - spec.least(n) + 1 - own
-        if width <= 0:
-            return tokens[:0]
-        scrambled = mix(tokens.view(np.uint64), salt)
-        return np.partition(scrambled, width - 1)[:width] if width < len(scrambled) else scrambled
-
     def task(batches):
         for batch in batches:
             columns = [batch.column(c) for c in ("a", "b", "na", "nb", "owna", "ownb", "ta", "tb")]
@@ -189,7 +186,7 @@ def verify(pairs: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
             good = np.zeros(len(a), bool)
             for i in range(len(a)):
                 x, y = columns[6][i].values.to_numpy(), columns[7][i].values.to_numpy()
-                if all(len(np.intersect1d(ordered_prefix(x, na[i], oa[i], s), ordered_prefix(y, nb[i], ob[i], s), True)) for s in (SALT_A, SALT_B)):
+                if all(len(np.intersect1d(_prefix(x, na[i], oa[i], spec, s), _prefix(y, nb[i], ob[i], spec, s), True)) for s in (SALT_A, SALT_B)):
                     both = len(np.intersect1d(x, y, True))
                     good[i] = 100 * both >= spec.percent * (na[i] + nb[i] - both)
             if good.any():
@@ -198,6 +195,89 @@ def verify(pairs: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
     return both.select("a", "b", "na", "nb", "owna", "ownb", "ta", "tb").mapInArrow(task, "a bigint, b bigint")
 
 
+def _prefix(tokens: np.ndarray, n: int, own: int, spec: Spec, salt: int) -> np.ndarray:
+    """The tokens of the prefix under a further order, in which a class's own tokens come first too."""
+    width = n - spec.least(n) + 1 - own
+    if width <= 0:
+        return tokens[:0]
+    scrambled = mix(tokens.view(np.uint64), salt)
+    return np.partition(scrambled, width - 1)[:width] if width < len(scrambled) else scrambled
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set on the left has in common with each on the right."""
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    values = [np.concatenate([np.empty(0, np.uint64), *[x.view(np.uint64) for x in side]]) for side in (left, right)]
+    shared = np.intersect1d(values[0], values[1])
+    out = np.zeros((len(left), len(right)), np.float32)
+    placed = []
+    for side, v in zip(sizes, values):
+        at = np.searchsorted(shared, v)
+        at[at == len(shared)] = 0
+        here = np.flatnonzero(shared[at] == v) if len(shared) else np.empty(0, np.int64)
+        placed.append((np.repeat(np.arange(len(side)), side)[here], at[here]))
+    for first in range(0, len(shared), COLUMNS):
+        part = []
+        for side, (row, column) in zip(sizes, placed):
+            some = (column >= first) & (column < first + COLUMNS)
+            m = np.zeros((len(side), min(COLUMNS, len(shared) - first)), np.float32)
+            m[row[some], column[some] - first] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) that keep the components of a boolean matrix of links."""
+    edges, rows, columns = [], np.ones(linked.shape[0], bool), np.ones(linked.shape[1], bool)
+    for start in range(len(rows)):
+        if not rows[start]:
+            continue
+        rows[start], queue = False, [(0, start)]
+        while queue:
+            side, i = queue.pop()
+            near = np.flatnonzero((linked[i] & columns) if side == 0 else (linked[:, i] & rows))
+            (columns if side == 0 else rows)[near] = False
+            edges += [(i, int(j)) if side == 0 else (int(j), i) for j in near]
+            queue += [(1 - side, int(j)) for j in near]
+    return edges
+
+
+def block_links(now: DataFrame, apart: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
+    """Links (a, b) of the classes apart in long lists with all classes of the list, found by blocks."""
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("token").orderBy("rep")) - 1) / BLOCK).cast("int"))
+
+    left, right = numbered(apart), numbered(now.join(apart.select("token").distinct(), "token", "left_semi"))
+    count = lambda rows, name: rows.groupBy("token").agg((F.max("block") + 1).alias(name))
+    sizes = count(left, "lefts").join(count(right, "rights"), "token")
+    spread = lambda rows, other, mine, theirs: rows.join(sizes, "token").select("token", "rep", "comp", F.col("block").alias(mine), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(theirs))
+    both = spread(left, "rights", "i", "j").withColumn("side", F.lit(0)).unionByName(spread(right, "lefts", "j", "i").withColumn("side", F.lit(1)))
+    full = both.join(classes.select("rep", "n", "own", "tokens"), "rep").select("token", "i", "j", "side", "rep", "comp", "n", "own", "tokens")
+
+    def task(group: pa.Table) -> pa.Table:
+        side = group["side"].to_numpy()
+        order = [np.flatnonzero(side == k) for k in (0, 1)]
+        rep, comp, n, own = (group[c].to_numpy() for c in ("rep", "comp", "n", "own"))
+        tokens = group["tokens"].combine_chunks()
+        sets = [[tokens[int(k)].values.to_numpy() for k in o] for o in order]
+        a, b = order
+        may = comp[a][:, None] != comp[b]
+        for salt in (SALT_A, SALT_B):
+            prefixes = [[_prefix(x, n[k], own[k], spec, salt) for x, k in zip(part, o)] for part, o in zip(sets, order)]
+            if may.any():
+                may &= overlaps(*prefixes) > 0
+        found = []
+        if may.any():
+            common = overlaps(*sets).round().astype(np.int64)
+            found = forest(may & (100 * common >= spec.percent * (n[a][:, None] + n[b] - common)))
+        x, y = rep[a[[e[0] for e in found]]], rep[b[[e[1] for e in found]]]
+        return pa.table({"a": pa.array(np.minimum(x, y).astype(np.int64)), "b": pa.array(np.maximum(x, y).astype(np.int64))})
+
+    return full.groupBy("token", "i", "j").applyInArrow(task, "a bigint, b bigint").distinct()
+
+
 def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
@@ -207,32 +287,30 @@ def links(classes: DataFrame, spec: Spec) -> DataFrame:
     posted = postings(classes, spec)
     spark = classes.sparkSession
     found = spark.createDataFrame([], "a bigint, b bigint")
-    labels = None
+    labels = spark.createDataFrame([], "node bigint, component bigint")
     for turn in range(CENTRE_ROUNDS + 1):
-        now = posted.withColumn("comp", F.col("rep")) if labels is None else posted.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        now = store(now, "jaccard-now")
+        now = store(posted.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "jaccard-now")
         # the centre: of the list's classes, that with the fewest tokens before this one
-        lists = now.groupBy("token").agg(F.min(F.struct("pos", "rep", "n", "comp")).alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", F.col("c.rep").alias("rep"), F.col("c.n").alias("n"), F.col("c.pos").alias("pos"), F.col("c.comp").alias("comp"))
-        open_ = now.alias("m").join(lists.alias("h"), "token")
-        outside = open_.where("m.comp <> h.comp")
+        centre = F.min(F.struct("pos", "rep", "n", "comp")).alias("c")
+        fields = ["token", F.col("c.rep").alias("rep"), F.col("c.n").alias("n"), F.col("c.pos").alias("pos"), F.col("c.comp").alias("comp")]
+        lists = now.groupBy("token").agg(centre, F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high").select(*fields, "size")
+        apart = now.alias("m").join(lists.alias("h"), "token").where("m.comp <> h.comp")
         if turn == 0:
-            pairs = _pairs(outside.where(_possible(spec, "m", "h")), "m.rep", "h.rep")
+            new = verify(store(_pairs(apart.where(_possible(spec, "m", "h")), "m.rep", "h.rep"), "jaccard-pairs"), classes, spec)
         else:
-            apart = store(outside.select("token", "m.rep", "m.n", "m.pos", "m.comp"), "jaccard-apart")
-            if turn < CENTRE_ROUNDS:  # the centre of those outside against the whole list
-                second = apart.groupBy("token").agg(F.min(F.struct("pos", "rep", "n", "comp")).alias("c")).select("token", F.col("c.rep").alias("rep"), F.col("c.n").alias("n"), F.col("c.pos").alias("pos"), F.col("c.comp").alias("comp"))
-            else:
-                second = apart
+            apart = store(apart.select("token", "m.rep", "m.n", "m.pos", "m.comp", "h.size"), "jaccard-apart")
+            last = turn == CENTRE_ROUNDS
+            # a further centre among those outside against the whole list; in the end all of them, in short lists by pairs
+            second = apart.where(F.col("size") <= SHORT_LIST) if last else apart.groupBy("token").agg(centre).select(*fields)
             pairs = _pairs(second.alias("s").join(now.alias("m"), "token").where("m.comp <> s.comp").where(_possible(spec, "m", "s")), "m.rep", "s.rep")
-        pairs = store(pairs, "jaccard-pairs")
-        if labels is not None and pairs.limit(1).count() == 0 and turn == CENTRE_ROUNDS:
-            break
-        new = store(verify(pairs, classes, spec), "jaccard-links")
-        if new.limit(1).count():
+            new = verify(store(pairs, "jaccard-pairs"), classes, spec)
+            if last:
+                new = new.unionByName(block_links(now, apart.where(F.col("size") > SHORT_LIST).drop("size"), classes, spec))
+        new = store(new, "jaccard-links")
+        if not new.isEmpty():
             found = store(found.union(new), "jaccard-found")
-            labels = components(found)
-        elif labels is None:
-            labels = spark.createDataFrame([], "node bigint, component bigint")
+            if turn < CENTRE_ROUNDS:
+                labels = components(found)
     return found
 
 
