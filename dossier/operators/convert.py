@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import ocr_norm
+from .matching import ratios
 
 # Extensions by route, and names that systems leave behind.
 NATIVE = ["docx", "xlsx", "pptx", "html", "htm", "csv", "json", "xml", "txt", "md", "epub"]
@@ -167,7 +167,7 @@ def disagreement(a: Column | str, b: Column | str) -> Column:
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([1 - difflib.SequenceMatcher(None, p or "", q or "", autojunk=False).ratio() if p or q else 0.0 for p, q in zip(x, y)])
+        return pd.Series([1 - r for r in ratios(zip(x, y))], dtype="float64")
 
     return run(a, b)
 

@@ -181,8 +181,7 @@ def ocr_normalize(spark, d):
 
 
 def disagreement_ratio(spark, d):
-    few = _pairs(spark, d).where(F.greatest(F.length("a"), F.length("b")) < 600)
-    return convert.cross_check(few).select("doc_id", "ratio", F.col("digits").cast("bigint").alias("digits"))
+    return convert.cross_check(_pairs(spark, d)).select("doc_id", "ratio", F.col("digits").cast("bigint").alias("digits"))
 
 
 def route_by_extension(spark, d):
