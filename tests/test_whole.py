@@ -26,3 +26,10 @@ def test_disagreement_of_all_pairs(spark, tmp_path):
     got = {r.doc_id: r.ratio for r in registry.QUERIES["disagreement_ratio"](spark, str(tmp_path)).collect()}
     norm = [t.replace(" ", "").replace("500,000", "500000") for t in texts]
     assert got == {i: round(1 - difflib.SequenceMatcher(None, norm[i], norm[i + 1], autojunk=False).ratio(), 4) for i in range(4)}
+
+
+def test_closures_of_all_orders(spark):
+    keys = {r.l_orderkey for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey").distinct().collect()}
+    assert max(keys) > 400
+    got = [tuple(r) for r in registry.QUERIES["closure_check"](spark, SF).collect()]
+    assert sorted(got) == sorted((k, "unparsable" if k % 5 == 0 else "mismatch") for k in keys if k % 3 == 0 or k % 5 == 0)
