@@ -3,6 +3,7 @@
 import difflib
 import random
 
+from dossier.llm import attention
 from dossier.operators import matching
 from dossier.plans import registry
 
@@ -33,3 +34,13 @@ def test_closures_of_all_orders(spark):
     assert max(keys) > 400
     got = [tuple(r) for r in registry.QUERIES["closure_check"](spark, SF).collect()]
     assert sorted(got) == sorted((k, "unparsable" if k % 5 == 0 else "mismatch") for k in keys if k % 3 == 0 or k % 5 == 0)
+
+
+def test_attention_learns_from_all_texts(spark, monkeypatch):
+    """From a text of over a million bytes, and with several shards from texts of all rounds."""
+    rows = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = attention.score(rows(["ab cd ef " * 20]), rows(["ab cd ef " * 120_000])).first()
+    assert got.score / got.n_tokens > -0.3
+    monkeypatch.setattr(attention, "SHARD_BYTES", 20_000)
+    got = attention.score(rows(["ab cd ef " * 20]), rows(["ab cd ef " * 200] * 60)).first()
+    assert got.score / got.n_tokens > -1
