@@ -33,22 +33,24 @@ def neighbors(edges: DataFrame, nodes: DataFrame, alias: DataFrame, name: str) -
     return edges.join(stem, "src").select(F.col("dst").alias("stem")).join(nodes, "stem")
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """One row with the smallest (node by node) of the shortest paths, and hops; no row if there is none.
 
-    Layers grow by a join a hop; a reached node keeps its smallest path.
+    Layers grow by a join a hop until the goal is in one or nothing new is; a
+    reached node keeps its smallest path.
     """
     spark = edges.sparkSession
     edges = materialise(edges)
     layer = seen = materialise(spark.createDataFrame([(start, [start])], "node string, path array<string>"))
-    for _ in range(most):
-        if start == goal:
-            break
+    hops, found = 0, start == goal
+    while not found:
         step = layer.join(edges, layer["node"] == edges["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         layer = materialise(step.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
         seen = seen.unionByName(layer)
-        if layer.isEmpty() or not layer.where(F.col("node") == goal).isEmpty():
-            break
+        found = layer.isEmpty() or not layer.where(F.col("node") == goal).isEmpty()
+        hops += 1
+        if hops % 16 == 0:
+            seen = materialise(seen)
     return seen.where(F.col("node") == goal).select(F.col("path"), (F.size("path") - 1).alias("hops"))
 
 

@@ -95,7 +95,7 @@ def reconcile_sources(spark, d):
 
 def _link_pages(spark, d):
     """A page a customer with links to a nation (dead ones among them) and, through an alias, to a region."""
-    c = table(spark, d, "customer").where("c_custkey <= 500")
+    c = table(spark, d, "customer")
     return c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("page"), F.concat(F.lit("see [[n"), F.col("c_nationkey") + F.col("c_custkey") % 4, F.lit("#x|nation]] and\n[[ Region "), F.col("c_custkey") % 7, F.lit(" ]] [[#self]]")).alias("text"))
 
 
@@ -105,7 +105,7 @@ def dead_links(spark, d):
 
 
 def _graph(spark, d):
-    c, n, r = table(spark, d, "customer").where("c_custkey <= 300"), table(spark, d, "nation"), table(spark, d, "region")
+    c, n, r = table(spark, d, "customer"), table(spark, d, "nation"), table(spark, d, "region")
     node = lambda df, p, k, kind, alias: df.select(F.concat(F.lit(p), F.col(k).cast("string")).alias("stem"), F.lit(kind).alias("page_type"), F.array(F.concat(F.lit(alias), F.col(k).cast("string"))).alias("aliases"))
     pages = node(c, "c", "c_custkey", "案件主体", "customer ").union(node(n, "n", "n_nationkey", "法律关系", "nation ")).union(node(r, "r", "r_regionkey", "法律事实", "region ")).withColumn("path", F.col("stem"))
     links = c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("stem"), F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("target"))

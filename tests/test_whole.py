@@ -4,7 +4,7 @@ import difflib
 import random
 
 from dossier.llm import attention
-from dossier.operators import matching
+from dossier.operators import graph, matching
 from dossier.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +44,20 @@ def test_attention_learns_from_all_texts(spark, monkeypatch):
     monkeypatch.setattr(attention, "SHARD_BYTES", 20_000)
     got = attention.score(rows(["ab cd ef " * 20]), rows(["ab cd ef " * 200] * 60)).first()
     assert got.score / got.n_tokens > -1
+
+
+def test_links_of_all_customers(spark, tmp_path):
+    """Customers above the old bounds of 300 and 500 have dead links and neighbours too."""
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    customers = [(k, 3 if k >= 598 else 24) for k in (1, 2, 400, 598, 600)]
+    spark.createDataFrame(customers, "c_custkey bigint, c_nationkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    expected = {(f"c{k}", f"n{n + k % 4}") for k, n in customers if n + k % 4 > 24} | {(f"c{k}", f"Region {k % 7}") for k, _ in customers if k % 7 > 4}
+    assert {(r.page, r.target) for r in run("dead_links")} == expected and any(page == "c600" for page, _ in expected)
+    assert {r.stem for r in run("graph_neighbors")} >= {"c598", "c600"}
+
+
+def test_paths_of_any_length(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(70)], "src string, dst string").coalesce(1)
+    assert graph.shortest_path(edges, "n0", "n70").first().hops == 70
