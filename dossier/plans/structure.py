@@ -80,10 +80,10 @@ def chunks_structured(spark, d):
 
 
 def hybrid_with_parents(spark, d):
-    """Chunks of the first 1000 lines' packs are what parents are looked up for: parent n of a source is its document n."""
+    """Documents are the chunks, four parents a source: a parent's text is that of its first document, whole."""
     docs = table(spark, d, "documents").select("source", F.col("doc_id").alias("ord"), "text", (F.col("doc_id") % 4).cast("int").alias("parent_ord"))
     docs = docs.withColumn("vector", F.array(F.length("text").cast("double"), F.lit(1.0), F.lit(0.0)))
-    parents = table(spark, d, "documents").groupBy("source", (F.col("doc_id") % 4).cast("int").alias("parent_ord")).agg(F.min_by(F.substring("text", 1, 40), "doc_id").alias("text")).where("parent_ord < 3")
+    parents = table(spark, d, "documents").groupBy("source", (F.col("doc_id") % 4).cast("int").alias("parent_ord")).agg(F.min_by("text", "doc_id").alias("text"))
     return retrieval.hybrid_search(docs, QUERY, FAKE, 20, parents=parents).select("source", "ord", "parent_ord", "parent_text")
 
 

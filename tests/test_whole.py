@@ -4,7 +4,7 @@ import difflib
 import random
 
 from dossier.llm import attention
-from dossier.operators import graph, matching
+from dossier.operators import graph, matching, retrieval
 from dossier.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +61,16 @@ def test_links_of_all_customers(spark, tmp_path):
 def test_paths_of_any_length(spark):
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(70)], "src string, dst string").coalesce(1)
     assert graph.shortest_path(edges, "n0", "n70").first().hops == 70
+
+
+def test_whole_parents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text").orderBy("doc_id").collect()
+    first = {}
+    for r in docs:
+        first.setdefault((r.source, r.doc_id % 4), r.text)
+    got = registry.QUERIES["hybrid_with_parents"](spark, SF).collect()
+    assert got and all(r.parent_text == first[r.source, r.parent_ord] for r in got)
+    assert {r.parent_ord for r in got} == {0, 1, 2, 3} and max(len(r.parent_text) for r in got) > 40
+    hits = spark.createDataFrame([("s", 1, 0), ("s", 2, 9)], "source string, ord int, parent_ord int")
+    parents = spark.createDataFrame([("s", 0, "x" * 100)], "source string, parent_ord int, text string")
+    assert {r.ord: r.parent_text for r in retrieval.attach_parents(hits, parents).collect()} == {1: "x" * 100, 2: None}
