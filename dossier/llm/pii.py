@@ -179,8 +179,10 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """The base spans and all spans of a text, ordered by kind and start."""
     text = text or ""
     base = sorted(base_spans(text))
-    if not base and not _digit.search(text) and "at)" not in text and "at]" not in text:
-        return base, base
+    if not base and not _digit.search(text):
+        lower = text.lower()
+        if "at)" not in lower and "at]" not in lower:
+            return base, base
     return base, sorted(base + crf(text, base))
 
 

@@ -3,7 +3,7 @@
 import difflib
 import random
 
-from dossier.llm import attention
+from dossier.llm import attention, decontaminate, pii
 from dossier.operators import graph, matching, retrieval
 from dossier.plans import registry
 
@@ -74,3 +74,10 @@ def test_whole_parents(spark):
     hits = spark.createDataFrame([("s", 1, 0), ("s", 2, 9)], "source string, ord int, parent_ord int")
     parents = spark.createDataFrame([("s", 0, "x" * 100)], "source string, parent_ord int, text string")
     assert {r.ord: r.parent_text for r in retrieval.attach_parents(hits, parents).collect()} == {1: "x" * 100, 2: None}
+
+
+def test_spelt_addresses_in_capitals(spark):
+    text = "Email: JOHN (AT) EXAMPLE (DOT) COM"
+    assert pii.find(text)[1] == pii.find(text.lower())[1] == [(0, 7, len(text))]
+    rows = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert pii.redact(rows).first().text == "Email: [EMAIL]" and pii.scan(rows).first().spans == f"email:7:{len(text)}"
