@@ -3,7 +3,10 @@
 import difflib
 import random
 
-from dossier.llm import attention, decontaminate, pii
+import pyarrow as pa
+
+from dossier.llm import attention, pii
+from dossier.llm.words import WHITE, blocks
 from dossier.operators import graph, matching, retrieval
 from dossier.plans import registry
 
@@ -81,3 +84,16 @@ def test_spelt_addresses_in_capitals(spark):
     assert pii.find(text)[1] == pii.find(text.lower())[1] == [(0, 7, len(text))]
     rows = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     assert pii.redact(rows).first().text == "Email: [EMAIL]" and pii.scan(rows).first().spans == f"email:7:{len(text)}"
+
+
+def test_pieces_spell_the_other_words(spark):
+    """Pieces of words in the table are not counted."""
+    letters = [chr(i) for i in range(0x21, 0x7F) if not chr(i).isupper()] + [chr(i) for i in range(0xA1, 0x100)]
+    rare = [a + b for a in letters for b in letters]
+    rows = spark.createDataFrame([(1, "often " * 5 + " ".join(rare))], "doc_id bigint, text string")
+    (often,) = [block.hash for block in blocks(pa.array(["often"]), WHITE, True)]
+    keys, n = attention.piece_counts(rows, often)
+    every, all_n = attention.piece_counts(rows, often[:0])
+    assert all_n.sum() - n.sum() == 15 and n[keys == attention.END].sum() == 1
+    pairs = [x.encode()[i : i + 2] + (b"." if i + 2 >= len(x.encode()) else b"") for x in rare for i in range(0, len(x.encode()), 2)]
+    assert len(keys) == len(set(pairs)) + 1 and n.sum() == len(pairs) + 1
