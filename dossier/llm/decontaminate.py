@@ -127,18 +127,19 @@ def diagonals(index: DataFrame, items: Items, terms: np.ndarray, chosen: list, s
     Posting lists are shifted by each term's offset in its item and met by
     (text, item): places are (diagonal, offset), at most the text's postings.
     They are kept if as many as an exact window needs share a diagonal, or
-    RAREST of them with different offsets lie within slop diagonals.
+    so many of them with different offsets lie within slop diagonals of a place.
     """
     spark = index.sparkSession
-    rows = [(int(np.searchsorted(terms, items.words[i][o])), i, o, min(len(w) for w in per)) for i, per in enumerate(chosen) for o in sorted({o for w in per for o in w})]
-    wanted = spark.createDataFrame(rows, "term bigint, item int, offset int, need int")
+    rows = [(int(np.searchsorted(terms, items.words[i][o])), i, o, min(len(w) for w in per), (slop + 1) * len({o for w in per for o in w})) for i, per in enumerate(chosen) for o in sorted({o for w in per for o in w})]
+    wanted = spark.createDataFrame(rows, "term bigint, item int, offset int, need int, reach int")
     if len(rows) <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    moved = index.where("term >= 0").join(wanted, "term").select("key", "item", "need", "offset", F.explode("positions").alias("at")).select("key", "item", "need", F.struct((F.col("at") - F.col("offset")).alias("d"), F.col("offset").alias("o")).alias("place"))
-    met = moved.groupBy("key", "item", "need").agg(F.sort_array(F.collect_set("place")).alias("s")).where(F.size("s") >= F.col("need"))
+    moved = index.where("term >= 0").join(wanted, "term").select("key", "item", "need", "reach", "offset", F.explode("positions").alias("at")).select("key", "item", "need", "reach", F.struct((F.col("at") - F.col("offset")).alias("d"), F.col("offset").alias("o")).alias("place"))
+    met = moved.groupBy("key", "item", "need", "reach").agg(F.sort_array(F.collect_set("place")).alias("s")).where(F.size("s") >= F.col("need"))
     same = F.filter("s", lambda x, i: F.coalesce(F.get("s", i + F.col("need") - 1)["d"] == x["d"], F.lit(False)))
-    second, third = lambda i: F.get("s", i + 1), lambda i: F.get("s", i + 2)
-    close = F.filter("s", lambda x, i: F.coalesce((third(i)["d"] - x["d"] <= slop) & (x["o"] != second(i)["o"]) & (x["o"] != third(i)["o"]) & (second(i)["o"] != third(i)["o"]), F.lit(False)))
+    # places are different, so those within slop of one are at most `reach` in a row
+    offsets = lambda x, i: F.array_distinct(F.transform(F.filter(F.slice("s", i + 1, F.col("reach")), lambda y: y["d"] <= x["d"] + slop), lambda y: y["o"]))
+    close = F.filter("s", lambda x, i: F.size(offsets(x, i)) >= F.col("need"))
     judged = met.withColumn("exact", F.array_distinct(F.transform(same, lambda x: x["d"]))).withColumn("near", F.size(close) > 0).where((F.size("exact") > 0) | F.col("near"))
     places = F.filter("s", lambda x: F.array_contains("exact", x["d"]))
     return judged.groupBy("key").agg(F.collect_list(F.struct("item", "near", places.alias("places"))).alias("found"))

@@ -5,7 +5,7 @@ import random
 
 import pyarrow as pa
 
-from dossier.llm import attention, pii
+from dossier.llm import attention, decontaminate, pii
 from dossier.llm.words import WHITE, blocks
 from dossier.operators import graph, matching, retrieval
 from dossier.plans import registry
@@ -97,3 +97,14 @@ def test_pieces_spell_the_other_words(spark):
     assert all_n.sum() - n.sum() == 15 and n[keys == attention.END].sum() == 1
     pairs = [x.encode()[i : i + 2] + (b"." if i + 2 >= len(x.encode()) else b"") for x in rare for i in range(0, len(x.encode()), 2)]
     assert len(keys) == len(set(pairs)) + 1 and n.sum() == len(pairs) + 1
+
+
+def test_near_matches_past_repeated_words(spark):
+    """Places (5, 1), (6, 2), (7, 2), (8, 3) have three offsets within slop, but no three neighbours have; and a short item."""
+    words = ["pad"] * 12
+    for diagonal, offset in ((5, 0), (6, 1), (7, 1), (8, 2)):
+        words[diagonal + offset] = ["alpha", "beta", "gamma"][offset]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "alpha pad pad pad pad pad pad gamma beta"), (3, "delta pad epsilon")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(10, "alpha beta gamma"), (11, "delta epsilon")], "item_id bigint, text string")
+    got = {r.doc_id: (r.items, r.near) for r in decontaminate.search(docs, items, 3, 3).collect()}
+    assert got == {1: ([], [10]), 2: ([], []), 3: ([], [11])}
