@@ -1,42 +1,76 @@
 """BPE encoding and decoding by tree concatenation.
 
-A long text is cut in halves down to leaves, the leaves are encoded apart (in
-other tasks, where a text exceeds PIECE characters), and each join is mended:
-a window around the cut is encoded anew and grown until it agrees with both
-sides exactly.  Two facts make that exact.  White space never lies inside a
-token, so a window that reaches white space on both sides agrees with them.
-And within one long word, token sequences are right if every two neighbours
-are neighbours in the encoding of some stretch; so it is enough that the
-window has tokens with the same bounds and ids as each side.
-
-Between white space the same strings recur, so leaves keep a bounded table of
-the strings that they have encoded.
+A text longer than LEAF code points is cut in halves, and the halves again,
+down to leaves.  All leaves are encoded apart from each other: those of a text
+of up to PIECE code points in one batch of its task, those of longer texts in
+many tasks, which hand on the ids and bounds of their tokens.  Then the tree is
+climbed.  At each join a window around the cut is encoded anew, and grown to
+twice its size until it agrees with both sides exactly: AGREE tokens in a row
+have the same bounds and ids in the side and in the window.  What the window
+has between the two places replaces what the sides had.
+
+Why agreement is enough: a token's neighbours decide whether a sequence is the
+one that merging gives, so a sequence whose every two neighbours are neighbours
+in the encoding of some stretch is right; the pattern that splits a text looks
+ahead by less than MARGIN code points and never back; and places count only
+where no character can merge with one beside it when the text is normalised.
+A text without such a place is encoded whole, as the last window.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Code points: of a leaf inside a task, of a piece that a task gets, of a word beyond which the tree goes on inside it.
-LEAF, PIECE, WORD_LEAF = 1 << 14, 1 << 16, 512
-FIRST_WINDOW, AGREE = 32, 3
-#: Encoded strings that a worker keeps, and the longest one.
-KEPT, KEPT_CHARS = 300_000, 64
-# White space as the tokenizer's own pattern has it.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_split = re.compile(f"[{WHITE}]+").split
-_own_breaks = re.compile("[\x1c-\x1f]").search  # these split for str.split only
-_white_run = re.compile(f"[{WHITE}]")
+#: Code points: of a leaf, and of a piece that a task gets.
+LEAF, PIECE = 1 << 12, 1 << 16
+FIRST_WINDOW, AGREE, MARGIN = 64, 3, 4
 
-Token = tuple[int, int, int, str]  # start, end, id, token
-Entry = tuple[str, str, int]  # ids, tokens (each joined by one space), count
+Token = tuple[int, int, int]  # start, end, id
+
+
+@dataclass
+class Part:
+    """A stretch of a text and its tokens, by places in the text."""
+
+    start: int
+    end: int
+    tokens: list[Token]
+
+
+def _inert(text: str) -> bool:
+    """Whether no character of text can merge with one before it when the text is normalised."""
+    return text.isascii() or all(unicodedata.category(c)[0] != "M" and not 0x1100 <= ord(c) < 0x1200 for c in text)
+
+
+def _meet(text: str, side: list[Token], window: list[Token], low: int, high: int, left: bool) -> tuple[int, int] | None:
+    """How many tokens of a side and of the window lie before a place between low and high where both agree; looked for from the cut outwards."""
+    at = {t: k for k, t in enumerate(window)}
+    step = -1 if left else 1
+    run, before = 0, 0
+    for k in range(len(side) - 1, -1, -1) if left else range(len(side)):
+        start, end, _ = side[k]
+        if (end <= low) if left else (start >= high):
+            break
+        w = at.get(side[k])
+        if w is None or start <= low + MARGIN or end >= high - MARGIN:
+            run = 0
+            continue
+        run = run + 1 if run and w == before + step else 1
+        before = w
+        # the place is beside the last token, so tokens that agree lie on both sides of it
+        if run == AGREE and _inert(text[min(start, side[k - 2 * step][0]) : max(end, side[k - 2 * step][1])]):
+            return (k + 1, w + 1) if left else (k, w)
+        if run == AGREE:
+            run -= 1
+    return None
 
 
 class Encoder:
@@ -50,8 +84,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[str, Entry] = {}
+        self.names = [str(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -59,120 +92,67 @@ class Encoder:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    # --- within one word: token level
-    def _tokens(self, text: str, shift: int = 0) -> list[Token]:
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        return [(a + shift, b + shift, i, t) for (a, b), i, t in zip(e.offsets, e.ids, e.tokens)]
-
-    def word_tree(self, word: str, start: int = 0, end: int | None = None) -> list[Token]:
-        """Tokens of a long string without white space."""
-        end = len(word) if end is None else end
-        if end - start <= WORD_LEAF:
-            return self._tokens(word[start:end], start)
-        cut = (start + end) // 2
-        left, right = self.word_tree(word, start, cut), self.word_tree(word, cut, end)
-        reach = FIRST_WINDOW
-        while True:
-            low, high = max(start, cut - reach), min(end, cut + reach)
-            window = self._tokens(word[low:high], low)
-            i, a = (0, 0) if low == start else self._meet(left, window, low, cut, True)
-            j, b = (len(right), len(window)) if high == end else self._meet(right, window, cut, high, False)
-            if low == start and high == end:
-                return window
-            if i is not None and j is not None and a <= b:
-                return left[:i] + window[a:b] + right[j:]
+    def _apart(self, stretches: list[tuple[str, int, int]]) -> list[list[Token]]:
+        """Tokens of stretches (text, start, end), each encoded as if it stood alone."""
+        found = self.tokenizer.encode_batch([t[a:b] for t, a, b in stretches], add_special_tokens=False)
+        return [[(s + a, e + a, i) for (s, e), i in zip(x.offsets, x.ids)] for x, (_, a, _) in zip(found, stretches)]
+
+    def leaves(self, texts: list[str]) -> list[list[Part]]:
+        """The leaves of each text, in order."""
+        cuts = []
+        for text in texts:
+            n = 1
+            while len(text) > LEAF * n:
+                n *= 2
+            cuts.append([len(text) * k // n for k in range(n + 1)])
+        tokens = iter(self._apart([(t, a, b) for t, c in zip(texts, cuts) for a, b in zip(c, c[1:])]))
+        return [[Part(a, b, next(tokens)) for a, b in zip(c, c[1:])] for c in cuts]
+
+    def climb(self, texts: list[str], parts: list[list[Part]]) -> list[Part]:
+        """The whole of each text (empty ones have no part): neighbours are joined, all joins of a level in a batch, until one part is left."""
+        parts = [list(p) for p in parts]
+        while any(len(p) > 1 for p in parts):
+            joins = [(n, k) for n, p in enumerate(parts) for k in range(0, len(p) - 1, 2)]
+            joined = dict(zip(joins, self._join([(texts[n], parts[n][k], parts[n][k + 1]) for n, k in joins])))
+            parts = [[joined.get((n, k), p[k]) for k in range(0, len(p), 2)] for n, p in enumerate(parts)]
+        return [p[0] for p in parts]
+
+    def _join(self, pairs: list[tuple[str, Part, Part]]) -> list[Part]:
+        """Both sides of each cut in one part, mended by a window that grows until it agrees with them."""
+        done: list[Part | None] = [None] * len(pairs)
+        reach, open_ = FIRST_WINDOW, list(range(len(pairs)))
+        while open_:
+            stretches = [(pairs[n][0], max(pairs[n][1].start, pairs[n][1].end - reach), min(pairs[n][2].end, pairs[n][1].end + reach)) for n in open_]
+            for n, (text, low, high), window in zip(list(open_), stretches, self._apart(stretches)):
+                _, left, right = pairs[n]
+                cut = left.end
+                i = (0, 0) if low == left.start else _meet(text, left.tokens, window, low, cut, True)
+                j = (len(right.tokens), len(window)) if high == right.end else _meet(text, right.tokens, window, cut, high, False)
+                if i and j and i[1] <= j[1]:
+                    done[n] = Part(left.start, right.end, left.tokens[: i[0]] + window[i[1] : j[1]] + right.tokens[j[0] :])
+            open_ = [n for n in open_ if done[n] is None]
             reach *= 2
-
-    @staticmethod
-    def _meet(side: list[Token], window: list[Token], low: int, high: int, left: bool) -> tuple[int | None, int | None]:
-        """Where AGREE tokens in a row, away from the edges, are the same in a side and the window: the place just inside them."""
-        at = {t: k for k, t in enumerate(window)}
-        order = range(len(side) - 1, -1, -1) if left else range(len(side))
-        run, before = 0, None
-        for k in order:
-            start, end, *_ = side[k]
-            if (end <= low) if left else (start >= high):
-                break
-            w = at.get(side[k])
-            inside = start > low + 4 and end < high - 4
-            step = -1 if left else 1
-            run = run + 1 if inside and w is not None and (run == 0 or w == before + step) else int(inside and w is not None)
-            before = w
-            if run == AGREE:
-                # splice after the token first met on the way out from the cut... the middle one has neighbours on both sides
-                return (k + 1, w + 1) if left else (k, w)
-        return None, None
-
-    # --- between white space
-    def strings(self, wanted: list[str]) -> None:
-        """Encodes the strings that are not kept yet."""
-        short = [s for s in wanted if len(s) <= WORD_LEAF]
-        for k in range(0, len(short), 4096):
-            some = short[k : k + 4096]
-            for s, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.kept[s] = (" ".join(map(str, e.ids)), " ".join(e.tokens), len(e.ids))
-        for s in wanted:
-            if len(s) > WORD_LEAF:
-                tokens = self._tokens(s) if any(x in s for x in self.specials) or not s.isascii() else self.word_tree(s)
-                self.kept[s] = (" ".join(str(t[2]) for t in tokens), " ".join(t[3] for t in tokens), len(tokens))
-
-    def leaf(self, text: str) -> list[str]:
-        """The strings between white space."""
-        if _own_breaks(text):
-            return [s for s in _split(text) if s]
-        return text.split()
-
-    def tree(self, text: str) -> list[str]:
-        """The strings of a text of any length, halves first, each join mended by a growing window."""
-        if len(text) <= LEAF:
-            return self.leaf(text)
-        cut = len(text) // 2
-        return join(text, cut, self.tree(text[:cut]), self.tree(text[cut:]))
-
-    def encode(self, texts: list[str]) -> list[list[Entry]]:
-        found = [self.tree(t) for t in texts]
-        return self.entries(found)
-
-    def entries(self, found: list[list[str]]) -> list[list[Entry]]:
-        kept = self.kept
-        missing = {s for strings in found for s in strings if s not in kept}
-        if missing:
-            self.strings(list(missing))
-        out = [[kept[s] for s in strings] for strings in found]
-        if len(kept) > KEPT:
-            kept.clear()
-        else:
-            for s in missing:
-                if len(s) > KEPT_CHARS:
-                    del kept[s]
+        return done
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        out: list[list[int]] = [[] for _ in texts]
+        short = [n for n, t in enumerate(texts) if 0 < len(t) <= LEAF]
+        for n, e in zip(short, self.tokenizer.encode_batch_fast([texts[n] for n in short], add_special_tokens=False)):
+            out[n] = e.ids
+        long_ = [n for n, t in enumerate(texts) if len(t) > LEAF]
+        some = [texts[n] for n in long_]
+        for n, part in zip(long_, self.climb(some, self.leaves(some)) if some else []):
+            out[n] = [i for *_, i in part.tokens]
         return out
 
-
-def join(text: str, cut: int, left: list[str], right: list[str]) -> list[str]:
-    """Joins the strings of both sides of a cut: the window grows until it has white space on both sides of what it replaces."""
-    if not left or not right or _white_run.match(text, cut) or _white_run.match(text, cut - 1):
-        return left + right
-    reach = FIRST_WINDOW
-    while True:
-        low, high = max(0, cut - reach), min(len(text), cut + reach)
-        at_left = low == 0 or _white_run.search(text, low, cut) is not None
-        at_right = high == len(text) or _white_run.search(text, cut, high) is not None
-        if at_left and at_right:
-            # the window's string over the cut replaces both sides' torn ones; the strings around it agree
-            return left[:-1] + [left[-1] + right[0]] + right[1:]
-        reach *= 2
-
-
-def _digests(entries: list[Entry]) -> tuple[int, str, str]:
-    filled = [e for e in entries if e[2]]
-    ids, tokens = " ".join([e[0] for e in filled]), " ".join([e[1] for e in filled])
-    return sum([e[2] for e in filled]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest()
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-def _id_lists(texts: list[str]) -> pa.Array:
-    lists = [np.fromstring(t, dtype=np.int32, sep=" ") if t else np.empty(0, np.int32) for t in texts]
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.empty(0, np.int32), *lists])))
+def _id_lists(ids: list[list[int]]) -> pa.Array:
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.empty(0, np.int32), *[np.array(x, np.int32) for x in ids]])))
 
 
 def _groups(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
@@ -192,56 +172,61 @@ def encode(docs: DataFrame, vocabulary: str, outputs: str = "ids") -> DataFrame:
 
     outputs: "ids" gives n_tokens, ids and decoded; "digests" n_tokens and the
     SHA-256 of the ids (decimal, joined by one space) and of the decoded text.
-    The result is the tokenizer's for the whole text; decoding gives back what
-    the vocabulary's own decoder does.  A null text counts as empty: no ids,
-    empty decoded text.  Repeated rows come back as often; other columns are
-    not read.
+    The result is the tokenizer's for the whole text; decoding is what the
+    vocabulary's own decoder does.  A null text counts as empty: no ids, empty
+    decoded text.  A text of more than PIECE code points goes to several tasks,
+    and one task joins their tokens (some forty bytes of memory a character).
+    Repeated rows come back as often, a null doc_id stays null, an empty table
+    gives no rows; other columns, whatever their names, are not read.
     """
     whole = outputs == "ids"
     schema = "doc_id bigint, n_tokens bigint, " + ("ids array<int>, decoded string" if whole else "ids_sha256 string, decoded_sha256 string")
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def finish(ids, lists: list[list[Entry]]) -> pa.RecordBatch:
+    def finish(encoder: Encoder, doc_ids, ids: list[list[int]]) -> pa.RecordBatch:
+        texts = encoder.decode(ids)
         if whole:
-            packed = [[e for e in one if e[2]] for one in lists]
-            columns = [pa.array([sum(e[2] for e in one) for one in packed], pa.int64()), _id_lists([" ".join([e[0] for e in one]) for one in packed]), pa.array([" ".join(e[1] for e in one) for one in packed], pa.string())]
+            results = [_id_lists(ids), pa.array(texts, pa.string())]
         else:
-            rows = [_digests(one) for one in lists]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
-        return pa.RecordBatch.from_arrays([ids, *columns], names=names)
+            lines = [" ".join([encoder.names[i] for i in x]) for x in ids]
+            results = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in some], pa.string()) for some in (lines, texts)]
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) for x in ids], pa.int64()), *results], names=names)
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.get(vocabulary)
         for batch in batches:
             at = 0
             for texts in _groups(batch.column("text")):
-                yield finish(batch.column("doc_id").slice(at, len(texts)), encoder.encode(texts))
+                yield finish(encoder, batch.column("doc_id").slice(at, len(texts)), encoder.encode(texts))
                 at += len(texts)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.get(vocabulary)
         for batch in batches:
-            strings = [encoder.tree(t) for t in batch.column("text").to_pylist()]
-            encoder.entries(strings)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "piece", "text")], pa.array(strings, pa.list_(pa.string()))], names=["row", "doc_id", "piece", "text", "strings"])
+            texts = batch.column("text").to_pylist()
+            found = encoder.climb(texts, encoder.leaves(texts))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "piece", "text")], *[_id_lists([[t[k] for t in p.tokens] for p in found]) for k in range(3)]], names=["row", "doc_id", "piece", "text", "starts", "ends", "ids"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.get(vocabulary)
         for batch in batches:
             for k in range(batch.num_rows):
-                parts = [(p["text"], p["strings"]) for p in batch.column("parts")[k].as_py()]
-                while len(parts) > 1:  # neighbours are joined in pairs, as in the tree
-                    parts = [(a[0] + b[0], join(a[0] + b[0], len(a[0]), a[1], b[1])) for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) & ~1 :]
-                yield finish(batch.column("doc_id").slice(k, 1), encoder.entries([parts[0][1]]))
+                parts, at = [], 0
+                some = batch.column("parts")[k].as_py()
+                for p in some:
+                    parts.append(Part(at, at + len(p["text"]), [(s + at, e + at, i) for s, e, i in zip(p["starts"], p["ends"], p["ids"])]))
+                    at = parts[-1].end
+                one = encoder.climb(["".join(p["text"] for p in some)], [parts])
+                yield finish(encoder, batch.column("doc_id").slice(k, 1), [[i for *_, i in one[0].tokens]])
 
     rows = docs.select("doc_id", "text")
     is_long = F.length("text") > PIECE
-    direct = rows.where(~F.coalesce(is_long, F.lit(False))).mapInArrow(short, schema)
+    short_rows = rows.where(~F.coalesce(is_long, F.lit(False))).mapInArrow(direct, schema)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int")), lambda i: F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE)))
     long_rows = rows.where(is_long).select(F.sha2("text", 256).alias("hash"), "doc_id", "text")
     named = long_rows.select(F.concat_ws(":", "hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.monotonically_increasing_id()).alias("row"), "doc_id", "text")
     numbered = named.select("row", "doc_id", F.posexplode(cut).alias("piece", "text"))
-    dealt = numbered.repartition(n, "row", "piece").mapInArrow(pieces, "row string, doc_id bigint, piece int, text string, strings array<string>")
-    grouped = dealt.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("piece", "text", "strings"))).alias("parts"))
-    return direct.unionByName(grouped.select("doc_id", "parts").mapInArrow(joined, schema))
+    dealt = numbered.repartition(n, "row", "piece").mapInArrow(pieces, "row string, doc_id bigint, piece int, text string, starts array<int>, ends array<int>, ids array<int>")
+    grouped = dealt.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("piece", "text", "starts", "ends", "ids"))).alias("parts"))
+    return short_rows.unionByName(grouped.select("doc_id", "parts").mapInArrow(joined, schema))

@@ -193,7 +193,8 @@ def test_bpe_matches_the_library(docs, empty, monkeypatch):
     path = vocabulary("word_bpe_49k.json")
     own, rows = Tokenizer.from_file(path), docs[0]
     monkeypatch.setattr(bpe, "PIECE", 700)
-    odd = [(1001, "x\x1cy \x85é İ ΑΣ <|endoftext|>don't　a" * 40), (1002, "re'sx1a!" * 900)]
+    monkeypatch.setattr(bpe, "LEAF", 100)
+    odd = [(2000 + k, t) for k, t in enumerate(odd_texts(20, 900, 7))] + [(3000, "漢字かな" * 700), (3001, "a" * 2500), (3002, "one 'll " * 4000)] + [(1001, "x\x1cy \x85é İ ΑΣ <|endoftext|>don't　a" * 40), (1002, "re'sx1a!" * 900)]
     frame = docs[1].unionByName(docs[1].sparkSession.createDataFrame([(i, t, "en", "s", 1, "c", 1) for i, t in odd], SCHEMA))
     texts = dict(rows + odd)
     got = bpe.encode(frame, path).collect()
@@ -204,14 +205,26 @@ def test_bpe_matches_the_library(docs, empty, monkeypatch):
     assert bpe.encode(empty, path, "digests").count() == 0
 
 
-def test_bpe_trees():
+BPE_POOL = ["the", "’s", "'re", "'s", "''", "x1", "é", "e\u0301", "漢字", "かな", "한", "\u1112\u1161\u11ab", "İ", "ΑΣ", "<|endoftext|>", "<|start", "oftext|>", " ", "  ", "\n", "a", "th", "123", "\u0316\u0301", "\U0001f600", "का", "\x85", "\x1c", "ß", "!!", "　", "ﬁ"]
+
+
+def odd_texts(n, length, seed):
+    r = random.Random(seed)
+    for _ in range(n):
+        some = r.sample(BPE_POOL, r.randint(1, 12))
+        yield "".join(r.choice(some) for _ in range(r.randint(10, length)))
+
+
+def test_bpe_joins_are_exact(monkeypatch):
     encoder = bpe.Encoder.get(vocabulary("word_bpe_49k.json"))
-    r = random.Random(1)
-    for letters in ("abcdefghij", "aab", "thinger", "a"):
-        word = "".join(r.choice(letters) for _ in range(r.randint(600, 3000)))
-        assert [t[2] for t in encoder.word_tree(word)] == encoder.tokenizer.encode(word, add_special_tokens=False).ids
-    text = "".join(r.choice("ab \n") for _ in range(2000))
-    assert bpe.join(text, 777, text[:777].split(), text[777:].split()) == text.split()
+    monkeypatch.setattr(bpe, "LEAF", 40)
+    monkeypatch.setattr(bpe, "FIRST_WINDOW", 8)
+    texts = [*odd_texts(1500, 200, 1), "a" * 3000, "漢字" * 900, "e" + "\u0301" * 500, ""]
+    expected = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.encode(texts) == expected
+    # without the windows the torn tokens stay: it is they that give the result
+    monkeypatch.setattr(bpe.Encoder, "_join", lambda self, pairs: [bpe.Part(a.start, b.end, a.tokens + b.tokens) for _, a, b in pairs])
+    assert encoder.encode(texts) != expected
 
 
 @pytest.mark.parametrize("frequent", [8, 1 << 18])
