@@ -15,11 +15,15 @@ in the encoding of some stretch is right; the pattern that splits a text looks
 ahead by less than MARGIN code points and never back; and places count only
 where no character can merge with one beside it when the text is normalised.
 A text without such a place is encoded whole, as the last window.
+
+A leaf encodes the strings between white space, which no token holds; a worker
+keeps those that it has encoded, up to KEPT of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,17 +36,28 @@ from pyspark.sql import functions as F
 #: Code points: of a leaf, and of a piece that a task gets.
 LEAF, PIECE = 1 << 12, 1 << 16
 FIRST_WINDOW, AGREE, MARGIN = 64, 3, 4
+#: Encoded strings that a worker keeps, and the longest one.
+KEPT, KEPT_CHARS = 400_000, 64
+# White space as the tokenizer's own pattern has it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_strings = re.compile(f"[^{WHITE}]+").findall
+_own_breaks = re.compile("[\x1c-\x1f]").search  # these split for str.split only
 
 Token = tuple[int, int, int]  # start, end, id
 
 
+#: Some tokens in a row, a plain tuple since a worker holds very many: their number, the ids and the tokens (each joined by
+#: spaces), and either the string that they encode, whose tokens are made when a join needs them, or the tokens by places.
+Chunk = tuple[int, str, str, str | list[Token]]
+
+
 @dataclass
 class Part:
-    """A stretch of a text and its tokens, by places in the text."""
+    """A stretch of a text and its tokens in chunks."""
 
     start: int
     end: int
-    tokens: list[Token]
+    chunks: list[Chunk]
 
 
 def _inert(text: str) -> bool:
@@ -50,29 +65,6 @@ def _inert(text: str) -> bool:
     return text.isascii() or all(unicodedata.category(c)[0] != "M" and not 0x1100 <= ord(c) < 0x1200 for c in text)
 
 
-def _meet(text: str, side: list[Token], window: list[Token], low: int, high: int, left: bool) -> tuple[int, int] | None:
-    """How many tokens of a side and of the window lie before a place between low and high where both agree; looked for from the cut outwards."""
-    at = {t: k for k, t in enumerate(window)}
-    step = -1 if left else 1
-    run, before = 0, 0
-    for k in range(len(side) - 1, -1, -1) if left else range(len(side)):
-        start, end, _ = side[k]
-        if (end <= low) if left else (start >= high):
-            break
-        w = at.get(side[k])
-        if w is None or start <= low + MARGIN or end >= high - MARGIN:
-            run = 0
-            continue
-        run = run + 1 if run and w == before + step else 1
-        before = w
-        # the place is beside the last token, so tokens that agree lie on both sides of it
-        if run == AGREE and _inert(text[min(start, side[k - 2 * step][0]) : max(end, side[k - 2 * step][1])]):
-            return (k + 1, w + 1) if left else (k, w)
-        if run == AGREE:
-            run -= 1
-    return None
-
-
 class Encoder:
     """One vocabulary, loaded once in each worker process."""
 
@@ -84,7 +76,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.names = [str(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        count = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.names = [str(i) for i in range(count)]
+        self.words = [self.tokenizer.id_to_token(i) for i in range(count)]
+        self.joins_words = self.tokenizer.decoder is None  # then decoding joins the tokens by spaces
+        self.kept: dict[str, Chunk] = {}
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -92,67 +88,140 @@ class Encoder:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def _apart(self, stretches: list[tuple[str, int, int]]) -> list[list[Token]]:
+    def chunk(self, source: str | list[Token], ids: list[int]) -> Chunk:
+        return len(ids), " ".join([self.names[i] for i in ids]), " ".join([self.words[i] for i in ids]), source
+
+    def placed(self, tokens: list[Token]) -> Chunk:
+        return self.chunk(tokens, [t[2] for t in tokens])
+
+    def apart(self, stretches: list[tuple[str, int, int]]) -> list[list[Token]]:
         """Tokens of stretches (text, start, end), each encoded as if it stood alone."""
         found = self.tokenizer.encode_batch([t[a:b] for t, a, b in stretches], add_special_tokens=False)
         return [[(s + a, e + a, i) for (s, e), i in zip(x.offsets, x.ids)] for x, (_, a, _) in zip(found, stretches)]
 
-    def leaves(self, texts: list[str]) -> list[list[Part]]:
-        """The leaves of each text, in order."""
+    def strings(self, texts: list[str]) -> list[list[Chunk]]:
+        """The strings between white space of each text, encoded."""
+        found = [_strings(t) if _own_breaks(t) else t.split() for t in texts]
+        kept = self.kept
+        if len(kept) > KEPT:
+            kept.clear()
+        missing = list({s for some in found for s in some if s not in kept})
+        for k in range(0, len(missing), 4096):
+            some = missing[k : k + 4096]
+            for s, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                kept[s] = self.chunk(s, e.ids)
+        out = [[kept[s] for s in some] for some in found]
+        for s in missing:
+            if len(s) > KEPT_CHARS:
+                del kept[s]
+        return out
+
+    def leaves(self, texts: list[str], tokens: bool = False) -> list[list[Part]]:
+        """The leaves of each text, in order; tokens: with all their tokens by place."""
         cuts = []
         for text in texts:
             n = 1
             while len(text) > LEAF * n:
                 n *= 2
             cuts.append([len(text) * k // n for k in range(n + 1)])
-        tokens = iter(self._apart([(t, a, b) for t, c in zip(texts, cuts) for a, b in zip(c, c[1:])]))
-        return [[Part(a, b, next(tokens)) for a, b in zip(c, c[1:])] for c in cuts]
-
-    def climb(self, texts: list[str], parts: list[list[Part]]) -> list[Part]:
-        """The whole of each text (empty ones have no part): neighbours are joined, all joins of a level in a batch, until one part is left."""
-        parts = [list(p) for p in parts]
-        while any(len(p) > 1 for p in parts):
-            joins = [(n, k) for n, p in enumerate(parts) for k in range(0, len(p) - 1, 2)]
-            joined = dict(zip(joins, self._join([(texts[n], parts[n][k], parts[n][k + 1]) for n, k in joins])))
-            parts = [[joined.get((n, k), p[k]) for k in range(0, len(p), 2)] for n, p in enumerate(parts)]
-        return [p[0] for p in parts]
-
-    def _join(self, pairs: list[tuple[str, Part, Part]]) -> list[Part]:
+        stretches = [(t, a, b) for t, c in zip(texts, cuts) for a, b in zip(c, c[1:])]
+        if tokens:
+            chunks = iter([[self.placed(found)] for found in self.apart(stretches)])
+        else:
+            chunks = iter(self.strings([t[a:b] for t, a, b in stretches]))
+        return [[Part(a, b, next(chunks)) for a, b in zip(c, c[1:])] for c in cuts]
+
+    def walk(self, text: str, part: Part, backwards: bool) -> Iterator[Token]:
+        """A part's tokens from one end; strings that it comes to are replaced by their tokens."""
+        place = part.end if backwards else part.start
+        for k in range(len(part.chunks) - 1, -1, -1) if backwards else range(len(part.chunks)):
+            found = part.chunks[k][3]
+            if isinstance(found, str):
+                at = text.rindex(found, part.start, place) if backwards else text.index(found, place, part.end)
+                found = self.apart([(text, at, at + len(found))])[0]
+                part.chunks[k] = (*part.chunks[k][:3], found)
+            if found:
+                place = found[0][0] if backwards else found[-1][1]
+            yield from reversed(found) if backwards else found
+
+    def meet(self, text: str, side: Part, window: list[Token], low: int, high: int, left: bool) -> tuple[int, int] | None:
+        """A place between low and high where a side and the window agree, looked for from the cut outwards: the side's tokens between it and the cut, and the window's tokens before it."""
+        at = {t: k for k, t in enumerate(window)}
+        step = -1 if left else 1
+        run: list[tuple[int, Token]] = []
+        for k, token in enumerate(self.walk(text, side, left)):
+            start, end, _ = token
+            if (end <= low) if left else (start >= high):
+                break
+            w = at.get(token)
+            if w is None or start <= low + MARGIN or end >= high - MARGIN:
+                run = []
+                continue
+            run = [*run[-AGREE + 1 :], (w, token)] if run and w == run[-1][0] + step else [(w, token)]
+            # the place is beside the last token, so tokens that agree lie on both sides of it
+            if len(run) == AGREE and _inert(text[min(t[0] for _, t in run) : max(t[1] for _, t in run)]):
+                return k, (w + 1 if left else w)
+        return None
+
+    def without(self, chunks: list[Chunk], drop: int, from_end: bool) -> list[Chunk]:
+        """chunks without drop tokens, all of them walked over, at one end."""
+        k = len(chunks) - 1 if from_end else 0
+        while drop and drop >= chunks[k][0]:
+            drop -= chunks[k][0]
+            k += -1 if from_end else 1
+        if not drop:
+            return chunks[: k + 1] if from_end else chunks[k:]
+        some = [self.placed(chunks[k][3][:-drop] if from_end else chunks[k][3][drop:])]
+        return chunks[:k] + some if from_end else some + chunks[k + 1 :]
+
+    def join(self, pairs: list[tuple[str, Part, Part]]) -> list[Part]:
         """Both sides of each cut in one part, mended by a window that grows until it agrees with them."""
         done: list[Part | None] = [None] * len(pairs)
         reach, open_ = FIRST_WINDOW, list(range(len(pairs)))
         while open_:
-            stretches = [(pairs[n][0], max(pairs[n][1].start, pairs[n][1].end - reach), min(pairs[n][2].end, pairs[n][1].end + reach)) for n in open_]
-            for n, (text, low, high), window in zip(list(open_), stretches, self._apart(stretches)):
+            stretches = [(text, max(left.start, left.end - reach), min(right.end, left.end + reach)) for text, left, right in (pairs[n] for n in open_)]
+            for n, (text, low, high), window in zip(open_, stretches, self.apart(stretches)):
                 _, left, right = pairs[n]
                 cut = left.end
-                i = (0, 0) if low == left.start else _meet(text, left.tokens, window, low, cut, True)
-                j = (len(right.tokens), len(window)) if high == right.end else _meet(text, right.tokens, window, cut, high, False)
+                i = (None, 0) if low == left.start else self.meet(text, left, window, low, cut, True)
+                j = (None, len(window)) if high == right.end else self.meet(text, right, window, cut, high, False)
                 if i and j and i[1] <= j[1]:
-                    done[n] = Part(left.start, right.end, left.tokens[: i[0]] + window[i[1] : j[1]] + right.tokens[j[0] :])
+                    inner = window[i[1] : j[1]]
+                    before = [] if i[0] is None else self.without(left.chunks, i[0], True)
+                    after = [] if j[0] is None else self.without(right.chunks, j[0], False)
+                    done[n] = Part(left.start, right.end, [*before, self.placed(inner), *after])
             open_ = [n for n in open_ if done[n] is None]
             reach *= 2
         return done
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text."""
-        out: list[list[int]] = [[] for _ in texts]
-        short = [n for n, t in enumerate(texts) if 0 < len(t) <= LEAF]
-        for n, e in zip(short, self.tokenizer.encode_batch_fast([texts[n] for n in short], add_special_tokens=False)):
-            out[n] = e.ids
-        long_ = [n for n, t in enumerate(texts) if len(t) > LEAF]
-        some = [texts[n] for n in long_]
-        for n, part in zip(long_, self.climb(some, self.leaves(some)) if some else []):
-            out[n] = [i for *_, i in part.tokens]
-        return out
+    def climb(self, texts: list[str], parts: list[list[Part]]) -> list[Part]:
+        """The whole of each text: neighbours are joined, all joins of a level in a batch, until one part is left."""
+        while any(len(p) > 1 for p in parts):
+            joins = [(n, k) for n, p in enumerate(parts) for k in range(0, len(p) - 1, 2)]
+            joined = dict(zip(joins, self.join([(texts[n], parts[n][k], parts[n][k + 1]) for n, k in joins])))
+            parts = [[joined.get((n, k), p[k]) for k in range(0, len(p), 2)] for n, p in enumerate(parts)]
+        return [p[0] for p in parts]
+
+    def encode(self, texts: list[str]) -> list[list[Chunk]]:
+        """The tokens of each text, in chunks."""
+        return [[c for c in part.chunks if c[0]] for part in self.climb(texts, self.leaves(texts))]
+
+    def ids(self, text: str) -> list[int]:
+        return _numbers(self.encode([text])[0]).tolist()
+
+    def decode(self, chunks: list[Chunk]) -> str:
+        if self.joins_words:
+            return " ".join([c[2] for c in chunks])
+        return self.tokenizer.decode(_numbers(chunks).tolist(), skip_special_tokens=False)
+
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+def _numbers(chunks: list[Chunk]) -> np.ndarray:
+    return np.array(" ".join([c[1] for c in chunks]).split(), dtype=np.int32)
 
 
-def _id_lists(ids: list[list[int]]) -> pa.Array:
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.empty(0, np.int32), *[np.array(x, np.int32) for x in ids]])))
+def _id_lists(lists: list) -> pa.Array:
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([np.empty(0, np.int32), *[np.asarray(x, np.int32) for x in lists]])))
 
 
 def _groups(column: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
@@ -183,14 +252,15 @@ def encode(docs: DataFrame, vocabulary: str, outputs: str = "ids") -> DataFrame:
     schema = "doc_id bigint, n_tokens bigint, " + ("ids array<int>, decoded string" if whole else "ids_sha256 string, decoded_sha256 string")
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def finish(encoder: Encoder, doc_ids, ids: list[list[int]]) -> pa.RecordBatch:
-        texts = encoder.decode(ids)
+    def finish(encoder: Encoder, doc_ids, found: list[list[Chunk]]) -> pa.RecordBatch:
+        texts = [encoder.decode(chunks) for chunks in found]
         if whole:
-            results = [_id_lists(ids), pa.array(texts, pa.string())]
+            results = [_id_lists([_numbers(chunks) for chunks in found]), pa.array(texts, pa.string())]
         else:
-            lines = [" ".join([encoder.names[i] for i in x]) for x in ids]
+            lines = [" ".join([c[1] for c in chunks]) for chunks in found]
             results = [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in some], pa.string()) for some in (lines, texts)]
-        return pa.RecordBatch.from_arrays([doc_ids, pa.array([len(x) for x in ids], pa.int64()), *results], names=names)
+        counts = [sum([c[0] for c in chunks]) for chunks in found]
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int64()), *results], names=names)
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.get(vocabulary)
@@ -204,8 +274,8 @@ def encode(docs: DataFrame, vocabulary: str, outputs: str = "ids") -> DataFrame:
         encoder = Encoder.get(vocabulary)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = encoder.climb(texts, encoder.leaves(texts))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "piece", "text")], *[_id_lists([[t[k] for t in p.tokens] for p in found]) for k in range(3)]], names=["row", "doc_id", "piece", "text", "starts", "ends", "ids"])
+            found = [[t for c in p.chunks for t in c[3]] for p in encoder.climb(texts, encoder.leaves(texts, tokens=True))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "piece", "text")], *[_id_lists([[t[k] for t in tokens] for tokens in found]) for k in range(3)]], names=["row", "doc_id", "piece", "text", "starts", "ends", "ids"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.get(vocabulary)
@@ -214,10 +284,10 @@ def encode(docs: DataFrame, vocabulary: str, outputs: str = "ids") -> DataFrame:
                 parts, at = [], 0
                 some = batch.column("parts")[k].as_py()
                 for p in some:
-                    parts.append(Part(at, at + len(p["text"]), [(s + at, e + at, i) for s, e, i in zip(p["starts"], p["ends"], p["ids"])]))
+                    parts.append(Part(at, at + len(p["text"]), [encoder.placed([(s + at, e + at, i) for s, e, i in zip(p["starts"], p["ends"], p["ids"])])]))
                     at = parts[-1].end
                 one = encoder.climb(["".join(p["text"] for p in some)], [parts])
-                yield finish(encoder, batch.column("doc_id").slice(k, 1), [[i for *_, i in one[0].tokens]])
+                yield finish(encoder, batch.column("doc_id").slice(k, 1), [[c for c in one[0].chunks if c[0]]])
 
     rows = docs.select("doc_id", "text")
     is_long = F.length("text") > PIECE
