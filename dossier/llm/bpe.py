@@ -23,6 +23,8 @@ keeps those that it has encoded, up to KEPT of them.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -34,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code points: of a leaf, and of a piece that a task gets.
-LEAF, PIECE = 1 << 12, 1 << 16
+LEAF, PIECE = 1 << 14, 1 << 16
 FIRST_WINDOW, AGREE, MARGIN = 64, 3, 4
 #: Encoded strings that a worker keeps, and the longest one.
-KEPT, KEPT_CHARS = 400_000, 64
+KEPT, KEPT_CHARS = 250_000, 64
 # White space as the tokenizer's own pattern has it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _strings = re.compile(f"[^{WHITE}]+").findall
@@ -71,7 +73,7 @@ class Encoder:
     loaded: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -81,6 +83,14 @@ class Encoder:
         self.words = [self.tokenizer.id_to_token(i) for i in range(count)]
         self.joins_words = self.tokenizer.decoder is None  # then decoding joins the tokens by spaces
         self.kept: dict[str, Chunk] = {}
+        # where nothing but the case of ASCII changes, that is done here and the rest of the normalising left out
+        self.plain, self.first = None, {t.content[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        parts = (json.loads(self.tokenizer.to_str())["normalizer"] or {}).get("normalizers", [])
+        if [n["type"] for n in parts] == ["NFC", "Replace", "Lowercase"] and parts[1]["pattern"] == {"Regex": "\\s+"}:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.no_truncation()
+            self.plain.no_padding()
+            self.plain.normalizer = normalizers.Sequence([])
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -106,10 +116,12 @@ class Encoder:
         if len(kept) > KEPT:
             kept.clear()
         missing = list({s for some in found for s in some if s not in kept})
-        for k in range(0, len(missing), 4096):
-            some = missing[k : k + 4096]
-            for s, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                kept[s] = self.chunk(s, e.ids)
+        simple = [s for s in missing if self.plain and s.isascii() and self.first.isdisjoint(s)]
+        others = missing if not simple else list(set(missing).difference(simple))
+        for some, tokenizer, texts in ((simple, self.plain, map(str.lower, simple)), (others, self.tokenizer, iter(others))):
+            for k in range(0, len(some), 4096):
+                for s, e in zip(some[k : k + 4096], tokenizer.encode_batch_fast(list(itertools.islice(texts, 4096)), add_special_tokens=False)):
+                    kept[s] = self.chunk(s, e.ids)
         out = [[kept[s] for s in some] for some in found]
         for s in missing:
             if len(s) > KEPT_CHARS:
