@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -73,6 +74,7 @@ class Encoder:
     loaded: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's own threads only wait on each other
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
