@@ -22,6 +22,7 @@ keeps those that it has encoded, up to KEPT of them.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import itertools
 import json
@@ -117,14 +118,18 @@ class Encoder:
         kept = self.kept
         if len(kept) > KEPT:
             kept.clear()
-        missing = list({s for some in found for s in some if s not in kept})
+        missing = list(set().union(*found).difference(kept))
         simple = [s for s in missing if self.plain and s.isascii() and self.first.isdisjoint(s)]
         others = missing if not simple else list(set(missing).difference(simple))
         for some, tokenizer, texts in ((simple, self.plain, map(str.lower, simple)), (others, self.tokenizer, iter(others))):
             for k in range(0, len(some), 4096):
                 for s, e in zip(some[k : k + 4096], tokenizer.encode_batch_fast(list(itertools.islice(texts, 4096)), add_special_tokens=False)):
                     kept[s] = self.chunk(s, e.ids)
-        out = [[kept[s] for s in some] for some in found]
+        look_up = kept.__getitem__
+        out = [list(map(look_up, some)) for some in found]
+        if any(not kept[s][0] for s in missing):  # strings without tokens
+            out = [[c for c in chunks if c[0]] for chunks in out]
+            missing = [s for s in missing if kept[s][0] or kept.pop(s) is None]
         for s in missing:
             if len(s) > KEPT_CHARS:
                 del kept[s]
@@ -203,7 +208,7 @@ class Encoder:
                     inner = window[i[1] : j[1]]
                     before = [] if i[0] is None else self.without(left.chunks, i[0], True)
                     after = [] if j[0] is None else self.without(right.chunks, j[0], False)
-                    done[n] = Part(left.start, right.end, [*before, self.placed(inner), *after])
+                    done[n] = Part(left.start, right.end, [*before, *([self.placed(inner)] if inner else []), *after])
             open_ = [n for n in open_ if done[n] is None]
             reach *= 2
         return done
@@ -218,7 +223,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[list[Chunk]]:
         """The tokens of each text, in chunks."""
-        return [[c for c in part.chunks if c[0]] for part in self.climb(texts, self.leaves(texts))]
+        was = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and there is very much of it
+        try:
+            return [part.chunks for part in self.climb(texts, self.leaves(texts))]
+        finally:
+            if was:
+                gc.enable()
 
     def ids(self, text: str) -> list[int]:
         return _numbers(self.encode([text])[0]).tolist()
@@ -301,7 +312,7 @@ def encode(docs: DataFrame, vocabulary: str, outputs: str = "ids") -> DataFrame:
                     parts.append(Part(at, at + len(p["text"]), [encoder.placed([(s + at, e + at, i) for s, e, i in zip(p["starts"], p["ends"], p["ids"])])]))
                     at = parts[-1].end
                 one = encoder.climb(["".join(p["text"] for p in some)], [parts])
-                yield finish(encoder, batch.column("doc_id").slice(k, 1), [[c for c in one[0].chunks if c[0]]])
+                yield finish(encoder, batch.column("doc_id").slice(k, 1), [one[0].chunks])
 
     rows = docs.select("doc_id", "text")
     is_long = F.length("text") > PIECE
