@@ -78,3 +78,10 @@ def mixed(column: Column | str) -> Column:
 def let(value: Column, body) -> Column:
     """Binds a column expression to a lambda variable, so that it is computed once a row."""
     return F.transform(F.array(value), body)[0]
+
+
+def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, how: str, salts: int = 16) -> DataFrame:
+    """rows joined with a table that has each key once: rows of a key are dealt to `salts` tasks by the column spread, and the table's rows go to each."""
+    salt = "salt_of_join"
+    many = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(many, [*keys, salt], how).drop(salt)

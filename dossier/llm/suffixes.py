@@ -1,19 +1,23 @@
 """Substring deduplication by prefix-partitioned suffix trees.
 
-Every suffix (a place in a text, here with the WINDOW words that follow) goes
-to the group of its prefix.  The prefix is a few words long, and longer where
-suffixes are many: a group's suffixes are sorted by the words after the prefix,
-so that a tree's nodes are runs of equal keys, and nodes WINDOW words deep with
-two texts or more below them are the repeats.  Runs are read in order of
-(prefix, rest, doc_id): a node's smallest text comes first, and no node has to
-fit into memory.
-
-Suffixes are thinned before they are sent.  The smallest 5-word hash inside a
-window is the same wherever the window occurs, so a window whose smallest hash
-occurs in one text only cannot repeat; those hashes are a fifth of all places.
-And a task keeps, of a window's suffixes, those of its smallest text; the others are
-known to be repeats at once.  So a passage in a third of all texts sends a
-suffix a task.
+Every place in a text is a suffix, and suffixes are dealt to trees by a prefix
+taken from the words that follow.  The prefix has SEED_WORDS words; prefixes
+with more than GROUP suffixes are lengthened (by as many words as their count
+asks for, up to the whole window), so that a tree's distinct suffixes fit into
+memory.  A task reads the suffixes of one prefix after the other in order of
+doc_id, sorts those of a tree by their words, takes the common prefixes of
+neighbours, and so visits the tree's internal nodes from the deepest to those
+`window` words deep: a leaf below such a node that has a leaf of a smaller text
+too repeats it, over as many words as the deepest such node is deep.  Stretches
+that meet or overlap give the maximal repeats of a text.
+
+What is sent is thinned.  A window's prefix is its smallest SEED_WORDS-word
+stretch, the same wherever the window occurs; if that occurs in one text only,
+no suffix of the window repeats.  Windows in a row that share the stretch go as
+one row with all their words.  A task keeps, of equal windows, those of its
+smallest text; the others are known to be repeats at once.  So a passage in a
+third of all texts sends a suffix a task.  Equal texts are one leaf each: all
+but that with the smallest doc_id go whole.
 """
 
 from __future__ import annotations
@@ -26,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Membership, store
+from .shared import Membership, salted_join, store
 from .words import GRAM_FACTORS, WHITE, Block, blocks, mix
 
 SEED_WORDS = 5
-SUFFIX = "prefix bigint, rest bigint, doc_id bigint, pos int, known boolean"
+#: Suffixes of a prefix beyond which it is lengthened, and that a task sorts at once.
+GROUP = 1 << 17
+#: Bytes of a word's hash that are sent.
+WORD_BYTES = 6
+SUFFIX = "prefix bigint, doc_id bigint, pos int, n int, words binary"
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -48,11 +56,11 @@ def texts(docs: DataFrame) -> DataFrame:
     return store(docs.select("doc_id", "text").mapInArrow(task, "doc_id bigint, n_words bigint, whole binary"), "dedup-texts")
 
 
-def _seeds(block: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window inside a row its smallest 5-word hash; the word it begins at and the rows' bounds."""
+def _seeds(block: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window inside a row its hash and its smallest SEED_WORDS-word stretch; the word it begins at and the rows' bounds."""
     whole, at, bounds = block.grams(window)
     if not len(at):
-        return whole, at, bounds
+        return whole, whole, at, bounds
     k = min(SEED_WORDS, window)
     small = np.zeros(len(block.hash) - k + 1, np.uint64)
     for j in range(k):
@@ -61,110 +69,231 @@ def _seeds(block: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     least = small[: len(small) - (window - k)].copy()
     for j in range(1, window - k + 1):
         np.minimum(least, small[j : j + len(least)], out=least)
-    return least[at], at, bounds
+    return whole, least[at], at, bounds
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal values in all columns begins."""
+    head = np.zeros(len(columns[0]), bool)
+    head[:1] = True
+    for c in columns:
+        head[1:] |= c[1:] != c[:-1]
+    return head
 
 
 def shared_seeds(docs: DataFrame, window: int) -> DataFrame:
-    """The seeds that occur in two different texts at least (copies count as one text)."""
+    """seed and n, the rows that it will send at most, of the stretches in two different texts at least (copies count as one text)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch.column("text"), WHITE, False, 1 << 21):
-                seeds, _, bounds = _seeds(block, window)
+                _, seeds, _, bounds = _seeds(block, window)
                 if not len(seeds):
                     continue
-                # a seed lasts for some windows: one row for each stay
-                first = np.ones(len(seeds), bool)
-                first[1:] = seeds[1:] != seeds[:-1]
-                first[bounds[:-1][bounds[:-1] < len(seeds)]] = True
+                row = np.repeat(np.arange(block.rows), np.diff(bounds))
+                first = _heads(seeds, row)  # a seed lasts for some windows: one row for each stay
                 weighed = mix(block.hash + np.uint64(1)) * mix(np.arange(len(block.hash), dtype=np.uint64) - np.repeat(block.words[:-1], np.diff(block.words)).astype(np.uint64), 7)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weighed, dtype=np.uint64)])
                 text = mix(total[block.words[1:]] - total[block.words[:-1]], 9)
-                owner = np.repeat(text, np.diff(bounds))
-                yield pa.RecordBatch.from_arrays([pa.array(seeds[first].view(np.int64)), pa.array(owner[first].view(np.int64))], names=["seed", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(seeds[first].view(np.int64)), pa.array(text[row[first]].view(np.int64))], names=["seed", "text"])
 
     found = docs.select("text").mapInArrow(task, "seed bigint, text bigint")
-    return store(found.groupBy("seed").agg(F.min("text").alias("low"), F.max("text").alias("high")).where("low <> high").select("seed"), "dedup-seeds")
+    counted = found.groupBy("seed").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.count("*").alias("n"))
+    return store(counted.where("low <> high").select("seed", "n"), "dedup-seeds")
+
+
+def suffixes(docs: DataFrame, member: Membership, heavy: dict[int, int], window: int) -> DataFrame:
+    """The suffixes that may repeat: prefix, doc_id, and n windows in a row from pos on with all their words.
 
+    Without words: windows that a smaller text in the same task has too.
+    heavy: seeds that are lengthened, and to how many words.
+    """
+    spark = docs.sparkSession
+    order = sorted(heavy)
+    table = spark.sparkContext.broadcast((np.array(order, np.int64), np.array([heavy[k] for k in order], np.int64)))
 
-def suffixes(docs: DataFrame, member: Membership, window: int) -> DataFrame:
-    """The suffixes that may repeat: prefix, rest of the window, doc_id, pos; known where a smaller text in the task has the window."""
+    def rows(prefix, doc, pos, n, words) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), words], names=["prefix", "doc_id", "pos", "n", "words"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, lengths = table.value
         for batch in batches:
             ids = batch.column("doc_id")
             valid = np.asarray(ids.is_valid())
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
             kept: list[tuple[np.ndarray, ...]] = []
+            hashes: list[np.ndarray] = []
+            held = 0
             for block in blocks(batch.column("text"), WHITE, False):
-                seeds, at, bounds = _seeds(block, window)
-                if not len(seeds):
-                    continue
+                whole, seeds, at, bounds = _seeds(block, window)
                 row = np.repeat(np.arange(block.rows), np.diff(bounds))
                 some = member.has(seeds) & valid[block.first + row]
-                at, row = at[some], row[some]
-                if len(at):
-                    part = lambda i, j: mix(sum((block.hash[at + k] * GRAM_FACTORS[k] for k in range(i, j)), np.zeros(len(at), np.uint64)), 50 + i)
-                    kept.append((part(0, SEED_WORDS), part(SEED_WORDS, window), ids[block.first + row], (at - block.words[row]).astype(np.int32)))
+                if some.any():
+                    at, row = at[some], row[some]
+                    kept.append((whole[some], seeds[some], ids[block.first + row], block.first + row, at - block.words[row], at + held))
+                    hashes.append(block.hash)
+                    held += len(block.hash)
             if not kept:
                 continue
-            prefix, rest, doc, pos = (np.concatenate(c) for c in zip(*kept))
-            order = np.lexsort((doc, rest, prefix))
-            prefix, rest, doc, pos = prefix[order], rest[order], doc[order], pos[order]
-            head = np.ones(len(doc), bool)
-            head[1:] = (prefix[1:] != prefix[:-1]) | (rest[1:] != rest[:-1])
-            least = doc[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(rest.view(np.int64)), pa.array(doc), pa.array(pos), pa.array(doc > least)], names=["prefix", "rest", "doc_id", "pos", "known"])
+            whole, seed, doc, row, pos, at = (np.concatenate(c) for c in zip(*kept))
+            word = np.concatenate(hashes)
+            by = np.lexsort((doc, whole))
+            head = _heads(whole[by])
+            known = np.empty(len(by), bool)
+            known[by] = doc[by] > doc[by][np.flatnonzero(head)[np.cumsum(head) - 1]]
+            gap = np.append(True, np.diff(at) != 1) | _heads(row)
+            first = np.flatnonzero(gap | _heads(known, seed))
+            n = np.diff(np.append(first, len(at)))
+            sure = known[first]
+            yield rows(mix(seed[first] ^ row[first].astype(np.uint64))[sure], doc[first][sure], pos[first][sure], n[sure], pa.nulls(int(sure.sum()), pa.binary()))
+            # a window of a lengthened prefix goes by itself
+            length = np.zeros(len(seed), np.int64)
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, seed.view(np.int64)), len(keys) - 1)
+                length = np.where(keys[place] == seed.view(np.int64), lengths[place], 0)
+            first = np.flatnonzero((gap | _heads(known, seed) | (length > 0)) & ~known)
+            n = np.diff(np.append(np.flatnonzero(gap | _heads(known, seed) | (length > 0)), len(at)))[~known[gap | _heads(known, seed) | (length > 0)]]
+            prefix = seed[first].copy()
+            for size in np.unique(length[first]):
+                if size:
+                    which = length[first] == size
+                    prefix[which] = mix(sum((word[at[first[which]] + k] * GRAM_FACTORS[k] for k in range(size)), prefix[which]), 50)
+            count = n + window - 1
+            stop = np.cumsum(count)
+            sent = word[np.repeat(at[first] - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
+            data = np.ascontiguousarray(sent.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES])
+            offsets = np.concatenate([[0], WORD_BYTES * stop]).astype(np.int32)
+            yield rows(prefix, doc[first], pos[first], n, pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]))
 
     return docs.select("doc_id", "text").mapInArrow(task, SUFFIX)
 
 
-def deep_nodes(rows: DataFrame) -> DataFrame:
-    """doc_id and pos of the windows that begin in a smaller text too: in each subtree the leaves below a deep node but for its smallest text's."""
+def tree(doc: np.ndarray, pos: np.ndarray, count: np.ndarray, word: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Repeats in the suffixes of rows (doc, pos, count words each in word): doc, pos and depth of each leaf below a deep node with a smaller text; and which rows have a leaf that is none."""
+    n = count - window + 1
+    base = np.cumsum(count) - count
+    row = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = base[row] + i
+    whole = np.zeros(len(at), np.uint64)
+    for k in range(window):
+        whole += word[at + k] * GRAM_FACTORS[k]
+    by = np.argsort(whole, kind="stable")
+    head = _heads(whole[by])
+    twice = np.zeros(len(by), bool)
+    twice[by] = np.diff(np.append(np.flatnonzero(head), len(by)))[np.cumsum(head) - 1] > 1
+    some = np.flatnonzero(twice)  # the others have no node so deep above them
+    depth = np.zeros(len(at), np.int64)
+    if len(some):
+        left = count[row[some]] - i[some]
+        deepest = int(left.max())
+        reach = np.arange(deepest)
+        words = np.where(reach < left[:, None], word[np.minimum(at[some][:, None] + reach, len(word) - 1)], np.uint64(0))
+        order = np.lexsort([words[:, k] for k in range(deepest - 1, -1, -1)])
+        words, left, some = words[order], left[order], some[order]
+        differ = np.concatenate([words[1:] != words[:-1], np.ones((len(some) - 1, 1), bool)], axis=1).argmax(1)
+        common = np.concatenate([[0], np.minimum(differ, np.minimum(left[1:], left[:-1]))])
+        owner, found = doc[row[some]], np.zeros(len(some), np.int64)
+        for level in range(deepest, window - 1, -1):
+            if level == window or (common == level).any():
+                node = np.flatnonzero(common < level)
+                least = np.repeat(np.minimum.reduceat(owner, node), np.diff(np.append(node, len(owner))))
+                found[(found == 0) & (owner > least)] = level
+        depth[some] = found
+    hit = depth > 0
+    first = np.zeros(len(n), bool)
+    first[row[~hit]] = True
+    return doc[row[hit]], pos[row[hit]] + i[hit], depth[hit], first
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    """Stretches of each text, those that meet or overlap as one."""
+    by = np.lexsort((start, doc))
+    doc, start, stop = doc[by], start[by], stop[by]
+    rank = np.cumsum(_heads(doc)) << 33
+    end = np.maximum.accumulate(rank + stop)
+    head = _heads(rank)
+    head[1:] |= rank[1:] + start[1:] > end[:-1]
+    last = np.append(np.flatnonzero(head), len(doc))[1:] - 1
+    return pa.RecordBatch.from_arrays([pa.array(doc[head]), pa.array(start[head].astype(np.int32)), pa.array((end - rank)[last].astype(np.int32))], names=["doc_id", "start", "stop"])
+
+
+def deep_nodes(rows: DataFrame, window: int, group: int) -> DataFrame:
+    """doc_id, start and stop of stretches that a smaller text has too, from the deep nodes of all trees."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: tuple[int, int, int] | None = None  # the node that the last batch ended in, and its smallest text
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def grown(some) -> tuple[pa.RecordBatch, np.ndarray]:
+            _, doc, pos, count, words = some
+            word = np.zeros((len(words) // WORD_BYTES, 8), np.uint8)
+            word[:, :WORD_BYTES] = words.reshape(-1, WORD_BYTES)
+            doc, at, depth, first = tree(doc, pos, count, word.view(np.uint64).ravel(), window)
+            return _merged(doc, at, at + depth), first
+
+        def cut(some, rows):
+            prefix, doc, pos, count, words = some
+            which = np.zeros(len(prefix), bool)
+            which[rows] = True
+            return prefix[which], doc[which], pos[which], count[which], words[np.repeat(which, count * WORD_BYTES)]
+
         for batch in batches:
+            sure = np.asarray(batch.column("words").is_null())
+            if sure.any():
+                known = batch.filter(pa.array(sure))
+                doc, pos, n = (known.column(c).to_numpy() for c in ("doc_id", "pos", "n"))
+                yield _merged(doc, pos, pos + n + window - 1)
+                batch = batch.filter(pa.array(~sure))
             if not batch.num_rows:
                 continue
-            prefix, rest, doc = (batch.column(c).to_numpy() for c in ("prefix", "rest", "doc_id"))
-            known = batch.column("known").to_numpy(zero_copy_only=False)
-            head = np.ones(len(doc), bool)
-            head[1:] = (prefix[1:] != prefix[:-1]) | (rest[1:] != rest[:-1])
-            first = np.flatnonzero(head)
-            least = doc[first].copy()
-            if open_ and (prefix[0], rest[0]) == open_[:2]:
-                least[0] = min(least[0], open_[2])
-            open_ = (prefix[-1], rest[-1], least[-1])
-            hit = known | (doc > least[np.cumsum(head) - 1])
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(batch.column("pos").to_numpy()[hit])], names=["doc_id", "pos"])
+            prefix, doc, pos, n = (batch.column(c).to_numpy() for c in ("prefix", "doc_id", "pos", "n"))
+            column = batch.column("words")
+            _, offsets, data = column.buffers()
+            ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+            held.append((prefix, doc, pos.astype(np.int64), n.astype(np.int64) + window - 1, np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]))
+            size += int(n.sum())
+            if size < group:
+                continue
+            # all trees but the last are whole
+            some = tuple(np.concatenate(c) for c in zip(*held))
+            others = np.flatnonzero(some[0] != some[0][-1])
+            last = int(others[-1]) + 1 if len(others) else 0
+            if last:
+                yield grown(cut(some, slice(0, last)))[0]
+                some = cut(some, slice(last, None))
+            if int((some[3] - window + 1).sum()) >= group:
+                # rows come by doc_id: of a large tree only suffixes that are new so far are needed further on
+                found, first = grown(some)
+                yield found
+                some = cut(some, first)
+            held, size = [some], int((some[3] - window + 1).sum())
+        if held:
+            yield grown(tuple(np.concatenate(c) for c in zip(*held)))[0]
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # what is known needs no tree: it is dealt by its place, so that one window's suffixes do not meet
-    spread = F.when(F.col("known"), F.xxhash64("doc_id", "pos")).otherwise(F.col("prefix"))
-    deep = F.when(F.col("known"), F.lit(0)).otherwise(F.shiftright("rest", 60))  # the prefix's length grows by some bits of what follows
-    sorted_ = rows.repartition(parts, spread, deep).sortWithinPartitions("prefix", "rest", "doc_id")
-    return sorted_.mapInArrow(task, "doc_id bigint, pos int")
+    return rows.repartition(parts, "prefix").sortWithinPartitions("prefix", "doc_id").mapInArrow(task, "doc_id bigint, start int, stop int")
 
 
-def spans(places: DataFrame, window: int) -> DataFrame:
-    """For each text the maximal stretches of words that repeat: doc_id, from and to (end exclusive) as arrays."""
-    runs = places.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("p"))
-    starts = F.filter("p", lambda x, i: F.coalesce(x - F.get("p", i - 1) > window, F.lit(True)))
-    stops = F.transform(F.filter("p", lambda x, i: F.coalesce(F.get("p", i + 1) - x > window, F.lit(True))), lambda x: x + window)
-    return runs.select("doc_id", starts.alias("start"), stops.alias("stop"))
+def spans(stretches: DataFrame) -> DataFrame:
+    """For each text its maximal stretches, those that meet or overlap as one: doc_id, start and stop (exclusive) as arrays in order."""
+    end = F.col("stop").cast("int")
+    found = stretches.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", end.alias("stop")))).alias("s"))
+    # a stretch begins where it lies behind all before it; the last stop before the next beginning ends it
+    reach = F.expr("aggregate(s, cast(array() as array<struct<start: int, stop: int>>), (acc, x) -> CASE WHEN size(acc) > 0 AND acc[size(acc) - 1].stop >= x.start THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', acc[size(acc) - 1].start, 'stop', greatest(acc[size(acc) - 1].stop, x.stop)))) ELSE concat(acc, array(x)) END)")
+    return found.select("doc_id", reach.alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.stop").alias("stop"))
 
 
-def repeats(docs: DataFrame, window: int = 50) -> DataFrame:
-    """doc_id, start and stop: the stretches of every text that repeat one of a text with a smaller doc_id."""
+def repeats(docs: DataFrame, window: int = 50, group: int = GROUP) -> DataFrame:
+    """doc_id, start and stop: the maximal stretches of every text that repeat, over a window at least, texts with a smaller doc_id."""
     seeds = shared_seeds(docs, window)
     bits = min(28, max(20, (16 * max(1, seeds.count()) - 1).bit_length()))  # 32 MB at most
-    member = Membership(seeds, "seed", bits)
-    return store(spans(deep_nodes(suffixes(docs, member, window)), window), "dedup-spans")
+    # there are at most as many heavy prefixes as all suffixes fill groups
+    heavy = {r.seed: min(window, SEED_WORDS + 1 + int(r.n // group).bit_length()) for r in seeds.where(F.col("n") > group).collect()}
+    return store(spans(deep_nodes(suffixes(docs, Membership(seeds, "seed", bits), heavy, window), window, group)), "dedup-spans")
 
 
-def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 50, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space; null if whole) and kept_sha256 for every row.
 
     Words are split at ASCII white space and compared as they are.  Removed is
@@ -178,8 +307,8 @@ def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     whole = texts(docs)
     # copies: the smallest doc_id of equal texts keeps what it has for itself
     first = whole.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("whole").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = store(whole.join(first, "whole").where("doc_id > first").select("doc_id", "whole").distinct(), "dedup-copies")
-    cut = repeats(docs, window)
+    copies = store(salted_join(whole, first, ["whole"], "doc_id", "inner").where("doc_id > first").select("doc_id", "whole").distinct(), "dedup-copies")
+    cut = repeats(docs, window, group)
     member = Membership(cut.select(F.xxhash64("doc_id").alias("key")), "key")
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -122,8 +122,9 @@ def test_substring_dedup(docs, empty):
             if first[tuple(w[k : k + 13])] < i:
                 gone.update(range(k, k + 13))
         expected.add((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
-    got = suffixes.dedup(frame, 13).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
-    assert len(got) == len(rows) and {tuple(r) for r in got} == expected
+    for group in (suffixes.GROUP, 4):  # prefixes of some words only, and such of up to the whole window
+        got = suffixes.dedup(frame, 13, group).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert len(got) == len(rows) and {tuple(r) for r in got} == expected
     assert suffixes.dedup(empty, 13).count() == 0
 
 
