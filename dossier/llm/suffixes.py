@@ -141,18 +141,20 @@ def suffixes(docs: DataFrame, member: Membership, heavy: dict[int, int], window:
             head = _heads(whole[by])
             known = np.empty(len(by), bool)
             known[by] = doc[by] > doc[by][np.flatnonzero(head)[np.cumsum(head) - 1]]
-            gap = np.append(True, np.diff(at) != 1) | _heads(row)
-            first = np.flatnonzero(gap | _heads(known, seed))
-            n = np.diff(np.append(first, len(at)))
-            sure = known[first]
-            yield rows(mix(seed[first] ^ row[first].astype(np.uint64))[sure], doc[first][sure], pos[first][sure], n[sure], pa.nulls(int(sure.sum()), pa.binary()))
-            # a window of a lengthened prefix goes by itself
+            gap = np.append(True, np.diff(at) != 1) | _heads(row, known, seed)
+            sure = np.flatnonzero(gap & known)
+            ends = np.append(np.flatnonzero(gap), len(at))
+            yield rows(mix(seed[sure] ^ row[sure].astype(np.uint64)), doc[sure], pos[sure], np.diff(ends)[known[ends[:-1]]], pa.nulls(len(sure), pa.binary()))
+            # a window of a lengthened prefix goes by itself, of others at most `window` go together
             length = np.zeros(len(seed), np.int64)
             if len(keys):
                 place = np.minimum(np.searchsorted(keys, seed.view(np.int64)), len(keys) - 1)
                 length = np.where(keys[place] == seed.view(np.int64), lengths[place], 0)
-            first = np.flatnonzero((gap | _heads(known, seed) | (length > 0)) & ~known)
-            n = np.diff(np.append(np.flatnonzero(gap | _heads(known, seed) | (length > 0)), len(at)))[~known[gap | _heads(known, seed) | (length > 0)]]
+            start = np.flatnonzero(gap)[np.cumsum(gap) - 1]
+            gap |= (length > 0) | ((np.arange(len(at)) - start) % window == 0)
+            first = np.flatnonzero(gap & ~known)
+            ends = np.append(np.flatnonzero(gap), len(at))
+            n = np.diff(ends)[~known[ends[:-1]]]
             prefix = seed[first].copy()
             for size in np.unique(length[first]):
                 if size:

@@ -34,7 +34,7 @@ def sample(n=60, seed=5):
         texts.append(" ".join(words[:50]) + "\n" + "\t".join(words[50:]))
         if i % 9 == 0:
             texts.append(texts[-1])
-    texts += [None, "", " \n\t ", "one", "x" * 5000, "one", " ".join(passage * 30)]
+    texts += [None, "", " \n\t ", "one", "x" * 5000, "one", " ".join(passage * 30), "so " * 3000, "and so " + "so " * 700]
     ids = list(range(len(texts)))
     r.shuffle(ids)
     return list(zip(ids, texts))
