@@ -141,18 +141,55 @@ def test_warc(spark):
     assert [g[:2] for g in warc.ranges([(0, 10), (10, 5), (10**6, 3)])] == [(0, 15), (10**6, 10**6 + 3)]
 
 
-def test_pii_base_and_chain(spark):
+def test_pii_chain(spark, empty):
     text = "Call +1 (743) 555-3824 or (743) 555-3824; a.b@x.org, a.b [at] x [dot] org. 10.0.0.256; 10.0.0.25; 4111 1111 1111 1111"
     base, spans = pii.find(text)
     named = [(pii.KINDS[k], text[s:e]) for k, s, e in base]
     assert named == [("email", "a.b@x.org"), ("ip", "10.0.0.25"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (743) 555-3824")]
-    added = {text[s:e] for k, s, e in set(spans) - set(base)}
-    assert added == {"(743) 555-3824", "a.b [at] x [dot] org"}
-    assert pii.find("the (743) 555-3824 alone")[1] == [] and pii.find(None) == ([], [])
-    frame = spark.createDataFrame([(1, text, 5), (2, None, None), (3, "", 0)], "doc_id bigint, text string, n_chars bigint")
+    assert {text[s:e] for k, s, e in set(spans) - set(base)} == {"(743) 555-3824", "a.b [at] x [dot] org"}
+    # the same mentions by themselves are left alone, a word before may tell
+    assert pii.find("the (743) 555-3824 alone")[1] == [] and pii.find("of 10.0.0.256 is")[1] == [] and pii.find(None) == ([], [])
+    assert [k for k, *_ in pii.find("Email: JOHN (AT) EXAMPLE (DOT) COM")[1]] == [0]
+    card = "paid by 4111111111111111 and then, many words later, by 4111111111111112"
+    assert {card[s:e] for _, s, e in pii.find(card)[1]} == {"4111111111111111", "4111111111111112"} and pii.find("number 4111111111111112 " * 5)[1] == []
+    frame = spark.createDataFrame([(1, text, 5, "x"), (2, None, None, "y"), (3, "", 0, None), (None, card, 1, "z"), (1, text, 5, "x")], "doc_id bigint, text string, n_chars bigint, base string")
     got = {r.doc_id: r for r in pii.redact(frame).collect()}
-    assert "555" not in got[1].text and got[1].n_chars == len(got[1].text) and got[2].text is None
-    assert pii.scan(frame).count() == 3 and pii.scan(frame.where("false")).count() == 0
+    assert "555" not in got[1].text and got[1].n_chars == len(got[1].text) and got[2].text is None and got[2].base == "y" and "4111" not in got[None].text
+    assert pii.scan(frame).count() == 5 and pii.scan(frame.where("false")).count() == 0 and pii.scan(empty).count() == 0
+    assert pii.fit(frame.where("false")).weight == pii.Potentials().weight
+
+
+def test_pii_potentials_are_fitted(spark):
+    """Weights follow what the corpus shows, and are the same however its rows are dealt."""
+    pairs = [(i, f"first 4111 1111 1111 1111 then 5500 0000 0000 0004 at {i}") for i in range(30)]
+    mixed = [(i, f"mail u{i}@x.org 10.0.0.{i} card 4111111111111111") for i in range(30)]
+    weights = [pii.fit(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(n)).weight for rows in (pairs, mixed) for n in (1, 3)]
+    assert weights[0] == weights[1] and weights[2] == weights[3]
+    assert weights[0]["alike"] > weights[2]["alike"] and weights[0]["near"] > weights[2]["near"] == 0
+
+
+def plain_base(text):
+    """The contract's base patterns, by plain expressions."""
+    found = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (16 <= len(digits) <= 19 and sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0):
+                continue
+            if kind == "phone" and not 8 <= len(digits) <= 15:
+                continue
+            found.append((kind, *m.span()))
+    return found
+
+
+def test_pii_base_spans():
+    r = random.Random(3)
+    pool = ["a", "b.c", "@", "x", ".", "org", "1", "23", "256", "4111 1111 1111 1111", "+", "49", " ", "-", "(", ")", "\n", "é", "٣", "5500-0000-0000-0004", "10.0.0.1", "%", "+1 (743) 555-3824"]
+    for _ in range(3000):
+        text = "".join(r.choice(pool) for _ in range(r.randint(1, 25)))
+        assert [(pii.KINDS[k], s, e) for k, s, e in sorted(pii.base_spans(text))] == plain_base(text)
 
 
 def test_quality_counts_and_verdict(docs, empty, spark):
