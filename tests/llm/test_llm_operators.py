@@ -210,37 +210,35 @@ def test_quality_counts_and_verdict(docs, empty, spark):
     assert not got[99] and sum(got[i] for i in range(40)) == sum(not r.base_failed for r in quality.assess(spark.createDataFrame(clean, "doc_id bigint, text string, lang string")).collect())
 
 
-def test_kd_tree(docs, empty):
+def test_kd_tree(docs, empty, spark):
     rows, frame = docs
-    got = kdtree.shard(frame, leaves=4).collect()
-    assert len(got) == len(rows)
-    sizes, slots = Counter(), defaultdict(list)
+    texts = dict(rows)
+    copies = [(5000 + k, "a copy " * (20 + k // 2), "en" if k % 3 else "de", "s", 1, "clash", 9) for k in range(40)]  # pairs with other metadata
+    texts |= {c[0]: c[1] for c in copies}
+    got = kdtree.shard(frame.unionByName(spark.createDataFrame(copies, SCHEMA)), leaves=4).collect()
+    assert len(got) == len(rows) + len(copies)
+    sizes, slots, shards, group = Counter(), defaultdict(list), defaultdict(set), Counter()
     for r in got:
-        text = (next(t for i, t in rows if i == r.doc_id) or "").encode()
+        text = (texts[r.doc_id] or "").encode()
         assert r["size"] == len(text) + 1 and r.text_crc32 == zlib.crc32(text)
         sizes[r.shard] += r["size"]
+        group[text] += r["size"]
         slots[r.shard].append(r.slot)
+        shards[text].add(r.shard)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(sizes) == {0, 1, 2, 3}
-    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in got)
+    assert all(len(s) == 1 for s in shards.values())
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(group.values())
     assert kdtree.shard(empty, leaves=4).count() == 0
 
 
-def test_bpe_matches_the_library(docs, empty, monkeypatch):
-    from tokenizers import Tokenizer
-
-    path = vocabulary("word_bpe_49k.json")
-    own, rows = Tokenizer.from_file(path), docs[0]
-    monkeypatch.setattr(bpe, "PIECE", 700)
-    monkeypatch.setattr(bpe, "LEAF", 100)
-    odd = [(2000 + k, t) for k, t in enumerate(odd_texts(20, 900, 7))] + [(3000, "漢字かな" * 700), (3001, "a" * 2500), (3002, "one 'll " * 4000)] + [(1001, "x\x1cy \x85é İ ΑΣ <|endoftext|>don't　a" * 40), (1002, "re'sx1a!" * 900)]
-    frame = docs[1].unionByName(docs[1].sparkSession.createDataFrame([(i, t, "en", "s", 1, "c", 1) for i, t in odd], SCHEMA))
-    texts = dict(rows + odd)
-    got = bpe.encode(frame, path).collect()
-    assert len(got) == len(rows) + len(odd)
+def test_kd_tree_cuts_only_groups_heavier_than_a_leaf(spark):
+    rows = [(i, "one text " * 50) for i in range(300)] + [(1000 + i, f"text {i} " * 50) for i in range(100)]
+    got = kdtree.shard(spark.createDataFrame(rows + rows[:1], "doc_id bigint, text string"), leaves=4).collect()
+    sizes = Counter()
     for r in got:
-        ids = own.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
-        assert (r.n_tokens, r.ids, r.decoded) == (len(ids), ids, own.decode(ids, skip_special_tokens=False))
-    assert bpe.encode(empty, path, "digests").count() == 0
+        sizes[r.shard] += r["size"]
+    assert len(sizes) == 4 and max(sizes.values()) < 1.1 * min(sizes.values())
+    assert len({r.shard for r in got if r.doc_id == rows[0][0]}) == 1
 
 
 BPE_POOL = ["the", "’s", "'re", "'s", "''", "x1", "é", "e\u0301", "漢字", "かな", "한", "\u1112\u1161\u11ab", "İ", "ΑΣ", "<|endoftext|>", "<|start", "oftext|>", " ", "  ", "\n", "a", "th", "123", "\u0316\u0301", "\U0001f600", "का", "\x85", "\x1c", "ß", "!!", "　", "ﬁ"]
