@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import salted_join, store
+from .shared import let, salted_join, store
 
 BIN_BITS, KEY_BITS, TEXT_BITS, TOLERANCE = 12, 63, 39, 0.002
 DIMENSIONS = 3
@@ -132,10 +132,16 @@ def shard(docs: DataFrame, leaves: int | None = 16, target_bytes: int | None = N
         if second:
             held = rows.withColumn("key", key).where(F.col("key") == _pick([search[n].prefix if n in second else -1 for n in range(count)], F.col("node"), "bigint"))
             _medians(held, F.col("id_key"), {n: s for n, (s, _) in second.items()}, {n: g for n, (_, g) in second.items()})
-        at = _pick([search[n].prefix if n in second else search[n].threshold if n in search else 0 for n in range(count)], F.col("node"), "bigint")
-        by_id = _pick([(second[n][0].threshold if second[n][0].threshold is not None else second[n][0].prefix + 1) if n in second else 0 for n in range(count)], F.col("node"), "bigint")
-        right = (key > at) | ((key == at) & (F.col("id_key") >= by_id))
-        rows = rows.withColumn("node", F.col("node") * 2 + right.cast("bigint"))
+        ways = []
+        for n in range(count):
+            s, by_id = search.get(n), 0
+            if n in second:
+                by_id = second[n][0].threshold if second[n][0].threshold is not None else second[n][0].prefix + 1
+            at = 0 if s is None else s.prefix if n in second else s.threshold
+            ways.append(F.struct(F.lit(dimension[n] + 1).alias("d"), F.lit(at).cast("bigint").alias("at"), F.lit(by_id).cast("bigint").alias("by_id")))
+        # each value is bound once, or the expression would double with every level
+        right = lambda way: let(F.shiftleft(F.element_at(F.array("d0", "d1", "d2"), way["d"]), TEXT_BITS).bitwiseOR(F.col("text_key")), lambda k: (k > way["at"]) | ((k == way["at"]) & (F.col("id_key") >= way["by_id"])))
+        rows = rows.withColumn("node", let(F.col("node"), lambda n: n * 2 + let(F.element_at(F.array(*ways), (n + 1).cast("int")), right).cast("bigint")))
         level += 1
     return with_slots(rows.select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard")))
 
