@@ -282,6 +282,31 @@ def test_lm_base_scores(docs, empty, monkeypatch, frequent):
     assert attention.score(empty, empty).count() == 0
 
 
+def test_lm_subwords_spell_their_words():
+    import numpy as np
+    import pyarrow as pa
+
+    block = next(attention.blocks(pa.array(["The theory, Ünd x", None, "the " + "abcdefghij" * 30]), attention.WHITE, True))
+    key = attention.word_keys(block)
+    pieces = np.sort(attention.word_keys(next(attention.blocks(pa.array(["the ory abc"]), attention.WHITE, True))))
+    whole = np.zeros(len(key), bool)
+    whole[3] = True
+    sub, bounds = attention.subwords(block, key, whole, pieces)
+    spelt = [int(k & ((1 << 48) - 1)).to_bytes(6, "little")[: int(k >> 48) & 7] for k in sub if k != attention.END]
+    assert b"".join(spelt) == b"thetheory,\xc3\x9cndxthe" + b"abcdefghij" * 30
+    assert spelt[:4] == [b"the", b"the", b"ory", b","] and (sub[bounds[1:] - 1] == attention.END).all() and bounds[2] == bounds[1] + 1
+
+
+def test_lm_beats_counted_words(spark):
+    """On texts of two made-up languages that were not learnt from, the model gives a token more than its count does."""
+    r = random.Random(4)
+    languages = [["".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(300)] for letters in ("abcde", "vwxyz")]
+    rows = [(i, " ".join(r.choices(languages[i % 2], weights=[1 / (k + 3) for k in range(300)], k=120))) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = attention.score(frame, frame.where("doc_id % 7 <> 2")).where("doc_id % 7 = 2").agg({"score": "sum", "base_score": "sum"}).first()
+    assert got["sum(score)"] > 0.95 * got["sum(base_score)"]
+
+
 def test_attention_gradients():
     import numpy as np
 
