@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import Membership, store
+from .shared import Membership, salted_join, store
 from .words import WHITE, blocks, gram_sets, mix
 
 #: Fixed salts of the token orders.
@@ -92,6 +92,7 @@ def hash_prefixes(docs: DataFrame, spec: Spec) -> DataFrame:
     """token and class (first half of the fingerprint) of every lengthened prefix under the hash order."""
 
     def task(batches):
+        seen = set()  # copies in a task are posted once
         for batch in batches:
             tokens, owners = [], []
 
@@ -100,10 +101,11 @@ def hash_prefixes(docs: DataFrame, spec: Spec) -> DataFrame:
 
             held = 0
             for _, s in _sets(batch, spec):
-                if len(s):
+                if len(s) and (fp := _print(s)[0]) not in seen:
+                    seen.add(fp)
                     k = int(spec.prefix(len(s)))
                     tokens.append(s[:k])  # sets are sorted by hash
-                    owners.append((_print(s)[0], k))
+                    owners.append((fp, k))
                     held += k
                     if held > 200_000:
                         yield flush()
@@ -124,18 +126,22 @@ def survivors(docs: DataFrame, spec: Spec) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, keep: DataFrame, spec: Spec) -> DataFrame:
-    """rep (smallest doc_id), fp, size and the whole sorted set of every class in keep."""
+    """rep (smallest doc_id), fp, size and the whole sorted set of every class in keep (fp, rep); a task sends the set of copies once."""
     member = Membership(keep, "fp")
 
+    def pack(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["fp", "n", "tokens"])
+
     def task(batches):
+        seen = set()
         for batch in batches:
-            ids, rows = batch.column("doc_id").to_pylist(), []
-            held = 0
-            for i, s in _sets(batch, spec):
-                if len(s) and ids[i] is not None:
+            rows, held = [], 0
+            for _, s in _sets(batch, spec):
+                if len(s):
                     fp = _print(s)[0]
-                    if member.has(np.array([fp], np.int64))[0]:
-                        rows.append((ids[i], fp, len(s), s.view(np.int64)))
+                    if fp not in seen and member.has(np.array([fp], np.int64))[0]:
+                        seen.add(fp)
+                        rows.append((fp, len(s), s.view(np.int64)))
                         held += len(s)
                 if held > 500_000:
                     yield pack(rows)
@@ -143,12 +149,9 @@ def class_sets(docs: DataFrame, keep: DataFrame, spec: Spec) -> DataFrame:
             if rows:
                 yield pack(rows)
 
-    def pack(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "fp", "n", "tokens"])
-
-    found = docs.select("doc_id", "text").mapInArrow(task, "doc_id bigint, fp bigint, n int, tokens array<bigint>")
-    first = found.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    return store(first.join(keep, "fp", "left_semi"), "jaccard-sets")
+    found = docs.select("text").mapInArrow(task, "fp bigint, n int, tokens array<bigint>")
+    first = found.groupBy("fp").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    return store(first.join(keep, "fp"), "jaccard-sets")
 
 
 def central(classes: DataFrame, spec: Spec) -> DataFrame:
@@ -174,25 +177,36 @@ def _possible(spec: Spec, a: str, b: str) -> Column:
     return (100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= spec.percent * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))) & (most >= need)
 
 
-def verify(pairs: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
-    """The pairs (a, b) that share a prefix token under both further orders and are similar."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("own").alias(f"own{x}"), F.col("tokens").alias(f"t{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def further_orders(classes: DataFrame, spec: Spec) -> DataFrame:
+    """rep and the prefixes a and b of every class under two further orders, each sorted."""
+
+    def task(batches):
+        for batch in batches:
+            rep, n, own = (batch.column(c).to_numpy() for c in ("rep", "n", "own"))
+            tokens = batch.column("tokens")
+            prefixes = [[np.sort(_prefix(tokens[i].values.to_numpy(), n[i], own[i], spec, salt)).view(np.int64) for i in range(len(rep))] for salt in (SALT_A, SALT_B)]
+            yield pa.RecordBatch.from_arrays([pa.array(rep), *[pa.array(p, pa.list_(pa.int64())) for p in prefixes]], names=["rep", "a", "b"])
+
+    return store(classes.select("rep", "n", "own", "tokens").mapInArrow(task, "rep bigint, a array<bigint>, b array<bigint>"), "jaccard-orders")
+
+
+def verify(pairs: DataFrame, orders: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
+    """The pairs (a, b) that share a prefix token under both further orders too, and of these the similar ones; whole sets meet only for those."""
+    prefix = lambda x: orders.select(F.col("rep").alias(x), F.col("a").alias(f"{x}1"), F.col("b").alias(f"{x}2"))
+    candidates = pairs.join(prefix("a"), "a").join(prefix("b"), "b").where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b")
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
+    both = store(candidates, "jaccard-candidates").join(side("a"), "a").join(side("b"), "b")
 
     def task(batches):
         for batch in batches:
-            columns = [batch.column(c) for c in ("a", "b", "na", "nb", "owna", "ownb", "ta", "tb")]
-            a, b, na, nb, oa, ob = (c.to_numpy() for c in columns[:6])
-            good = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                x, y = columns[6][i].values.to_numpy(), columns[7][i].values.to_numpy()
-                if all(len(np.intersect1d(_prefix(x, na[i], oa[i], spec, s), _prefix(y, nb[i], ob[i], spec, s), True)) for s in (SALT_A, SALT_B)):
-                    both = len(np.intersect1d(x, y, True))
-                    good[i] = 100 * both >= spec.percent * (na[i] + nb[i] - both)
+            a, b, na, nb = (batch.column(c).to_numpy() for c in ("a", "b", "na", "nb"))
+            ta, tb = batch.column("ta"), batch.column("tb")
+            common = np.array([len(np.intersect1d(ta[i].values.to_numpy(), tb[i].values.to_numpy(), True)) for i in range(len(a))], np.int64)
+            good = 100 * common >= spec.percent * (na + nb - common)
             if good.any():
                 yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
-    return both.select("a", "b", "na", "nb", "owna", "ownb", "ta", "tb").mapInArrow(task, "a bigint, b bigint")
+    return both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(task, "a bigint, b bigint")
 
 
 def _prefix(tokens: np.ndarray, n: int, own: int, spec: Spec, salt: int) -> np.ndarray:
@@ -284,7 +298,7 @@ def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def links(classes: DataFrame, spec: Spec) -> DataFrame:
     """Links (a, b) between classes that give the same components as all links would."""
-    posted = postings(classes, spec)
+    posted, orders = postings(classes, spec), further_orders(classes, spec)
     spark = classes.sparkSession
     found = spark.createDataFrame([], "a bigint, b bigint")
     labels = spark.createDataFrame([], "node bigint, component bigint")
@@ -296,14 +310,14 @@ def links(classes: DataFrame, spec: Spec) -> DataFrame:
         lists = now.groupBy("token").agg(centre, F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high").select(*fields, "size")
         apart = now.alias("m").join(lists.alias("h"), "token").where("m.comp <> h.comp")
         if turn == 0:
-            new = verify(store(_pairs(apart.where(_possible(spec, "m", "h")), "m.rep", "h.rep"), "jaccard-pairs"), classes, spec)
+            new = verify(store(_pairs(apart.where(_possible(spec, "m", "h")), "m.rep", "h.rep"), "jaccard-pairs"), orders, classes, spec)
         else:
             apart = store(apart.select("token", "m.rep", "m.n", "m.pos", "m.comp", "h.size"), "jaccard-apart")
             last = turn == CENTRE_ROUNDS
             # a further centre among those outside against the whole list; in the end all of them, in short lists by pairs
             second = apart.where(F.col("size") <= SHORT_LIST) if last else apart.groupBy("token").agg(centre).select(*fields)
             pairs = _pairs(second.alias("s").join(now.alias("m"), "token").where("m.comp <> s.comp").where(_possible(spec, "m", "s")), "m.rep", "s.rep")
-            new = verify(store(pairs, "jaccard-pairs"), classes, spec)
+            new = verify(store(pairs, "jaccard-pairs"), orders, classes, spec)
             if last:
                 new = new.unionByName(block_links(now, apart.where(F.col("size") > SHORT_LIST).drop("size"), classes, spec))
         new = store(new, "jaccard-links")
@@ -328,17 +342,19 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     spec = Spec(n, percent)
     signed = signatures(docs, spec)
     filled = signed.where("n_shingles > 0")
-    first = filled.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    first = filled.groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
     classes = store(first, "jaccard-classes")
     shared = survivors(docs, spec)
     size = F.col("n").cast("int")
     least = F.greatest(F.lit(1), F.lit(1) + F.floor(spec.least_col(size) / 20).cast("int"))
-    keep = classes.join(shared, "fp").where(F.col("shared") >= least).select("fp")
-    left = central(class_sets(docs, store(keep.distinct(), "jaccard-keep"), spec), spec)
+    keep = classes.join(shared, "fp").where(F.col("shared") >= least).groupBy("fp").agg(F.min("rep").alias("rep")).where("rep IS NOT NULL")
+    left = central(class_sets(docs, store(keep, "jaccard-keep"), spec), spec)
     labels = components(links(left, spec))
-    owners = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "fp2", F.coalesce("component", "rep").alias("component_id"))
-    return signed.join(owners, ["fp", "fp2"], "left").select(
+    owners = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "fp2", "rep", "copies", F.coalesce("component", "rep").alias("component_id"))
+    # only copies and linked classes need to be told; a class with many copies is dealt to several tasks
+    told = owners.where((F.col("copies") > 1) | ~F.col("component_id").eqNullSafe(F.col("rep"))).select("fp", "fp2", "component_id")
+    return salted_join(signed, told, ["fp", "fp2"], "doc_id", "left").select(
         "doc_id",
         F.col("n_shingles").cast("bigint").alias("n_shingles"),
-        F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
