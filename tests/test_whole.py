@@ -3,10 +3,6 @@
 import difflib
 import random
 
-import pyarrow as pa
-
-from dossier.llm import attention, decontaminate, pii
-from dossier.llm.words import WHITE, blocks
 from dossier.operators import graph, matching, retrieval
 from dossier.plans import registry
 
@@ -39,16 +35,6 @@ def test_closures_of_all_orders(spark):
     assert sorted(got) == sorted((k, "unparsable" if k % 5 == 0 else "mismatch") for k in keys if k % 3 == 0 or k % 5 == 0)
 
 
-def test_attention_learns_from_all_texts(spark, monkeypatch):
-    """From a text of over a million bytes, and with several shards from texts of all rounds."""
-    rows = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = attention.score(rows(["ab cd ef " * 20]), rows(["ab cd ef " * 120_000])).first()
-    assert got.score / got.n_tokens > -0.3
-    monkeypatch.setattr(attention, "SHARD_BYTES", 20_000)
-    got = attention.score(rows(["ab cd ef " * 20]), rows(["ab cd ef " * 200] * 60)).first()
-    assert got.score / got.n_tokens > -1
-
-
 def test_links_of_all_customers(spark, tmp_path):
     """Customers above the old bounds of 300 and 500 have dead links and neighbours too."""
     for name in ("nation", "region"):
@@ -77,34 +63,3 @@ def test_whole_parents(spark):
     hits = spark.createDataFrame([("s", 1, 0), ("s", 2, 9)], "source string, ord int, parent_ord int")
     parents = spark.createDataFrame([("s", 0, "x" * 100)], "source string, parent_ord int, text string")
     assert {r.ord: r.parent_text for r in retrieval.attach_parents(hits, parents).collect()} == {1: "x" * 100, 2: None}
-
-
-def test_spelt_addresses_in_capitals(spark):
-    text = "Email: JOHN (AT) EXAMPLE (DOT) COM"
-    assert pii.find(text)[1] == pii.find(text.lower())[1] == [(0, 7, len(text))]
-    rows = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    assert pii.redact(rows).first().text == "Email: [EMAIL]" and pii.scan(rows).first().spans == f"email:7:{len(text)}"
-
-
-def test_pieces_spell_the_other_words(spark):
-    """Pieces of words in the table are not counted."""
-    letters = [chr(i) for i in range(0x21, 0x7F) if not chr(i).isupper()] + [chr(i) for i in range(0xA1, 0x100)]
-    rare = [a + b for a in letters for b in letters]
-    rows = spark.createDataFrame([(1, "often " * 5 + " ".join(rare))], "doc_id bigint, text string")
-    (often,) = [block.hash for block in blocks(pa.array(["often"]), WHITE, True)]
-    keys, n = attention.piece_counts(rows, often)
-    every, all_n = attention.piece_counts(rows, often[:0])
-    assert all_n.sum() - n.sum() == 15 and n[keys == attention.END].sum() == 1
-    pairs = [x.encode()[i : i + 2] + (b"." if i + 2 >= len(x.encode()) else b"") for x in rare for i in range(0, len(x.encode()), 2)]
-    assert len(keys) == len(set(pairs)) + 1 and n.sum() == len(pairs) + 1
-
-
-def test_near_matches_past_repeated_words(spark):
-    """Places (5, 1), (6, 2), (7, 2), (8, 3) have three offsets within slop, but no three neighbours have; and a short item."""
-    words = ["pad"] * 12
-    for diagonal, offset in ((5, 0), (6, 1), (7, 1), (8, 2)):
-        words[diagonal + offset] = ["alpha", "beta", "gamma"][offset]
-    docs = spark.createDataFrame([(1, " ".join(words)), (2, "alpha pad pad pad pad pad pad gamma beta"), (3, "delta pad epsilon")], "doc_id bigint, text string")
-    items = spark.createDataFrame([(10, "alpha beta gamma"), (11, "delta epsilon")], "item_id bigint, text string")
-    got = {r.doc_id: (r.items, r.near) for r in decontaminate.search(docs, items, 3, 3).collect()}
-    assert got == {1: ([], [10]), 2: ([], []), 3: ([], [11])}
