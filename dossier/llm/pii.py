@@ -179,7 +179,9 @@ def observed(text: str) -> Iterator[tuple[str, ...]]:
     base = sorted(base_spans(text))
     nodes = mentions(text, base)
     for s, e, kind in nodes:
-        yield "unary", OPEN if kind is None else KINDS[kind], *features(text, s, e)
+        found = features(text, s, e)
+        if kind is not None or not found[2]:  # an open mention after a word that tells is no example of none
+            yield "unary", OPEN if kind is None else KINDS[kind], *found
     for i, j, name in edges(text, nodes):
         a, b = nodes[i][2], nodes[j][2]
         if a is not None and b is not None:

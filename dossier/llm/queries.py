@@ -84,4 +84,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+SELECT page_id, payload_bytes,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, (i // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM d"""
+
+_JACCARD = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_FOLDED)} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS s FROM w),
+c AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s),
+t AS (SELECT rep, n, unnest(s) AS token FROM c),
+o AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM t a JOIN t b ON a.token = b.token AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM o WHERE 100 * shared >= 85 * (na + nb - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS node, b AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+k AS (SELECT rep, least(rep, coalesce(min(other), rep)) AS component_id FROM c LEFT JOIN r ON r.node = rep GROUP BY rep)
+SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(k.component_id, doc_id) AS component_id FROM s LEFT JOIN c ON c.s = list_sort(s.s) AND len(s.s) > 0 LEFT JOIN k ON k.rep = c.rep"""
+
+_LEAKS = f"""
+WITH f AS (SELECT item_id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[p : p + least(10, len(w)) - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM f WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+v AS (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS k FROM (SELECT d.*, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)),
+h AS (SELECT v.doc_id, v.n, v.p, i.item_id FROM v JOIN i ON v.n = i.n AND v.k = i.k),
+x AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, n, p FROM h)) GROUP BY doc_id),
+y AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)"""
+
+_REPEATS = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+v AS (SELECT doc_id, p, sha256(array_to_string(w[p : p + 12], ' ')) AS k FROM (SELECT *, unnest(range(1, len(w) - 11)) AS p FROM w WHERE len(w) >= 13)),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY k) AS first_id FROM v) WHERE doc_id > first_id),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+k AS (SELECT doc_id, count(*) FILTER (g.p IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY t.p) FILTER (g.p IS NULL) AS kept FROM t LEFT JOIN g USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
+
+#: The others have a method that SQL cannot express; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": _WARC,
+    "op3_ngram_jaccard_join": _JACCARD,
+    "op5_benchmark_decontamination": _LEAKS,
+    "op7_substring_dedup": _REPEATS,
+}
