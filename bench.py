@@ -9,7 +9,7 @@ from statistics import median
 from dossier.plans.registry import QUERIES
 from dossier.session import session
 
-HEADLINE = ["bm25_topk", "cosine_topk", "rrf_hybrid_topk", "quality_reasons", "chunk_sections", "chunk_pack_lines", "outline_tree", "anchor_verify", "verbatim_passages", "grep_terms_capped", "content_hash_dups", "digit_mismatch", "coverage_ledger", "timeline_order", "upsert_source", "bare_lines"]
+HEADLINE = ["bm25_topk", "bm25_index_topk", "cosine_topk", "rrf_hybrid_topk", "quality_reasons", "chunk_sections", "chunk_pack_lines", "outline_tree", "anchor_verify", "verbatim_passages", "grep_terms_capped", "content_hash_dups", "digit_mismatch", "coverage_ledger", "timeline_order", "upsert_source", "bare_lines"]
 
 
 def main() -> None:

@@ -31,6 +31,21 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: White space as stripping takes it, and what ends a line.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
+def strip(s: Column) -> Column:
+    """Without any white space at both ends."""
+    return F.btrim(s, F.lit(WHITE))
+
+
+def split_lines(s: Column) -> Column:
+    """The lines of a text; an end of line at the very end begins no further one."""
+    return bind(F.split(s, LINE_END), lambda a: F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a))
+
+
 def evidence_norm(s: Column) -> Column:
     """Drops paired tags and formatting, unifies punctuation; digits and letters stay exact.  Mapped commas are dropped too."""
     plain = F.regexp_replace(s, r"<[^>]*>", "")
@@ -39,7 +54,7 @@ def evidence_norm(s: Column) -> Column:
 
 def fragments(snippet: Column) -> Column:
     """The parts of a snippet between ellipses, without empty ones."""
-    return F.filter(F.transform(F.split(snippet, r"…+|\.{3,}"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(snippet, r"…+|\.{3,}"), lambda x: strip(x)), lambda x: x != "")
 
 
 def ocr_norm(s: Column) -> Column:
@@ -78,7 +93,7 @@ def date_key(s: Column) -> Column:
 
 def link_target(link: Column) -> Column:
     """A wiki link's page: before the bar, then before the hash."""
-    return F.trim(F.substring_index(F.substring_index(link, "|", 1), "#", 1))
+    return strip(F.substring_index(F.substring_index(link, "|", 1), "#", 1))
 
 
 def posix(path: Column) -> Column:
@@ -87,7 +102,7 @@ def posix(path: Column) -> Column:
 
 def split_csv(s: Column) -> Column:
     """Parts between ASCII or CJK commas, trimmed, none empty."""
-    return F.filter(F.transform(F.split(s, "[,，]"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, "[,，]"), lambda x: strip(x)), lambda x: x != "")
 
 
 def lexical_path(path: Column) -> Column:
@@ -140,5 +155,63 @@ def anchor(source: Column, snippet: Column, quality: Column | None = None) -> Co
 
 
 def yaml_value(s: Column) -> Column:
-    """A scalar as it is if that is safe, else in JSON quotes."""
-    return F.when(s.rlike(r"^[\w./ -]+$") & (s == F.trim(s)), s).otherwise(F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]$", ""))
+    """A scalar as it is, or in double quotes if YAML would read it otherwise: a colon before a space or at the end, # " or a line end in it, white space around it."""
+    risky = s.contains(": ") | s.endswith(":") | s.rlike('[#"\n]') | (strip(s) != s)
+    return F.when(risky, F.concat(F.lit('"'), F.replace(s, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(s)
+
+
+def frontmatter_text(source: Column, source_type: Column, engine: Column, converted_at: Column, body: Column, pages: Column | None = None, warnings: Column | None = None, source_sha256: Column | None = None) -> Column:
+    """A file's whole text: the block of its provenance, a blank line, the body; with warnings it is marked as suspect."""
+    line = lambda key, value: F.concat(F.lit(f"{key}: "), value)
+    content = F.sha2(body.cast("binary"), 256)
+    source_hash = F.lit(None).cast("string") if source_sha256 is None else source_sha256
+    noted = F.coalesce(warnings, F.array().cast("array<string>")) if warnings is not None else F.array().cast("array<string>")
+    head = F.array(
+        F.lit("---"),
+        F.when(source_hash.isNotNull(), "provenance_version: 1"),
+        line("source", yaml_value(source)),
+        line("source_type", yaml_value(source_type)),
+        line("engine", yaml_value(engine)),
+        line("pages", pages.cast("string")) if pages is not None else F.lit(None).cast("string"),
+        line("converted_at", yaml_value(converted_at)),
+        line("source_sha256", source_hash),
+        line("content_sha256", content),
+        F.when(F.size(noted) > 0, "quality: suspect\nwarnings:"),
+    )
+    lines = F.concat(F.array_compact(head), F.transform(noted, lambda x: F.concat(F.lit("  - "), yaml_value(x))), F.array(F.lit("---\n\n")))
+    return F.concat(F.array_join(lines, "\n"), body)
+
+
+def _picked(text: Column, pattern: str) -> Column:
+    return F.nullif(F.regexp_extract(frontmatter_block(text), pattern, 1), F.lit(""))
+
+
+def source_quality(text: Column) -> Column:
+    """The quality that a file's frontmatter states, or null."""
+    return _picked(text, r"(?m)^quality:\s*(\S+)")
+
+
+def page_type(text: Column) -> Column:
+    """The type that a page's frontmatter states, or an empty string."""
+    return F.coalesce(_picked(text, r"(?m)^\s*类型:\s*(\S+)"), F.lit(""))
+
+
+def aliases(text: Column) -> Column:
+    """The names in the frontmatter's list of aliases."""
+    listed = F.coalesce(_picked(text, r"aliases:\s*\[(.*?)\]"), F.lit(""))
+    return F.filter(F.transform(F.split(listed, ","), strip), lambda x: x != "")
+
+
+def select_fields(fields: Column, names: list[str]) -> Column:
+    """The named fields that a map has."""
+    return F.map_filter(fields, lambda k, v: k.isin(names))
+
+
+def encode_meta(fields: Column) -> Column:
+    """A map as JSON."""
+    return F.to_json(fields)
+
+
+def decode_meta(s: Column) -> Column:
+    """JSON as a map; absent or broken JSON is an empty one."""
+    return F.coalesce(F.from_json(s, "map<string,string>"), F.create_map().cast("map<string,string>"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, count_tokens
+from ..functions.text import bind, count_tokens, split_lines, strip
 
 HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 SENTENCE_FROM = 400  # paragraphs of more tokens are split into sentences, whatever the budget
@@ -17,23 +17,30 @@ Counter = Callable[[Column], Column]
 
 
 def sections(docs: DataFrame, key: str = "source", text: str = "text") -> DataFrame:
-    """source, sec_ord, heading_path and body: a heading opens a section; what precedes the first is one without a path if it is not blank."""
-    lines = F.split(text, r"\r?\n")
-    level = lambda x: F.length(F.regexp_extract(x, HEADING, 1))
-    at = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.get(a, i).rlike(HEADING))
-    stack = "array<struct<level:int,title:string>>"
-    push = lambda acc, x: F.concat(F.filter(acc, lambda h: h["level"] < level(x)), F.array(F.struct(level(x).alias("level"), F.regexp_extract(x, HEADING, 2).alias("title"))))
-    path = lambda a, heads, n: F.array_join(F.transform(F.aggregate(F.slice(heads, 1, n), F.array().cast(stack), lambda acc, i: push(acc, F.get(a, i))), lambda h: h["title"]), " > ")
-    body = lambda a, start, stop: F.btrim(F.array_join(F.slice(a, start + 1, stop - start), "\n"))
+    """source, sec_ord, heading_path and body: a heading opens a section; what precedes the first is one without a path if it is not blank.
+
+    A text's headings are found once and folded once, with the stack of titles that are open.
+    """
+    head = "struct<i:int,level:int,title:string>"
+    mark = lambda x, i: F.when(x.rlike(HEADING), F.struct(i.alias("i"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), strip(F.regexp_extract(x, HEADING, 2)).alias("title")))
+    start = F.struct(F.array().cast(f"array<{head}>").alias("stack"), F.array().cast("array<string>").alias("paths"))
+
+    def step(acc: Column, h: Column) -> Column:
+        open_ = lambda stack: F.struct(stack.alias("stack"), F.concat(acc["paths"], F.array(F.array_join(F.transform(stack, lambda x: x["title"]), " > "))).alias("paths"))
+        return bind(F.concat(F.filter(acc["stack"], lambda x: x["level"] < h["level"]), F.array(h)), open_)
+
+    body = lambda a, first, stop: strip(F.array_join(F.slice(a, first + 1, stop - first), "\n"))
 
     def split(a: Column) -> Column:
-        made = lambda heads: F.concat(
-            F.array(F.struct(F.lit("").alias("heading_path"), body(a, F.lit(0), F.coalesce(F.get(heads, 0), F.size(a))).alias("body"))),
-            F.transform(heads, lambda h, i: F.struct(path(a, heads, i + 1).alias("heading_path"), body(a, h + 1, F.coalesce(F.get(heads, i + 1), F.size(a))).alias("body"))),
-        )
-        return bind(at(a), lambda heads: F.filter(made(heads), lambda s: (s["heading_path"] != "") | (s["body"] != "") | (F.size(heads) == 0)))
+        def made(heads: Column) -> Column:
+            end = lambda i: F.coalesce(F.get(heads, i)["i"], F.size(a))
+            paths = F.aggregate(heads, start, step)["paths"]
+            opened = bind(paths, lambda p: F.transform(heads, lambda h, i: F.struct(F.get(p, i).alias("heading_path"), body(a, h["i"] + 1, end(i + 1)).alias("body"))))
+            return F.concat(F.array(F.struct(F.lit("").alias("heading_path"), body(a, F.lit(0), end(F.lit(0))).alias("body"))), opened)
+
+        return bind(F.array_compact(F.transform(a, mark)), lambda heads: F.filter(made(heads), lambda s: (s["heading_path"] != "") | (s["body"] != "") | (F.size(heads) == 0)))
 
-    return docs.select(F.col(key).alias("source"), F.posexplode(bind(lines, split)).alias("sec_ord", "s")).select("source", "sec_ord", "s.heading_path", "s.body")
+    return docs.select(F.col(key).alias("source"), F.posexplode(bind(split_lines(F.col(text)), split)).alias("sec_ord", "s")).select("source", "sec_ord", "s.heading_path", "s.body")
 
 
 def hard_split(unit: Column, budget: int, count: Counter = count_tokens) -> Column:
@@ -46,13 +53,13 @@ def hard_split(unit: Column, budget: int, count: Counter = count_tokens) -> Colu
 
 def units(text: Column, budget: int, count: Counter = count_tokens) -> Column:
     """Paragraphs, sentences of long paragraphs, slices of long sentences."""
-    filled = lambda a: F.filter(F.transform(a, lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != "")
+    filled = lambda a: F.filter(F.transform(a, lambda x: strip(x)), lambda x: x != "")
     sentences = lambda p: F.when(count(p) <= SENTENCE_FROM, F.array(p)).otherwise(filled(F.split(p, r"(?<=[。！？.!?])\s*")))
     return F.flatten(F.transform(F.flatten(F.transform(filled(F.split(text, r"\n\s*\n")), sentences)), lambda u: hard_split(u, budget, count)))
 
 
 def is_table_line(line: Column) -> Column:
-    s = F.trim(line)
+    s = strip(line)
     return s.startswith("|") | (s.contains("|") & s.rlike(r"^[|\-: ]+$"))
 
 
@@ -74,7 +81,7 @@ def structured_units(body: Column, budget: int, count: Counter = count_tokens) -
     block = "array<struct<t:boolean,s:string>>"
     join = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["t"] == is_table_line(x)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(is_table_line(x).alias("t"), F.concat(F.element_at(acc, -1)["s"], F.lit("\n"), x).alias("s"))))).otherwise(F.concat(acc, F.array(F.struct(is_table_line(x).alias("t"), x.alias("s")))))
     blocks = F.aggregate(F.split(body, r"\r?\n"), F.array().cast(block), join)
-    clean = lambda s: F.btrim(s, F.lit(" \t\r\n"))
+    clean = lambda s: strip(s)
     return F.flatten(F.transform(F.filter(blocks, lambda b: clean(b["s"]) != ""), lambda b: F.when(b["t"], table_pieces(clean(b["s"]), budget, count)).otherwise(units(F.regexp_replace(clean(b["s"]), LEGAL, "\n\n$1"), budget, count))))
 
 
@@ -110,7 +117,7 @@ def chunk(docs: DataFrame, budget: int = 800, overlap: int = 100, strategy: str
         rows = sections(docs, key, text)
         cut = lambda s: structured_units(s, budget, count)
     else:
-        rows = docs.select(F.col(key).alias("source"), F.lit(0).alias("sec_ord"), F.lit("").alias("heading_path"), F.btrim(F.col(text), F.lit(" \t\r\n")).alias("body")).where("body <> ''")
+        rows = docs.select(F.col(key).alias("source"), F.lit(0).alias("sec_ord"), F.lit("").alias("heading_path"), strip(F.col(text)).alias("body")).where("body <> ''")
         cut = lambda s: F.when((count(s) <= budget) & F.lit(parent_budget is None), F.array(s)).otherwise(units(s, budget, count))
     if parent_budget:
         rows = parents_of(rows, parent_budget, cut if strategy != "structure" else lambda s: structured_units(s, parent_budget, count), count)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import ocr_norm
+from ..functions.text import bind, ocr_norm, strip
 from .matching import ratios
 
 # Extensions by route, and names that systems leave behind.
@@ -93,7 +93,7 @@ class _Text(HTMLParser):
             self.out.append(data)
 
 
-def _html(markup: str | None) -> str:
+def html_to_text(markup: str | None) -> str:
     parser = _Text()
     parser.feed(markup or "")
     parser.close()
@@ -106,44 +106,39 @@ def html_text(markup: Column | str) -> Column:
 
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
-        return column.map(_html)
+        return column.map(html_to_text)
 
     return run(markup)
 
 
-IMAGE_MD, IMAGE_HTML = r"!\[([^\]]*)\]\(([^)]*)\)", r"(?i)<img\b[^>]*?>"
+# Fixed patterns and words: image references in Markdown and HTML, empty divisions, what a mark says.
+IMAGE_MD, IMAGE_HTML = r"!\[([^\]]*)\]\(([^)]*)\)", r"<[iI][mM][gG]\b[^>]*?>"
+EMPTY_DIVISION = r"(?i)<div\b[^>]*>\s*</div>"
+MARK_BEGIN, MARK_END, UNNAMED = "〔图像：", " —— 已省略未保留，请查原件〕", "未命名"
 
 
 def image_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(IMAGE_MD)) + F.regexp_count(text, F.lit(IMAGE_HTML))
 
 
-def _mark(text: str | None) -> str | None:
-    if text is None:
-        return None
-
-    def name(path: str, alt: str) -> str:
-        return f"〔图像：{re.split(r'[/\\]', path)[-1].strip() or alt.strip() or '未命名'} —— 已省略未保留，请查原件〕"
-
-    def attribute(tag: str, which: str) -> str:
-        m = re.search(which + r"""\s*=\s*["']([^"']*)["']""", tag, re.I)
-        return m[1] if m else ""
-
-    text = re.sub(IMAGE_MD, lambda m: name(m[2], m[1]), text)
-    text = re.sub(IMAGE_HTML, lambda m: name(attribute(m[0], "src"), attribute(m[0], "alt")), text)
-    while (less := re.sub(r"(?i)<div\b[^>]*>\s*</div>", "", text)) != text:
-        text = less
-    return text
-
-
 def mark_images(text: Column | str) -> Column:
-    """Image references become marks with the file's name; empty divisions go."""
-
-    @F.pandas_udf("string")
-    def run(column: pd.Series) -> pd.Series:
-        return column.map(_mark)
-
-    return run(text)
+    """Image references become marks with the file's name, else the alternative text; empty divisions go, nested ones too."""
+    s = F.col(text) if isinstance(text, str) else text
+    either = f"{IMAGE_MD}|{IMAGE_HTML}"
+    attribute = lambda m, which: F.regexp_extract(m, rf"(?i){which}\s*=\s*[\"']([^\"']*)[\"']", 1)
+
+    def mark(m: Column) -> Column:
+        markdown = m.startswith("!")
+        path = F.when(markdown, F.regexp_extract(m, IMAGE_MD, 2)).otherwise(attribute(m, "src"))
+        alt = F.when(markdown, F.regexp_extract(m, IMAGE_MD, 1)).otherwise(attribute(m, "alt"))
+        name = F.coalesce(*[F.nullif(strip(x), F.lit("")) for x in (F.regexp_extract(path, r"([^/\\]*)$", 1), alt)], F.lit(UNNAMED))
+        return F.concat(F.lit(MARK_BEGIN), name, F.lit(MARK_END))
+
+    between, marks = F.split(s, either), F.transform(F.regexp_extract_all(s, F.lit(either), F.lit(0)), mark)
+    marked = F.when(s.rlike(either), F.array_join(F.zip_with(between, marks, lambda x, m: F.concat(x, F.coalesce(m, F.lit("")))), "")).otherwise(s)
+    # each round takes a level of nested divisions, and there are no more levels than divisions
+    rounds = lambda t: F.aggregate(F.sequence(F.lit(0), F.regexp_count(t, F.lit(r"(?i)<div\b"))), t, lambda acc, _: F.when(acc.rlike(EMPTY_DIVISION), F.regexp_replace(acc, EMPTY_DIVISION, "")).otherwise(acc))
+    return bind(marked, lambda t: F.when(t.rlike(EMPTY_DIVISION), rounds(t)).otherwise(t))
 
 
 def content_hash(text: Column) -> Column:

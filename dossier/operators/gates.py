@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import ANCHOR, DATE, WIKILINK, bind, date_key, evidence_norm, fragments, lexical_path, link_target, posix
+from ..functions.text import ANCHOR, DATE, EVIDENCE_DROP, EVIDENCE_FROM, EVIDENCE_TO, WHITE, WIKILINK, bind, date_key, evidence_norm, fragments, lexical_path, link_target, posix, strip
 
 # Section labels that claim nothing.
 LABELS = ["回答", "结论", "本案结论", "摘要", "案件摘要", "概览", "案件概况", "事实", "案件事实", "事实依据", "证据", "证据依据", "依据", "说明", "分析", "法律分析", "检索结果", "材料情况", "付款情况", "争议焦点", "时间线", "案件主体", "法律关系", "风险", "风险提示", "建议", "待核实事项", "案件索引", "案件 wiki 索引"]
@@ -51,14 +51,17 @@ def check_anchors(found: DataFrame, sources: DataFrame, root: str = "_md") -> Da
     """
     if "quality" not in sources.columns:
         sources = sources.withColumn("quality", F.lit(None).cast("string"))
-    bodies = sources.select(F.col("rel").alias("_rel"), evidence_norm(F.col("text")).alias("_body"), "quality")
-    named = found.withColumn("_path", lexical_path(F.col("rel"))).join(bodies, F.col("_path") == F.col("_rel"), "left")
+    located = found.withColumn("_path", lexical_path(F.col("rel")))
+    wanted = sources.join(located.select(F.col("_path").alias("rel")).distinct(), "rel", "left_semi")  # only named bodies are normalised and sent
+    bodies = wanted.select(F.col("rel").alias("_rel"), evidence_norm(F.col("text")).alias("_body"), "quality")
+    named = located.join(bodies, F.col("_path") == F.col("_rel"), "left")
     parts = F.filter(F.transform(fragments(F.col("snippet")), evidence_norm), lambda x: x != "")
+    outside = ~F.col("_path").startswith(root + "/") if root else F.lit(False)
     kinds = F.array_compact(F.array(
-        F.when(~F.col("_path").startswith(root + "/") if root else F.lit(False), F.lit("outside"))
+        F.when(outside, F.lit("outside"))
         .when(F.col("_rel").isNull(), F.lit("missing"))
         .when(~in_order(parts, F.col("_body")), F.lit("mismatch")),
-        F.when((F.col("quality") == "suspect") & ~F.col("marked"), F.lit("unmarked")),
+        F.when(~outside & (F.col("quality") == "suspect") & ~F.col("marked"), F.lit("unmarked")),
     ))
     return named.select("page", "line_no", "anchor_no", "rel", F.explode(kinds).alias("kind"))
 
@@ -93,10 +96,13 @@ def timeline_order(dated: DataFrame, group: str = "page", place: str = "line_no"
 
 
 def check_timelines(pages: DataFrame) -> DataFrame:
-    bullets = numbered_lines(pages.where(F.array_contains(F.split("page", "/"), "时间线") | F.col("page").rlike(r"(^|/)时间线(\.md)?(/|$)"))).where(F.col("line").rlike(r"^\s*[-*]\s") & F.col("line").rlike(DATE))
-    return timeline_order(bullets.withColumn("date", date_key(F.col("line"))))
+    """Out-of-order entries of pages below a folder or with the name 时间线: lines that begin with a dash, whatever follows it, and have a date."""
+    entries = numbered_lines(pages.where(F.array_contains(F.split("page", "/"), "时间线"))).where(strip(F.col("line")).startswith("-") & F.col("line").rlike(DATE))
+    return timeline_order(entries.withColumn("date", date_key(F.col("line"))))
 
 
+# What either side of a closure may consist of.
+CLOSURE_CHARS = frozenset("0123456789,+-*().") | frozenset(WHITE)
 _OPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.USub: operator.neg, ast.UAdd: operator.pos}
 
 
@@ -127,7 +133,8 @@ def check_closures(pages: DataFrame) -> DataFrame:
     def kind(said: pd.Series) -> pd.Series:
         def one(s: str) -> str | None:
             sides = s.split("==")
-            if len(sides) != 2:
+            # digits, the three operators, brackets, points and commas: no exponents, no other bases
+            if len(sides) != 2 or not all(x and CLOSURE_CHARS.issuperset(x) for x in sides):
                 return "unparsable"
             try:
                 return "mismatch" if abs(evaluate(sides[0]) - evaluate(sides[1])) > TOLERANCE else None
@@ -220,31 +227,38 @@ def claim_pairs(pages: DataFrame) -> DataFrame:
 
 
 def with_context(pairs: DataFrame, sources: DataFrame, window: int = 120) -> DataFrame:
-    """pairs with context: the source's text around the first fragment, found in normalised form and cut from the raw text."""
+    """pairs with context: the source's text around the longest fragment of the quote, found in normal form, cut from the raw text, white space folded; empty if not found."""
     joined = pairs.join(sources.select(F.col("rel").alias("source"), "text"), "source", "left")
-    drop = {*"　 \t\r\n,|*#>`~_，"}
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import re
 
-        table = dict(zip("，（）：；“”‘’－—–", ",():;\"\"''---"))
+        mapped = {ord(a): "" if b in EVIDENCE_DROP else b for a, b in zip(EVIDENCE_FROM, EVIDENCE_TO)} | dict.fromkeys(map(ord, EVIDENCE_DROP), "")
+        normal = lambda s: re.sub("<[^>]*>", "", s).translate(mapped)
+        gone = re.compile(f"<[^>]*>|[{re.escape(''.join(chr(c) for c, to in mapped.items() if not to))}]")
 
-        def flat(s: str) -> tuple[str, list[int]]:
-            hidden = {i for m in re.finditer("<[^>]*>", s) for i in range(*m.span())}
-            kept = [(table.get(c, c), i) for i, c in enumerate(s) if i not in hidden and c not in drop]
-            return "".join(c for c, _ in kept), [i for _, i in kept]
+        def place(text: str, at: int) -> int:
+            """Where in a text the character of that number in its normal form is."""
+            start = 0
+            for m in gone.finditer(text):
+                if m.start() - start > at:
+                    break
+                at -= m.start() - start
+                start = m.end()
+            return start + at
 
         for f in frames:
-            out = []
+            out, last, body = [], None, ""
             for quote, text in zip(f["quote"], f["text"]):
+                if text is not last:
+                    last, body = text, normal(text) if isinstance(text, str) else ""
+                longest = max((p for p in re.split(r"…+|\.{3,}", quote or "") if p.strip()), key=len, default="")
+                wanted = normal(longest)
+                at = body.find(wanted) if wanted else -1
                 found = ""
-                if isinstance(text, str):
-                    body, places = flat(text)
-                    first = next((n for p in re.split(r"…+|\.{3,}", quote) if (n := flat(p.strip())[0])), "")
-                    at = body.find(first) if first else -1
-                    if at >= 0:
-                        found = text[max(0, places[at] - window) : places[at + len(first) - 1] + 1 + window]
-                out.append(found)
+                if at >= 0:
+                    found = text[max(0, place(text, at) - window) : place(text, at + len(wanted) - 1) + 1 + window]
+                out.append(re.sub(r"\s+", " ", found).strip())
             yield f.drop(columns=["text"]).assign(context=out)
 
     kinds = ", ".join(f"{c} {t}" for c, t in joined.drop("text").dtypes)
@@ -291,3 +305,24 @@ def reconcile(outcomes: DataFrame, skips: DataFrame, source_total: DataFrame) ->
     ledger = open_.agg(F.count_if("has_reason").alias("registered"), F.count_if(~F.coalesce("has_reason", F.lit(False))).alias("missing"))
     one = totals.withColumn("one", F.lit(1)).join(ledger.withColumn("one", F.lit(1)), "one").join(source_total.select("source_total").withColumn("one", F.lit(1)), "one")
     return one.select("produced", "registered", (F.col("missing") + (F.col("source_total") > F.col("accounted")).cast("int")).cast("bigint").alias("unresolved"), "source_total", "accounted")
+
+
+# Files that a case must have, and the sentence that they must contain.
+CASE_FILES, CASE_SENTENCE = ["AGENTS.md", "CLAUDE.md"], "答前必先检索"
+
+
+def case_files(found: DataFrame) -> DataFrame:
+    """name and kind (missing or hollow) of the case files that found (name, text) lacks or has without the sentence."""
+    wanted = found.sparkSession.createDataFrame([(n,) for n in CASE_FILES], "name string")
+    both = wanted.join(found.select("name", F.coalesce("text", F.lit("")).alias("text")), "name", "left")
+    kind = F.when(F.col("text").isNull(), "missing").when(~F.contains("text", F.lit(CASE_SENTENCE)), "hollow")
+    return both.withColumn("kind", kind).where("kind IS NOT NULL").select("name", "kind")
+
+
+def stop_decision(turns: DataFrame, sources: DataFrame, root: str = "_md") -> DataFrame:
+    """For each conversation's last reply with anchors: conv_id, blocked and reasons (line:kind:source, in order); a reply without anchors passes."""
+    replies = last_reply(turns).select(F.col("conv_id").cast("string").alias("page"), "text").where(F.col("text").rlike(ANCHOR))
+    bad = check_anchors(anchors(replies), sources, root)
+    reasons = bad.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("line_no", "anchor_no", "kind", "rel"))).alias("r"))
+    said = F.transform("r", lambda x: F.concat_ws(":", x["line_no"].cast("string"), x["kind"], x["rel"]))
+    return replies.select("page").join(reasons, "page", "left").select(F.col("page").alias("conv_id"), F.col("r").isNotNull().alias("blocked"), F.coalesce(said, F.array().cast("array<string>")).alias("reasons"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import split_lines, strip
 from ..sources.scratch import materialise
 
 # Page types that are nodes.
@@ -56,24 +57,29 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
 
 def headings(docs: DataFrame, key: str = "source", text: str = "text") -> DataFrame:
     """source, total_lines, level, title and line_start of headings outside fenced code."""
-    lines = docs.select(F.col(key).alias("source"), F.size(F.split(text, "\n")).alias("total_lines"), F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    lines = docs.select(F.col(key).alias("source"), split_lines(F.col(text)).alias("a")).select("source", F.size("a").alias("total_lines"), F.posexplode("a").alias("i", "line"))
     order = Window.partitionBy("source").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.trim("line").rlike(r"^(```|~~~)")
+    fence = strip(F.col("line")).rlike(r"^(```|~~~)")
     open_ = F.sum(fence.cast("int")).over(order) % 2
-    level, title = F.length(F.regexp_extract("line", OUTLINE_HEADING, 1)), F.trim(F.regexp_extract("line", OUTLINE_HEADING, 2))
-    return lines.withColumn("open", open_).where((F.col("open") == 0) & ~fence & F.col("line").rlike(OUTLINE_HEADING) & (title != "")).select("source", "total_lines", level.alias("level"), title.alias("title"), (F.col("i") + 1).alias("line_start"))
+    level, title = F.length(F.regexp_extract("line", OUTLINE_HEADING, 1)), strip(F.regexp_extract("line", OUTLINE_HEADING, 2))
+    named = lines.where(fence | F.col("line").startswith("#")).withColumn("open", open_)  # no other line matters
+    return named.where((F.col("open") == 0) & ~fence & F.col("line").rlike(OUTLINE_HEADING) & (title != "")).select("source", "total_lines", level.alias("level"), title.alias("title"), (F.col("i") + 1).alias("line_start"))
 
 
 def outline(docs: DataFrame, key: str = "source", text: str = "text") -> DataFrame:
     """source, node_id, parent_id, title, level, line_start and line_end of all headings.
 
     A heading ends before the next of its level or a higher one; its parent is
-    the nearest before it of a higher level.  Each document's headings are one
-    array, in which both are found.
+    the nearest before it of a higher level.  Both come from running extremes
+    of each of the six levels, one pass forwards and one backwards.
     """
     found = headings(docs, key, text)
-    grouped = found.groupBy("source", "total_lines").agg(F.sort_array(F.collect_list(F.struct("line_start", "level", "title"))).alias("h"))
-    later = lambda x, i: F.filter("h", lambda y, j: (j > i) & (y["level"] <= x["level"]))
-    earlier = lambda x, i: F.filter(F.transform("h", lambda y, j: F.struct(j.alias("id"), y["level"].alias("level"))), lambda z: (z["id"] < i) & (z["level"] < x["level"]))
-    nodes = F.transform("h", lambda x, i: F.struct(i.alias("node_id"), F.get(earlier(x, i), F.size(earlier(x, i)) - 1)["id"].alias("parent_id"), x["title"].alias("title"), x["level"].alias("level"), x["line_start"].alias("line_start"), F.coalesce(F.get(later(x, i), 0)["line_start"] - 1, F.col("total_lines")).alias("line_end")))
-    return grouped.select("source", F.inline(nodes))
+    forwards = Window.partitionBy("source").orderBy("line_start")
+    backwards = Window.partitionBy("source").orderBy(F.desc("line_start"))
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = found.withColumn("node_id", F.row_number().over(forwards) - 1)
+    numbered = numbered.select("*", *[F.max(F.when(F.col("level") == n, F.col("node_id"))).over(past(forwards)).alias(f"before{n}") for n in range(1, 7)])
+    numbered = numbered.select("*", *[F.min(F.when(F.col("level") == n, F.col("line_start"))).over(past(backwards)).alias(f"after{n}") for n in range(1, 7)])
+    parent = F.array_max(F.array(*[F.when(F.col("level") > n, F.col(f"before{n}")) for n in range(1, 7)]))
+    end = F.array_min(F.array(*[F.when(F.col("level") >= n, F.col(f"after{n}")) for n in range(1, 7)]))
+    return numbered.select("source", "node_id", parent.alias("parent_id"), "title", "level", "line_start", F.coalesce(end - 1, F.col("total_lines")).alias("line_end"))

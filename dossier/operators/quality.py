@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bind, filled_chars, garbled_chars
+from ..functions.text import bind, filled_chars, garbled_chars, split_lines, strip
 
 
 @dataclass(frozen=True)
@@ -26,7 +26,7 @@ def top_repeat(text: Column, longer_than: int = 10) -> Column:
 
     Lines are sorted, so equal ones form runs; a run's length is the distance between its first and the next run's.
     """
-    lines = F.sort_array(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > longer_than))
+    lines = F.sort_array(F.filter(F.transform(split_lines(text), lambda x: strip(x)), lambda x: F.length(x) > longer_than))
     first = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
     runs = lambda s, f: F.array_max(F.transform(f, lambda x, i: F.coalesce(F.get(f, i + 1), F.size(s)) - x))
     return bind(lines, lambda s: F.when(F.size(s) == 0, F.lit(0)).otherwise(bind(first(s), lambda f: runs(s, f))))

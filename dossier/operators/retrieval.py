@@ -91,17 +91,48 @@ def rerank(hits: DataFrame, score: Callable[[Column], Column], k: int) -> DataFr
     return hits.withColumn("score", F.round(score(F.col("text")), 6)).orderBy(F.desc("score"), F.asc_nulls_last("vec_rank"), "text_rank").limit(k).withColumn("score_kind", F.lit("rerank"))
 
 
-def hybrid_search(chunks: DataFrame, query: str, vector: list[float] | None, k: int = 5, keys: tuple[str, ...] = ("source", "ord"), hybrid: bool = True, prefix: str | None = None, floor: float = 0.0, candidates: int = CANDIDATES, rrf_k: int = RRF_K, parents: DataFrame | None = None) -> DataFrame:
-    """A blank query finds nothing; otherwise vector hits, fused with text hits where asked, with parents where given."""
+def hybrid_search(chunks: DataFrame, query: str, vector: list[float] | None, k: int = 5, keys: tuple[str, ...] = ("source", "ord"), hybrid: bool = True, prefix: str | None = None, floor: float = 0.0, candidates: int = CANDIDATES, rrf_k: int = RRF_K, parents: DataFrame | None = None, reranker=None, index: str | None = None) -> DataFrame:
+    """A blank query finds nothing; otherwise vector hits, fused with text hits where asked, reranked and with parents where given.
+
+    index: where postings of the chunks are stored; without it the texts are counted.
+    """
     if not query.strip():
         return chunks.limit(0)
     pool = max(k, candidates) if hybrid else k
     hits = vector_search(chunks, vector, pool, keys, prefix, floor)
     if hybrid:
-        hits = fuse(hits, text_search(chunks, query, pool, keys, prefix), k, keys, rrf_k)
+        text_hits = text_search(chunks, query, pool, keys, prefix) if index is None else indexed_hits(chunks, index, query, pool, keys, prefix)
+        hits = fuse(hits, text_hits, pool if reranker else k, keys, rrf_k)
+    if reranker is not None:
+        from .embedding import rerank as by_model
+
+        hits = by_model(hits, reranker, query, k, keys)
     return attach_parents(hits, parents) if parents is not None else hits
 
 
+def indexed_hits(chunks: DataFrame, index: str, query: str, k: int, keys: tuple[str, ...], prefix: str | None) -> DataFrame:
+    """Hits from stored postings with all columns of their chunks; the hits, k at most, are what is broadcast."""
+    from . import postings
+
+    found = postings.search(chunks.sparkSession, index, query, k, keys, prefix)
+    return chunks.join(F.broadcast(found), list(keys)).select(*chunks.columns, "score")
+
+
+def gather(question: str, terms: list[str], lines: DataFrame, outlines: DataFrame, search: Callable[[], DataFrame]) -> dict:
+    """Three ways to evidence: rag (hits, or why it is not available), grep of exact terms, and outlines.
+
+    search plans the retrieval; if planning or a first look fails, the other
+    two ways come back all the same.
+    """
+    try:
+        hits = search()
+        hits.limit(1).collect()
+        rag = {"available": True, "hits": hits, "reason": ""}
+    except Exception as e:  # a channel that fails must not take the others with it
+        rag = {"available": False, "hits": None, "reason": f"{type(e).__name__}: {e}"}
+    return {"question": question, "rag": rag, "grep": grep_terms(lines, terms), "outline": outlines}
+
+
 def attach_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
     """Adds parent_text by (source, parent_ord); null where there is none.  Hits are few, so they are what is broadcast."""
     wanted = hits.select("source", "parent_ord").distinct()

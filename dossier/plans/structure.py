@@ -24,12 +24,14 @@ def chunk_sections(spark, d):
     return s.select("source", F.col("sec_ord").cast("bigint").alias("sec_ord"), F.md5("heading_path").alias("path"), F.md5("body").alias("body"))
 
 
+#: What stripping takes away, for DuckDB's trim.
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(12288)"
 _SECTIONS = f"""
 WITH l AS ({_LINES}),
 m AS (SELECT doc_id, i, l, CASE WHEN (i - 1) % 8 = 4 THEN 3 WHEN (i - 1) % 4 = 0 THEN 2 END AS lev0 FROM l),
 h AS (SELECT doc_id, i, l, CASE WHEN lev0 IS NOT NULL AND trim(l) <> '' THEN lev0 END AS lev, {_MARK_SQL} AS raw FROM m),
 s AS (SELECT *, count(lev) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM h),
-t AS (SELECT doc_id, sec, max(lev) AS lev, regexp_replace(max(trim(l)) FILTER (lev IS NOT NULL), '\\s*#*\\s*$', '') AS title, trim(string_agg(raw, chr(10) ORDER BY i) FILTER (lev IS NULL)) AS body FROM s GROUP BY doc_id, sec),
+t AS (SELECT doc_id, sec, max(lev) AS lev, regexp_replace(max(trim(l)) FILTER (lev IS NOT NULL), '\\s*#*\\s*$', '') AS title, trim(string_agg(raw, chr(10) ORDER BY i) FILTER (lev IS NULL), {_BLANK}) AS body FROM s GROUP BY doc_id, sec),
 p AS (SELECT *, last_value(CASE WHEN lev = 2 THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY sec) AS up FROM t WHERE sec > 0)
 SELECT doc_id AS source, sec - 1 AS sec_ord, md5(CASE WHEN lev = 2 OR up IS NULL THEN title ELSE up || ' > ' || title END) AS path, md5(coalesce(body, '')) AS body FROM p
 UNION ALL SELECT doc_id, 0, md5(''), md5(coalesce(body, '')) FROM t WHERE sec = 0 AND doc_id NOT IN (SELECT doc_id FROM p)"""
@@ -91,7 +93,7 @@ def _hybrid_parents_sql():
     from .documents import CATALOGUE
 
     return f"""SELECT h.source, h.ord, CAST(h.ord % 4 AS INT) AS parent_ord, p.text AS parent_text FROM ({CATALOGUE['rrf_hybrid_topk'][1]}) h
-LEFT JOIN (SELECT source, doc_id % 4 AS po, arg_min(left(text, 40), doc_id) AS text FROM documents GROUP BY 1, 2) p ON p.source = h.source AND p.po = h.ord % 4 AND p.po < 3"""
+LEFT JOIN (SELECT source, doc_id % 4 AS po, arg_min(text, doc_id) AS text FROM documents GROUP BY 1, 2) p ON p.source = h.source AND p.po = h.ord % 4"""
 
 
 def heading_candidates(spark, d):
@@ -115,7 +117,7 @@ def outline_tree(spark, d):
 
 
 _OUTLINE = f"""
-WITH l AS ({_LINES}), n AS (SELECT doc_id, max(i) AS total FROM l GROUP BY 1),
+WITH l AS ({_LINES}), n AS (SELECT doc_id, count(*) - count(*) FILTER (i = last AND (i - 1) % 4 <> 0 AND l = '') AS total FROM (SELECT *, max(i) OVER (PARTITION BY doc_id) AS last FROM l) GROUP BY 1),
 h AS (SELECT doc_id, i, CASE WHEN (i - 1) % 8 = 4 THEN 3 ELSE 2 END AS lev, trim(l) AS title FROM l WHERE (i - 1) % 4 = 0 AND trim(l) <> ''),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS node_id FROM h)
 SELECT k.doc_id AS source, md5(k.title) AS title, k.node_id, (SELECT max(e.node_id) FROM k e WHERE e.doc_id = k.doc_id AND e.node_id < k.node_id AND e.lev < k.lev) AS parent_id, k.lev AS level, k.i AS line_start,

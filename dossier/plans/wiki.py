@@ -50,12 +50,13 @@ def anchor_missing(spark, d):
 
 
 def verbatim_passages(spark, d):
-    """Benchmark passages that occur in documents, in normal form: few passages are broadcast against all texts."""
+    """Benchmark passages that occur in documents, in normal form."""
     from ..functions.text import evidence_norm
+    from ..operators import passages
 
     items = table(spark, d, "benchmark").select("item_id", evidence_norm(F.col("text")).alias("norm"))
     bodies = table(spark, d, "documents").select("doc_id", evidence_norm(F.col("text")).alias("body"))
-    return bodies.join(F.broadcast(items.where("norm <> ''")), F.expr("contains(body, norm)")).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"))
+    return passages.passages(bodies, items).groupBy("item_id").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id"))
 
 
 TERMS = ["quarterly", "onthe", "the and", "+1 (5", "zzzz-none"]
@@ -124,7 +125,7 @@ def graph_shortest_path(spark, d):
 
 
 _EDGES = """
-e0 AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer WHERE c_custkey <= 300 UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'r' || ((r_regionkey + 1) % 5) FROM region),
+e0 AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey AS b FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'r' || ((r_regionkey + 1) % 5) FROM region),
 e AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b)"""
 
 
@@ -190,11 +191,11 @@ CATALOGUE = {
     "grep_terms_capped": (grep_terms_capped, _GREP),
     "coverage_ledger": (coverage_ledger, "SELECT count(*) AS total, count(*) FILTER (doc_id % 4 = 0) AS cited, count(*) FILTER (doc_id % 4 <> 0 AND l.quality IS NOT NULL) AS skipped, count(*) FILTER (doc_id % 4 <> 0 AND l.quality IS NULL) AS unresolved FROM documents LEFT JOIN labels l USING (doc_id)"),
     "reconcile_sources": (reconcile_sources, "WITH o AS (SELECT doc_id, doc_id % 5 = 0 OR doc_id % 7 = 0 AS open FROM documents WHERE doc_id % 50 <> 1), j AS (SELECT o.*, coalesce(toxic = 0, false) AS ok FROM o LEFT JOIN labels USING (doc_id)) SELECT count(*) FILTER (NOT open) AS produced, count(*) FILTER (open AND ok) AS registered, count(*) FILTER (open AND NOT ok) + CASE WHEN (SELECT count(*) FROM documents) > count(*) THEN 1 ELSE 0 END AS unresolved, (SELECT count(*) FROM documents) AS source_total, count(*) AS accounted FROM j"),
-    "dead_links": (dead_links, "WITH l AS (SELECT 'c' || c_custkey AS page, 1 AS line_no, 'n' || (c_nationkey + c_custkey % 4) AS target FROM customer WHERE c_custkey <= 500 UNION ALL SELECT 'c' || c_custkey, 2, 'Region ' || (c_custkey % 7) FROM customer WHERE c_custkey <= 500) SELECT * FROM l WHERE target NOT IN (SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'Region ' || r_regionkey FROM region)"),
+    "dead_links": (dead_links, "WITH l AS (SELECT 'c' || c_custkey AS page, 1 AS line_no, 'n' || (c_nationkey + c_custkey % 4) AS target FROM customer UNION ALL SELECT 'c' || c_custkey, 2, 'Region ' || (c_custkey % 7) FROM customer) SELECT * FROM l WHERE target NOT IN (SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'Region ' || r_regionkey FROM region)"),
     "graph_neighbors": (graph_neighbors, f"WITH {_EDGES} SELECT b AS stem, CASE left(b, 1) WHEN 'c' THEN '案件主体' WHEN 'n' THEN '法律关系' ELSE '法律事实' END AS type FROM e WHERE a = 'n3'"),
     "graph_shortest_path": (graph_shortest_path, f"WITH RECURSIVE {_EDGES}, w AS (SELECT 'c1' AS node, ['c1'] AS path UNION ALL SELECT e.b, list_append(w.path, e.b) FROM w JOIN e ON e.a = w.node WHERE NOT list_contains(w.path, e.b) AND len(w.path) < 7 AND (NOT starts_with(e.b, 'c') OR e.b = 'c2')) SELECT array_to_string(path, '>') AS path, len(path) - 1 AS hops FROM w WHERE node = 'c2' ORDER BY len(path), path LIMIT 1"),
     "timeline_order": (timeline_order, _TIMELINE),
-    "closure_check": (closure_check, "SELECT DISTINCT l_orderkey AS page, CASE WHEN l_orderkey % 5 = 0 THEN 'unparsable' ELSE 'mismatch' END AS kind FROM lineitem WHERE l_orderkey <= 400 AND (l_orderkey % 5 = 0 OR l_orderkey % 3 = 0)"),
+    "closure_check": (closure_check, "SELECT DISTINCT l_orderkey AS page, CASE WHEN l_orderkey % 5 = 0 THEN 'unparsable' ELSE 'mismatch' END AS kind FROM lineitem WHERE l_orderkey % 5 = 0 OR l_orderkey % 3 = 0"),
     "last_assistant_reply": (last_assistant_reply, "SELECT conv_id, md5(arg_max(text, turn)) AS reply FROM conversations WHERE role = 'assistant' AND trim(coalesce(text, '')) <> '' GROUP BY conv_id"),
     "bare_lines": (bare_lines, "SELECT conv_id || ':' || turn AS page, count(*) AS bare FROM (SELECT conv_id, turn, trim(unnest(string_split(text, chr(10)))) AS s FROM conversations) WHERE s <> '' AND NOT regexp_full_match(s, '[-*_]{3,}') AND NOT regexp_full_match(s, '\\|?[\\s:|-]+\\|?') GROUP BY 1"),
     "claim_pairs": (claim_pairs, "SELECT conv_id || ':' || turn AS page, 'said' AS claim, '_md/x' AS source, trim(left(replace(text, chr(10), ' '), 12)) AS quote FROM conversations"),

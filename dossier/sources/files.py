@@ -53,3 +53,51 @@ def safe_members(members: DataFrame) -> DataFrame:
 
 def json_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_files(outputs: DataFrame, root: str) -> DataFrame:
+    """Writes each row (rel, text, assets: map of names to bytes) as a file below root with its assets beside it; rel and written, the files of the row.
+
+    Tasks write through the file system that root names, to a temporary name
+    first, so a reader never sees half a file and a repeated task does no harm.
+    Names that leave the folder are not written.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    assets = "assets" if "assets" in outputs.columns else F.create_map().cast("map<string,binary>").alias("assets")
+    rows = outputs.select("rel", "text", assets).where(safe_asset(F.col("rel")))
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import posixpath
+        import uuid
+
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+
+        def put(rel: str, data: bytes) -> None:
+            place = posixpath.join(base, rel)
+            system.create_dir(posixpath.dirname(place), recursive=True)
+            part = posixpath.join(posixpath.dirname(place), f".{posixpath.basename(place)}.{uuid.uuid4().hex}.tmp")
+            with system.open_output_stream(part) as out:
+                out.write(data)
+            system.move(part, place)
+
+        def safe(rel: str) -> bool:
+            return bool(rel) and not rel.startswith(("/", "\\")) and ":" not in rel and ".." not in rel.replace("\\", "/").split("/")
+
+        for frame in frames:
+            written = []
+            for rel, text, beside in zip(frame["rel"], frame["text"], frame["assets"]):
+                put(rel, (text or "").encode())
+                names = [rel]
+                for name, data in dict(beside or {}).items():
+                    if safe(name):
+                        put(posixpath.join(posixpath.dirname(rel), name), bytes(data))
+                        names.append(posixpath.join(posixpath.dirname(rel), name))
+                written.append(names)
+            yield pd.DataFrame({"rel": frame["rel"], "written": written})
+
+    return rows.mapInPandas(task, "rel string, written array<string>")

@@ -13,6 +13,8 @@ _own: dict[str, str] = {}
 def folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset (tests, one machine) a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return named.rstrip("/") if named else _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="dossier-"))
 
 
