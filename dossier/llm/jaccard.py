@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import Membership, salted_join, store
+from .shared import Membership, discard, salted_join, store
 from .words import WHITE, blocks, gram_sets, mix
 
 #: Fixed salts of the token orders.
@@ -178,16 +178,16 @@ def _possible(spec: Spec, a: str, b: str) -> Column:
 
 
 def further_orders(classes: DataFrame, spec: Spec) -> DataFrame:
-    """rep and the prefixes a and b of every class under two further orders, each sorted."""
+    """rep and the prefixes a and b of every class under two further orders, by 32 bits of their tokens, which is enough to rule a pair out."""
 
     def task(batches):
         for batch in batches:
             rep, n, own = (batch.column(c).to_numpy() for c in ("rep", "n", "own"))
             tokens = batch.column("tokens")
-            prefixes = [[np.sort(_prefix(tokens[i].values.to_numpy(), n[i], own[i], spec, salt)).view(np.int64) for i in range(len(rep))] for salt in (SALT_A, SALT_B)]
-            yield pa.RecordBatch.from_arrays([pa.array(rep), *[pa.array(p, pa.list_(pa.int64())) for p in prefixes]], names=["rep", "a", "b"])
+            prefixes = [[_prefix(tokens[i].values.to_numpy(), n[i], own[i], spec, salt).astype(np.uint32).view(np.int32) for i in range(len(rep))] for salt in (SALT_A, SALT_B)]
+            yield pa.RecordBatch.from_arrays([pa.array(rep), *[pa.array(p, pa.list_(pa.int32())) for p in prefixes]], names=["rep", "a", "b"])
 
-    return store(classes.select("rep", "n", "own", "tokens").mapInArrow(task, "rep bigint, a array<bigint>, b array<bigint>"), "jaccard-orders")
+    return store(classes.select("rep", "n", "own", "tokens").mapInArrow(task, "rep bigint, a array<int>, b array<int>"), "jaccard-orders")
 
 
 def verify(pairs: DataFrame, orders: DataFrame, classes: DataFrame, spec: Spec) -> DataFrame:
@@ -195,7 +195,7 @@ def verify(pairs: DataFrame, orders: DataFrame, classes: DataFrame, spec: Spec)
     prefix = lambda x: orders.select(F.col("rep").alias(x), F.col("a").alias(f"{x}1"), F.col("b").alias(f"{x}2"))
     candidates = pairs.join(prefix("a"), "a").join(prefix("b"), "b").where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b")
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
-    both = store(candidates, "jaccard-candidates").join(side("a"), "a").join(side("b"), "b")
+    both = candidates.join(side("a"), "a").join(side("b"), "b")
 
     def task(batches):
         for batch in batches:
@@ -310,21 +310,25 @@ def links(classes: DataFrame, spec: Spec) -> DataFrame:
         lists = now.groupBy("token").agg(centre, F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high").select(*fields, "size")
         apart = now.alias("m").join(lists.alias("h"), "token").where("m.comp <> h.comp")
         if turn == 0:
-            new = verify(store(_pairs(apart.where(_possible(spec, "m", "h")), "m.rep", "h.rep"), "jaccard-pairs"), orders, classes, spec)
+            pairs = store(_pairs(apart.where(_possible(spec, "m", "h")), "m.rep", "h.rep"), "jaccard-pairs")
+            new, used = verify(pairs, orders, classes, spec), [now, pairs]
         else:
             apart = store(apart.select("token", "m.rep", "m.n", "m.pos", "m.comp", "h.size"), "jaccard-apart")
             last = turn == CENTRE_ROUNDS
             # a further centre among those outside against the whole list; in the end all of them, in short lists by pairs
             second = apart.where(F.col("size") <= SHORT_LIST) if last else apart.groupBy("token").agg(centre).select(*fields)
             pairs = _pairs(second.alias("s").join(now.alias("m"), "token").where("m.comp <> s.comp").where(_possible(spec, "m", "s")), "m.rep", "s.rep")
-            new = verify(store(pairs, "jaccard-pairs"), orders, classes, spec)
+            pairs = store(pairs, "jaccard-pairs")
+            new, used = verify(pairs, orders, classes, spec), [now, pairs, apart]
             if last:
                 new = new.unionByName(block_links(now, apart.where(F.col("size") > SHORT_LIST).drop("size"), classes, spec))
         new = store(new, "jaccard-links")
+        discard(*used)
         if not new.isEmpty():
             found = store(found.union(new), "jaccard-found")
             if turn < CENTRE_ROUNDS:
                 labels = components(found)
+    discard(posted, orders)
     return found
 
 
