@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, bpe, decontaminate, jaccard, kdtree, linecrf, pii, quality, suffixes, warc
-from .shared import documents
+from . import attention, bpe, decontaminate, divergence, jaccard, kdtree, linecrf, mixing, pii, quality, runs, suffixes, warc
+from .shared import documents, let
 
 
 def vocabulary(name: str) -> str:
@@ -71,6 +71,42 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linecrf.score(docs, chain).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir), min_documents=30, top_terms=50)
+
+
+def _with_tails(docs: DataFrame) -> DataFrame:
+    """Documents in which one in ten has a periodic tail, as the id's checksum says."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+    def tail(w):
+        n, a = F.size(w).cast("bigint"), F.pmod(g, F.size(w).cast("bigint"))
+        return let(F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p")), lambda x: F.transform(w, lambda word, i: F.when(i < x["a"], word).otherwise(F.get(w, (x["a"] + (i - x["a"]) % x["p"]).cast("int")))))
+
+    changed = let(words, lambda w: F.when(F.size(w) > 0, F.array_join(tail(w), " ")).otherwise(F.lit("")))
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.detect(_with_tails(documents(spark, sf_dir)), min_length=24, min_periods=3)
+    # lengths over periods are compared by cross products, so that no rounding makes ties
+    better = lambda x, y: (x["length"] * y["period"] > y["length"] * x["period"]) | ((x["length"] * y["period"] == y["length"] * x["period"]) & ((x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["period"] < y["period"]))))
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda held, x: F.when(better(x, held), x).otherwise(held))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n")))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), digest(F.array_join(lines, "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256",
+    )
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), max_epochs=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_pii": op2_pii,
@@ -82,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_mixing": op13_mixing,
 }
 
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
@@ -124,10 +163,40 @@ t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
 k AS (SELECT doc_id, count(*) FILTER (g.p IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY t.p) FILTER (g.p IS NULL) AS kept FROM t LEFT JOIN g USING (doc_id, p) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
 
+_DIVERGENCE = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, list_transform(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS m FROM documents),
+x AS (SELECT r, lang, source, unnest(m) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM x GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+l AS (SELECT lang, sum(n) AS total, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM x SEMI JOIN k USING (lang, term) GROUP BY ALL),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+ 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q
+ FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN t ON t.lang = g.lang AND t.source = g.source),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM o) WHERE part = 'pair' OR rank <= 50"""
+
+_MIX = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size, CAST('0x' || substr(md5('0:' || doc_id), 1, 15) AS BIGINT) AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER o AS k, CAST(sum(source_size) OVER () AS BIGINT) AS total, CAST(sum(3 * source_size) OVER o AS BIGINT) - 3 * source_size AS clamped, CAST(sum(weight) OVER () - sum(weight) OVER o AS BIGINT) + weight AS open_weight
+ FROM s WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT coalesce(arg_min((total - clamped)::DOUBLE / open_weight, k) FILTER (3 * source_size > weight * ((total - clamped)::DOUBLE / open_weight)), 0) AS level FROM r),
+t AS (SELECT source, source_size, least((3 * source_size)::DOUBLE, weight * level) AS target FROM s, f),
+w AS (SELECT *, CAST(floor(coalesce(target / nullif(source_size, 0), 0)) AS BIGINT) AS whole FROM t),
+u AS (SELECT d.doc_id, d.size, w.source_size, w.target, w.whole, CAST(round(w.target - w.whole * w.source_size) AS BIGINT) AS rest, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place) AS BIGINT) AS upto
+ FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source)
+SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size, rest - upto + size)) AS taken FROM u"""
+
 #: The others have a method that SQL cannot express; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": _WARC,
     "op3_ngram_jaccard_join": _JACCARD,
     "op5_benchmark_decontamination": _LEAKS,
     "op7_substring_dedup": _REPEATS,
+    "op11_source_divergence": _DIVERGENCE,
+    "op13_mixing": _MIX,
 }

@@ -97,3 +97,16 @@ def salted_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: str,
     salt = "salt_of_join"
     many = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(many, [*keys, salt], how).drop(salt)
+
+
+def numbered(rows: DataFrame, order: list) -> DataFrame:
+    """Numbers rows from 0 in an order without gathering them: they are sorted by ranges, and a row's number is its place in its range plus the rows before."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = store(dealt.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "numbered")
+    base, before = {}, 0
+    for r in placed.groupBy("part").agg(F.count("*").alias("n"), F.min("place").alias("first")).orderBy("part").collect():  # a row a partition
+        base[r.part] = before - r.first
+        before += r.n
+    starts = rows.sparkSession.createDataFrame(sorted(base.items()), "part int, base bigint")
+    return placed.join(F.broadcast(starts), "part").select(*rows.columns, (F.col("place") + F.col("base")).alias("number"))
