@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from ipaddress import ip_address
 from typing import Protocol
 from urllib.parse import urlsplit
 
@@ -50,9 +51,17 @@ class HashEmbedder:
 
 
 def is_loopback(url: str) -> bool:
-    """Whether a service's address is this machine."""
-    host = (urlsplit(url if "//" in url else f"//{url}").hostname or "").lower()
-    return host in ("localhost", "::1") or host.startswith("127.")
+    """Whether a service's address is this machine: localhost, or a literal address of the loopback range.  No name is looked up."""
+    try:
+        host = urlsplit(url if "//" in url else f"//{url}").hostname
+    except ValueError:  # not an address at all
+        return False
+    if host == "localhost":
+        return True
+    try:
+        return ip_address(host or "").is_loopback
+    except ValueError:  # any other name
+        return False
 
 
 def require_consent(flag: bool, url: str | None = None, variable: str = "ALLOW_EXTERNAL_PROCESSING", env: dict[str, str] | None = None) -> None:

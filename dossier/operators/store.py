@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..sources.scratch import materialise
 
 BUCKETS = 64
@@ -20,7 +21,7 @@ def delete_source(chunks: DataFrame, sources: DataFrame, key: str = "source") ->
 
 
 def write_sources(fresh: DataFrame, path: str, key: str = "source", buckets: int = BUCKETS) -> None:
-    """Replaces the sources of fresh in a stored table, rewriting only the buckets that they fall in."""
+    """Replaces the sources of fresh in a stored table, rewriting in place only the buckets that they fall in; snapshots.commit does so without touching what readers have open."""
     spark = fresh.sparkSession
     bucketed = fresh.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
     jvm = spark.sparkContext._jvm
@@ -33,6 +34,13 @@ def write_sources(fresh: DataFrame, path: str, key: str = "source", buckets: int
     bucketed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def merge_meta(file: Column, chunk: Column) -> Column:
+    """A file's and a chunk's fields as one map; where both have a field the chunk's counts, and null is an empty map."""
+    none = F.create_map().cast("map<string,string>")
+    own = F.coalesce(chunk, none)
+    return bind(own, lambda c: F.map_concat(F.map_filter(F.coalesce(file, none), lambda k, v: ~F.map_contains_key(c, k)), c))
+
+
 def check_width(vectors: DataFrame, width: int, vector: str = "vector") -> DataFrame:
     """The rows, with an error at run time for a vector of another width."""
     return vectors.withColumn(vector, F.when(F.size(vector) == width, F.col(vector)).otherwise(F.raise_error(F.format_string("vector has width %d, the table %d", F.size(vector), F.lit(width)))))

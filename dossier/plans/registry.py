@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import documents, structure, wiki
+from . import documents, stored, structure, wiki
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (documents, structure, wiki):
+for _part in (documents, structure, wiki, stored):
     for _name, (_query, _sql) in _part.CATALOGUE.items():
         QUERIES[_name] = _query
         if _sql is not None:

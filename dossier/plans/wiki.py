@@ -22,7 +22,7 @@ def _claims(spark, d):
     a, b = F.substring(flat, 5, 25), F.substring(flat, 60, 25)
     snippet = F.when(F.col("page") % 3 == 0, F.concat(b, F.lit("…"), a)).when(F.col("page") % 5 == 0, F.concat(F.lit("987654"), a)).otherwise(F.concat(a, F.lit("* … "), b))
     rel = F.when(F.col("page") % 7 == 0, F.lit("_md/../x")).otherwise(F.concat(F.lit("_md/./"), (F.col("page") + 1 + F.when(F.col("page") % 8 == 0, 10**9).otherwise(0)).cast("string")))
-    return docs.where(F.length("text") > 100).select("page", F.lit(1).alias("line_no"), F.lit(0).alias("anchor_no"), rel.alias("rel"), snippet.alias("snippet"), (F.col("page") % 2 == 0).alias("marked"))
+    return docs.select("page", F.lit(1).alias("line_no"), F.lit(0).alias("anchor_no"), rel.alias("rel"), snippet.alias("snippet"), (F.col("page") % 2 == 0).alias("marked"))
 
 
 def anchor_verify(spark, d):
@@ -34,7 +34,7 @@ _NORM = "translate(translate(regexp_replace({0}, '<[^>]*>', '', 'g'), '，（）
 
 def _anchor_sql(kinds: str) -> str:
     return f"""
-WITH d AS (SELECT doc_id, doc_id - 1 AS page, text, replace(replace(text, chr(10), ' '), '|', ' ') AS f FROM documents WHERE length(text) > 100),
+WITH d AS (SELECT doc_id, doc_id - 1 AS page, text, replace(replace(text, chr(10), ' '), '|', ' ') AS f FROM documents),
 c AS (SELECT page, CASE WHEN page % 7 = 0 THEN '_md/../x' ELSE '_md/./' || (page + 1 + CASE WHEN page % 8 = 0 THEN 1000000000 ELSE 0 END) END AS rel,
   CASE WHEN page % 3 = 0 THEN [substring(f, 60, 25), substring(f, 5, 25)] WHEN page % 5 = 0 THEN ['987654' || substring(f, 5, 25)] ELSE [substring(f, 5, 25), substring(f, 60, 25)] END AS parts,
   page % 7 = 0 AS outside, page % 8 = 0 AS missing, (page + 1) % 9 = 0 AS suspect, page % 2 = 0 AS marked, {_NORM.format('text')} AS body FROM d),

@@ -148,7 +148,9 @@ def test_consent(monkeypatch):
     embedding.require_consent(True)
     embedding.require_consent(False, "http://127.0.0.1:11434")
     embedding.require_consent(False, "https://x.org", env={"ALLOW_EXTERNAL_PROCESSING": "Yes"})
-    for url in (None, "https://x.org", "http://127.evil.org"[:0] or "http://example.org"):
+    for url in ("http://localhost:1", "https://LOCALHOST/x", "127.8.9.10:80", "http://[::1]:5"):
+        embedding.require_consent(False, url, env={})
+    for url in (None, "https://x.org", "http://127.evil.org", "http://example.org", "http://127.0.0.1.evil.org", "http://localhost.evil.org", "http://evil.org/localhost", "http://127.0.0.1@evil.org", "http://[bad", "", "http://10.0.0.1"):
         with pytest.raises(PermissionError):
             embedding.require_consent(False, url, env={})
 
