@@ -13,18 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import let, salted_join, store
+from .shared import salted_join, store
 
-#: Letters of ASCII and everything beyond it.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Letters of ASCII and everything beyond it, in a text without A-Z: a class of fewer ranges is matched several times as fast.
+TERM = r"[a-z\x80-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Shares are in units of one in SCALE; every term counts SMOOTH more than it occurs.
 SCALE, SMOOTH = 1_000_000_000, 5
 
 
-def _folded(term: Column) -> Column:
-    """Only A-Z lower-cased: terms of one byte a character by lower, which is quick, others letter by letter."""
-    return F.when(F.octet_length(term) == F.length(term), F.lower(term)).otherwise(F.translate(term, UPPER, LOWER))
+def _folded(text: Column) -> Column:
+    """Only A-Z lower-cased: a text of one byte a character by lower, which is quick, others letter by letter."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -34,10 +34,11 @@ def counts(docs: DataFrame) -> DataFrame:
     language is no hot key.
     """
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    matches = F.transform(F.regexp_extract_all(plain("text"), F.lit(TERM), F.lit(0)), _folded)
-    # each match once as an occurrence, each different one once more as a document
-    marked = let(matches, lambda m: F.concat(F.transform(m, lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))), F.transform(F.array_distinct(m), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first")))))
-    exploded = docs.select(plain("lang").alias("lang"), plain("source").alias("source"), F.inline(marked))
+    texts = docs.select(plain("lang").alias("lang"), plain("source").alias("source"), _folded(plain("text")).alias("text"))
+    matched = texts.select("lang", "source", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("terms"))
+    # each match as an occurrence, each different one once more as a document
+    twice = matched.select("lang", "source", F.inline(F.array(F.struct(F.lit(0).alias("first"), F.col("terms").alias("found")), F.struct(F.lit(1).alias("first"), F.array_distinct("terms").alias("found")))))
+    exploded = twice.select("lang", "source", "first", F.explode("found").alias("term"))
     return exploded.groupBy("lang", "source", "term").agg(F.count_if(F.col("first") == 0).alias("n"), F.sum("first").cast("bigint").alias("documents"))
 
 
