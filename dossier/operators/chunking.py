@@ -16,10 +16,10 @@ LEGAL = r"(?m)(第[一二三四五六七八九十百零\d]+条|^[（(][一二三
 Counter = Callable[[Column], Column]
 
 
-def sections(docs: DataFrame, key: str = "source", text: str = "text") -> DataFrame:
-    """source, sec_ord, heading_path and body: a heading opens a section; what precedes the first is one without a path if it is not blank.
+def section_array(text: Column) -> Column:
+    """A text's sections (heading_path, body) in order: a heading opens one; what precedes the first is one without a path if it is not blank.
 
-    A text's headings are found once and folded once, with the stack of titles that are open.
+    Headings are found once and folded once, with the stack of titles that are open.
     """
     head = "struct<i:int,level:int,title:string>"
     mark = lambda x, i: F.when(x.rlike(HEADING), F.struct(i.alias("i"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), strip(F.regexp_extract(x, HEADING, 2)).alias("title")))
@@ -40,7 +40,12 @@ def sections(docs: DataFrame, key: str = "source", text: str = "text") -> DataFr
 
         return bind(F.array_compact(F.transform(a, mark)), lambda heads: F.filter(made(heads), lambda s: (s["heading_path"] != "") | (s["body"] != "") | (F.size(heads) == 0)))
 
-    return docs.select(F.col(key).alias("source"), F.posexplode(bind(split_lines(F.col(text)), split)).alias("sec_ord", "s")).select("source", "sec_ord", "s.heading_path", "s.body")
+    return bind(split_lines(text), split)
+
+
+def sections(docs: DataFrame, key: str = "source", text: str = "text") -> DataFrame:
+    """source, sec_ord, heading_path and body of every section of every text."""
+    return docs.select(F.col(key).alias("source"), F.posexplode(section_array(F.col(text))).alias("sec_ord", "s")).select("source", "sec_ord", "s.heading_path", "s.body")
 
 
 def hard_split(unit: Column, budget: int, count: Counter = count_tokens) -> Column:
@@ -78,9 +83,13 @@ def table_pieces(block: Column, budget: int, count: Counter = count_tokens) -> C
 
 def structured_units(body: Column, budget: int, count: Counter = count_tokens) -> Column:
     """Runs of table lines stay together; prose is split, legal markers opening paragraphs."""
-    block = "array<struct<t:boolean,s:string>>"
-    join = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["t"] == is_table_line(x)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(is_table_line(x).alias("t"), F.concat(F.element_at(acc, -1)["s"], F.lit("\n"), x).alias("s"))))).otherwise(F.concat(acc, F.array(F.struct(is_table_line(x).alias("t"), x.alias("s")))))
-    blocks = F.aggregate(F.split(body, r"\r?\n"), F.array().cast(block), join)
+
+    def runs(lines: Column, flags: Column) -> Column:
+        """Neighbouring lines of one kind as one block each."""
+        first = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (F.get(flags, i) != F.get(flags, i - 1)))
+        return bind(first, lambda starts: F.transform(starts, lambda at, k: F.struct(F.get(flags, at).alias("t"), F.array_join(F.slice(lines, at + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - at), "\n").alias("s"))))
+
+    blocks = bind(F.split(body, r"\r?\n"), lambda lines: bind(F.transform(lines, is_table_line), lambda flags: runs(lines, flags)))
     clean = lambda s: strip(s)
     return F.flatten(F.transform(F.filter(blocks, lambda b: clean(b["s"]) != ""), lambda b: F.when(b["t"], table_pieces(clean(b["s"]), budget, count)).otherwise(units(F.regexp_replace(clean(b["s"]), LEGAL, "\n\n$1"), budget, count))))
 
@@ -106,41 +115,44 @@ def pack(parts: Column, budget: int, overlap: int = 0, count: Counter = count_to
     return F.aggregate(sized, start, step, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(text(a["cur"])))).otherwise(a["done"]))
 
 
-def chunk(docs: DataFrame, budget: int = 800, overlap: int = 100, strategy: str = "structure", parent_budget: int | None = None, key: str = "source", text: str = "text", count: Counter = count_tokens) -> DataFrame:
-    """source, ord, heading_path, parent_ord and text.
-
-    "structure" packs each section by itself; any other strategy packs the
-    whole text, which stays one chunk if it fits.  With parent_budget, chunks
-    are packed inside parents that never cross sections; parents() has those.
-    """
+def _blocks(text: Column, budget: int, strategy: str, parent_budget: int | None, count: Counter) -> tuple[Column, Callable[[Column], Column]]:
+    """A text's blocks (heading_path, parent_ord, body) that chunks do not cross, and how a block's body is cut into units."""
+    none = F.lit(None).cast("int")
     if strategy == "structure":
-        rows = sections(docs, key, text)
-        cut = lambda s: structured_units(s, budget, count)
+        whole, cut = section_array(text), lambda s: structured_units(s, budget, count)
     else:
-        rows = docs.select(F.col(key).alias("source"), F.lit(0).alias("sec_ord"), F.lit("").alias("heading_path"), strip(F.col(text)).alias("body")).where("body <> ''")
+        whole = bind(strip(text), lambda s: F.filter(F.array(F.struct(F.lit("").alias("heading_path"), s.alias("body"))), lambda x: x["body"] != ""))
         cut = lambda s: F.when((count(s) <= budget) & F.lit(parent_budget is None), F.array(s)).otherwise(units(s, budget, count))
     if parent_budget:
-        rows = parents_of(rows, parent_budget, cut if strategy != "structure" else lambda s: structured_units(s, parent_budget, count), count)
-    else:
-        rows = rows.withColumn("parent_ord", F.lit(None).cast("int"))
-    pieces = rows.select("source", "sec_ord", "heading_path", "parent_ord", pack(cut(F.col("body")), budget, overlap, count).alias("c"))
-    gathered = pieces.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("sec_ord", "parent_ord", "heading_path", "c"))).alias("s"))
-    flat = F.flatten(F.transform("s", lambda s: F.transform(s["c"], lambda t: F.struct(s["heading_path"].alias("heading_path"), s["parent_ord"].alias("parent_ord"), t.alias("text")))))
-    return gathered.select("source", F.posexplode(flat).alias("ord", "x")).select("source", "ord", "x.heading_path", "x.parent_ord", "x.text")
+        return parent_array(whole, parent_budget, cut if strategy != "structure" else lambda s: structured_units(s, parent_budget, count), count), cut
+    return F.transform(whole, lambda s: F.struct(s["heading_path"].alias("heading_path"), none.alias("parent_ord"), s["body"].alias("body"))), cut
+
 
+def parent_array(whole: Column, budget: int, cut: Callable[[Column], Column], count: Counter = count_tokens) -> Column:
+    """Sections (heading_path, body) as parents: body is the parent, parent_ord its number in the text."""
+    packed = F.flatten(F.transform(whole, lambda s: F.transform(pack(cut(s["body"]), budget, 0, count), lambda t: F.struct(s["heading_path"].alias("heading_path"), t.alias("body")))))
+    return F.transform(packed, lambda p, i: F.struct(p["heading_path"].alias("heading_path"), i.alias("parent_ord"), p["body"].alias("body")))
 
-def parents_of(rows: DataFrame, budget: int, cut: Callable[[Column], Column], count: Counter = count_tokens) -> DataFrame:
-    """Sections as rows of parents: body is the parent, parent_ord its number in the document."""
-    packed = rows.withColumn("p", pack(cut(F.col("body")), budget, 0, count))
-    whole = packed.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("sec_ord", "heading_path", "p"))).alias("s"))
-    flat = F.flatten(F.transform("s", lambda s: F.transform(s["p"], lambda t: F.struct(s["sec_ord"].alias("sec_ord"), s["heading_path"].alias("heading_path"), t.alias("body")))))
-    return whole.select("source", F.posexplode(flat).alias("parent_ord", "x")).select("source", "x.sec_ord", "x.heading_path", "x.body", "parent_ord")
+
+def chunk(docs: DataFrame, budget: int = 800, overlap: int = 100, strategy: str = "structure", parent_budget: int | None = None, key: str = "source", text: str = "text", count: Counter = count_tokens) -> DataFrame:
+    """source, ord, heading_path, parent_ord and text of each row's chunks; a row is chunked where it lies, nothing is shuffled.
+
+    "structure" packs each section by itself; any other strategy packs the
+    whole text, which stays one chunk if it fits.  With parent_budget, chunks
+    are packed inside parents that never cross sections; parents() has those.
+    """
+    blocks, cut = _blocks(F.col(text), budget, strategy, parent_budget, count)
+    made = F.flatten(F.transform(blocks, lambda b: F.transform(pack(cut(b["body"]), budget, overlap, count), lambda t: F.struct(b["heading_path"].alias("heading_path"), b["parent_ord"].alias("parent_ord"), t.alias("text")))))
+    return docs.select(F.col(key).alias("source"), F.posexplode(made).alias("ord", "x")).select("source", "ord", "x.heading_path", "x.parent_ord", "x.text")
 
 
 def parents(docs: DataFrame, budget: int, strategy: str = "structure", key: str = "source", text: str = "text", count: Counter = count_tokens) -> DataFrame:
-    rows = sections(docs, key, text) if strategy == "structure" else docs.select(F.col(key).alias("source"), F.lit(0).alias("sec_ord"), F.lit("").alias("heading_path"), F.col(text).alias("body"))
-    cut = (lambda s: structured_units(s, budget, count)) if strategy == "structure" else (lambda s: units(s, budget, count))
-    return parents_of(rows, budget, cut, count).select("source", "parent_ord", F.col("body").alias("text"))
+    """source, parent_ord and text of the parents of every text."""
+    if strategy == "structure":
+        whole, cut = section_array(F.col(text)), lambda s: structured_units(s, budget, count)
+    else:
+        whole, cut = F.array(F.struct(F.lit("").alias("heading_path"), F.col(text).alias("body"))), lambda s: units(s, budget, count)
+    return docs.select(F.col(key).alias("source"), F.explode(parent_array(whole, budget, cut, count)).alias("p")).select("source", "p.parent_ord", F.col("p.body").alias("text"))
 
 
 def composed(heading_path: Column, text: Column) -> Column:

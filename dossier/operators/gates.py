@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import ast
 import operator
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import ANCHOR, DATE, EVIDENCE_DROP, EVIDENCE_FROM, EVIDENCE_TO, WHITE, WIKILINK, bind, date_key, evidence_norm, fragments, lexical_path, link_target, posix, strip
+from ..functions.text import ANCHOR, DATE, WHITE, WIKILINK, bind, date_key, evidence_norm, fragments, lexical_path, link_target, posix, strip
+from .offsets import contexts
+from .scans import last_known
 
 # Section labels that claim nothing.
 LABELS = ["回答", "结论", "本案结论", "摘要", "案件摘要", "概览", "案件概况", "事实", "案件事实", "事实依据", "证据", "证据依据", "依据", "说明", "分析", "法律分析", "检索结果", "材料情况", "付款情况", "争议焦点", "时间线", "案件主体", "法律关系", "风险", "风险提示", "建议", "待核实事项", "案件索引", "案件 wiki 索引"]
 # Words that may stand beside links in a row of navigation.
 NAVIGATION = ["", "见", "参见", "另见", "主体", "相关主体", "相关页面", "相关法律事实", "关系"]
 NOT_FOUND = "在案件材料中未找到"
+# Fixed patterns: a ledger entry's heading and reason, and an arithmetic assertion.
 SKIP_HEAD = r"^##\s*\[\d{4}-\d{2}-\d{2}\]\s*skip\s*\|\s*(.+?)\s*$"
 SKIP_REASON = r"^\s*-\s*原因[:：](.*)$"
 CHECK = r">\s*\[!check\]\s*(.+)"
@@ -147,12 +149,16 @@ def check_closures(pages: DataFrame) -> DataFrame:
 
 
 def skip_ledger(log: DataFrame) -> DataFrame:
-    """path and has_reason from log lines (line_no, line); entries of one path are joined by or."""
-    heads = log.withColumn("is_head", F.col("line").startswith("#")).withColumn("path", F.regexp_extract("line", SKIP_HEAD, 1))
-    order = Window.partitionBy(F.lit(0)).orderBy("line_no")  # a log is one small file
-    marked = heads.withColumn("entry", F.last(F.when(F.col("is_head"), posix(F.col("path"))), ignorenulls=True).over(order))
+    """path and has_reason from log lines (line_no, line); entries of one path are joined by or.
+
+    A heading opens or closes an entry for all lines up to the next one, in the
+    order of line_no, however many tasks the log is dealt to.
+    """
+    is_head = F.col("line").startswith("#")
+    heads = log.withColumn("_opens", F.when(is_head, posix(F.regexp_extract("line", SKIP_HEAD, 1))))
+    marked = last_known(heads, ["line_no"], "_opens", "_entry")
     reason = F.trim(F.regexp_extract("line", SKIP_REASON, 1)) != ""
-    return marked.where("entry <> ''").groupBy(F.col("entry").alias("path")).agg(F.bool_or(reason & ~F.col("is_head")).alias("has_reason"))
+    return marked.where("_entry <> ''").groupBy(F.col("_entry").alias("path")).agg(F.bool_or(reason & ~is_head).alias("has_reason"))
 
 
 def coverage(sources: DataFrame, cited: DataFrame, skips: DataFrame) -> DataFrame:
@@ -228,41 +234,7 @@ def claim_pairs(pages: DataFrame) -> DataFrame:
 
 def with_context(pairs: DataFrame, sources: DataFrame, window: int = 120) -> DataFrame:
     """pairs with context: the source's text around the longest fragment of the quote, found in normal form, cut from the raw text, white space folded; empty if not found."""
-    joined = pairs.join(sources.select(F.col("rel").alias("source"), "text"), "source", "left")
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        mapped = {ord(a): "" if b in EVIDENCE_DROP else b for a, b in zip(EVIDENCE_FROM, EVIDENCE_TO)} | dict.fromkeys(map(ord, EVIDENCE_DROP), "")
-        normal = lambda s: re.sub("<[^>]*>", "", s).translate(mapped)
-        gone = re.compile(f"<[^>]*>|[{re.escape(''.join(chr(c) for c, to in mapped.items() if not to))}]")
-
-        def place(text: str, at: int) -> int:
-            """Where in a text the character of that number in its normal form is."""
-            start = 0
-            for m in gone.finditer(text):
-                if m.start() - start > at:
-                    break
-                at -= m.start() - start
-                start = m.end()
-            return start + at
-
-        for f in frames:
-            out, last, body = [], None, ""
-            for quote, text in zip(f["quote"], f["text"]):
-                if text is not last:
-                    last, body = text, normal(text) if isinstance(text, str) else ""
-                longest = max((p for p in re.split(r"…+|\.{3,}", quote or "") if p.strip()), key=len, default="")
-                wanted = normal(longest)
-                at = body.find(wanted) if wanted else -1
-                found = ""
-                if at >= 0:
-                    found = text[max(0, place(text, at) - window) : place(text, at + len(wanted) - 1) + 1 + window]
-                out.append(re.sub(r"\s+", " ", found).strip())
-            yield f.drop(columns=["text"]).assign(context=out)
-
-    kinds = ", ".join(f"{c} {t}" for c, t in joined.drop("text").dtypes)
-    return joined.mapInPandas(task, kinds + ", context string")
+    return contexts(pairs, sources, window)
 
 
 def last_reply(turns: DataFrame, role: str = "assistant") -> DataFrame:

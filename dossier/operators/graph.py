@@ -37,22 +37,43 @@ def neighbors(edges: DataFrame, nodes: DataFrame, alias: DataFrame, name: str) -
 def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """One row with the smallest (node by node) of the shortest paths, and hops; no row if there is none.
 
-    Layers grow by a join a hop until the goal is in one or nothing new is; a
-    reached node keeps its smallest path.
+    Layers of nodes grow from both ends, the smaller one first, until two meet;
+    no path goes with them.  Of the layers only nodes on a shortest path are
+    kept, and the path takes the smallest of them that follows, hop by hop.
     """
     spark = edges.sparkSession
-    edges = materialise(edges)
-    layer = seen = materialise(spark.createDataFrame([(start, [start])], "node string, path array<string>"))
-    hops, found = 0, start == goal
-    while not found:
-        step = layer.join(edges, layer["node"] == edges["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        layer = materialise(step.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
-        seen = seen.unionByName(layer)
-        found = layer.isEmpty() or not layer.where(F.col("node") == goal).isEmpty()
-        hops += 1
-        if hops % 16 == 0:
-            seen = materialise(seen)
-    return seen.where(F.col("node") == goal).select(F.col("path"), (F.size("path") - 1).alias("hops"))
+    edges = materialise(edges.select("src", "dst").distinct())
+    schema = "path array<string>, hops int"
+    if start == goal:
+        return spark.createDataFrame([([start], 0)], schema)
+    ahead, back = edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    alone = lambda n: materialise(spark.createDataFrame([(n,)], "node string"))
+    # of each end: its layers, the size of the last one, all nodes that were reached, and the edges to go by
+    sides = [[[layer], 1, layer, step] for layer, step in ((alone(start), ahead), (alone(goal), back))]
+    met = 0
+    while not met:
+        side, other = sides if sides[0][1] <= sides[1][1] else sides[::-1]
+        layers, _, seen, step = side
+        grown = layers[-1].join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).join(seen, "node", "left_anti").distinct()
+        layers.append(materialise(grown))
+        both = layers[-1].join(other[0][-1].withColumn("there", F.lit(1)), "node", "left").agg(F.count("*"), F.count("there")).first()
+        side[1], met = both
+        if not side[1]:
+            return spark.createDataFrame([], schema)
+        side[2] = seen.unionByName(layers[-1])
+        if len(layers) % 16 == 0:
+            side[2] = materialise(side[2])
+    meet = sides[0][0][-1].join(sides[1][0][-1], "node", "left_semi")
+    first, second = sides[0][0], sides[1][0]
+    kept = [materialise(meet)]
+    for layer in reversed(first[:-1]):
+        nexts = ahead.join(kept[0].select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
+        kept.insert(0, materialise(layer.join(nexts, "node", "left_semi")))
+    at, path = start, [start]
+    for layer in [*kept[1:], *reversed(second[:-1])]:
+        at = ahead.where(F.col("src") == at).select(F.col("dst").alias("node")).join(layer, "node", "left_semi").agg(F.min("node")).first()[0]
+        path.append(at)
+    return spark.createDataFrame([(path, len(path) - 1)], schema)
 
 
 def headings(docs: DataFrame, key: str = "source", text: str = "text") -> DataFrame:

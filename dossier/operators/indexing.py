@@ -91,6 +91,27 @@ def index_path(spark: SparkSession, path: str, out: str, embedder: Embedder, *,
     return {"files_seen": totals.seen, "files_indexed": totals.indexed, "files_skipped": totals.seen - totals.indexed, "total_chunks": totals.chunks, "skipped": skipped}
 
 
+def index_file(spark: SparkSession, path: str, out: str, embedder: Embedder, **options) -> dict:
+    """Indexes one file: its source, whether it was indexed, its chunks, and otherwise the reason, whatever went wrong.  options are those of index_path."""
+    source = relative_path(path, options.get("root"))
+    try:
+        said = index_path(spark, path, out, embedder, **options)
+    except Exception as e:  # one file's failure is its result
+        return {"source": source, "indexed": False, "chunks": 0, "reason": f"{type(e).__name__}: {e}"}
+    if said["skipped"]:
+        return {"source": source, "indexed": False, "chunks": 0, "reason": said["skipped"][0][1]}
+    return {"source": source, "indexed": True, "chunks": said["total_chunks"]}
+
+
+def relative_path(path: str, root: str | None) -> str:
+    """What relative_source says of one path."""
+    plain = "/" + path.removeprefix("file:").lstrip("/")
+    base = "/" + root.removeprefix("file:").strip("/") + "/" if root else ""
+    if root and not plain.startswith(base):
+        raise ValueError(f"{plain} is not below {base}")
+    return plain.removeprefix(base)
+
+
 def index_model(spark: SparkSession, out: str) -> str | None:
     """The model that an index was built with, or None if there is no index."""
     try:

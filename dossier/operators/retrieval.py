@@ -140,6 +140,23 @@ def attach_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
     return hits.join(found, ["source", "parent_ord"], "left")
 
 
+def enrich(hits: DataFrame) -> DataFrame:
+    """hits (source, text[, heading_path, quality]) with the anchor of their text on one line and whether it is unverified.
+
+    A first paragraph that is the hit's breadcrumb is no part of the source's
+    running text, so it is left out of the anchor; text stays as it is.
+    """
+    from ..functions.text import anchor, bind, single_line
+
+    none = F.lit(None).cast("string")
+    heading = F.col("heading_path") if "heading_path" in hits.columns else none
+    quality = F.col("quality") if "quality" in hits.columns else none
+    folded = lambda s: F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
+    led = lambda p: F.coalesce((heading != "") & (F.size(p) == 2) & (folded(p[0]) == heading), F.lit(False))
+    body = bind(F.split("text", r"(?U)\n\s*\n", 2), lambda p: F.when(led(p), F.get(p, F.lit(1))).otherwise(F.col("text")))
+    return hits.select(*hits.columns, anchor(F.col("source"), single_line(body), quality).alias("anchor"), quality.eqNullSafe(F.lit("suspect")).alias("unverified"))
+
+
 def index_usable(index_model: str | None, query_model: str) -> tuple[bool, str]:
     """Whether a query's vectors can be compared with the index's, and why not."""
     if index_model is None:

@@ -1,10 +1,11 @@
 """Segmented postings for BM25: batches are indexed apart and merged later, and a query reads only the blocks that can hold one of its top hits.
 
-A segment numbers its chunks in the order of their length and cuts them into
-blocks, the same blocks for all terms.  A term's postings in a block are one
-row, beside the pairs of count and length that no other pair of the block
-beats: whatever the statistics are at the time of a query, the block's highest
-part of a score is that of one of them.  The sum over a query's terms bounds
+A segment numbers the chunks of each task in the order of their length and cuts
+them into blocks, the same blocks for all terms.  A chunk is a slot of its
+block, where its keys and length are kept once.  A term's postings in a block,
+slots and counts, are one row, beside the pairs of count and length that no
+other pair of the block beats: whatever the statistics are at the time of a
+query, the block's highest part of a score is that of one of them.  The sum over a query's terms bounds
 the score of every chunk of the block.  A query scores the blocks of the
 highest bounds first; the k-th best score found there rules out all blocks
 whose bound is lower, and their postings are never read.
@@ -23,8 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
-from ..sources.commits import CommitLog, fresh_name
+from ..functions.text import bind, tokens
+from ..sources.commits import CommitLog, Files, fresh_name
 from ..sources.scratch import materialise
 from .retrieval import B, K1, prefix_filter
 
@@ -47,22 +48,33 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _posted(counted: DataFrame, keys: tuple[str, ...], *beside: str) -> DataFrame:
-    """keys, term, tf and dl of chunks (keys, _t: their tokens); the counts of a chunk are made in its task."""
-    return counted.withColumn("dl", F.size("_t")).select(*keys, *beside, "dl", F.explode("_t").alias("term")).groupBy("term", *keys, *beside, "dl").agg(F.count("*").cast("int").alias("tf"))
+def _term_counts(words: Column) -> Column:
+    """The different words of an array, each with how often it is there: runs of the sorted array."""
+    def runs(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda x, i: i), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return bind(first, lambda starts: F.transform(starts, lambda at, k: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(s)) - at).cast("int").alias("tf"))))
+
+    return bind(F.sort_array(words), runs)
 
 
 def _counted(chunks: DataFrame, keys: tuple[str, ...], text: str, words: str | None) -> DataFrame:
-    return chunks.select(*keys, (tokens(F.col(text)) if words is None else F.col(words)).alias("_t"))
+    """keys, dl (number of tokens; none for a null text) and terms with their counts of every chunk."""
+    held = chunks.select(*keys, F.coalesce(tokens(F.col(text)) if words is None else F.col(words), F.array().cast("array<string>")).alias("_t"))
+    return held.select(*keys, F.size("_t").alias("dl"), _term_counts(F.col("_t")).alias("terms"))
+
+
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, dl, ...) with block and slot: a task's rows by length, BLOCK a block."""
+    number = F.monotonically_increasing_id()  # the upper bits are the task's number, the lower ones the row's in it
+    row = number.bitwiseAND((1 << 33) - 1)
+    placed = rows.sortWithinPartitions("dl", *keys)
+    return placed.withColumn("block", F.shiftright(number, 33) * (1 << 33) + F.floor(row / BLOCK)).withColumn("slot", (row % BLOCK).cast("int"))
 
 
-def _blocked(rows: DataFrame, keys: tuple[str, ...], length: Column) -> DataFrame:
-    """rows with the block of each: dealt by keys, then numbered by length in each part."""
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = rows.withColumn("_l", length).repartition(parts, *keys).sortWithinPartitions("_l", *keys).drop("_l")
-    number = F.monotonically_increasing_id()
-    # the upper bits are the part's number, the lower ones the row's in it
-    return placed.withColumn("block", F.shiftright(number, 33) * (1 << 33) + F.floor(number.bitwiseAND((1 << 33) - 1) / BLOCK))
+def _built(rows: DataFrame, place: str) -> DataFrame:
+    """Numbered rows, stored so that all that is made of them has the same numbers."""
+    rows.write.parquet(place)
+    return rows.sparkSession.read.schema(rows.schema).parquet(place)
 
 
 def _best_pairs(postings: Column) -> Column:
@@ -72,27 +84,41 @@ def _best_pairs(postings: Column) -> Column:
     return F.aggregate(ordered, start, lambda best, x: F.when((F.size(best) == 0) | (F.element_at(best, -1)["tf"] < -x["less"]), F.concat(best, F.array(F.struct((-x["less"]).alias("tf"), x["dl"].alias("dl"))))).otherwise(best))
 
 
-def _write(postings: DataFrame, path: str, name: str, keys: tuple[str, ...]) -> None:
-    """Stores postings (keys, term, tf, dl, block) as one row a term and block."""
-    rows = postings.groupBy("term", "block").agg(F.collect_list(F.struct(*keys, "tf", "dl")).alias("postings"))
-    full = rows.select("term", "block", F.size("postings").alias("n"), F.aggregate("postings", F.lit(0).cast("bigint"), lambda s, x: s + x["tf"]).alias("tokens"), _best_pairs(F.col("postings")).alias("best"), "postings", _bucket(F.col("term")).alias("bucket"))
+def _write(postings: DataFrame, chunks: DataFrame, path: str, name: str) -> None:
+    """Stores postings (term, block, slot, tf, dl) as one row a term and block, and the chunks (keys, dl, block, slot) that they are of."""
+    chunks.write.parquet(f"{path}/chunks/segment={name}")
+    rows = postings.groupBy("term", "block").agg(F.collect_list(F.struct("slot", "tf", "dl")).alias("p"))
+    size = F.aggregate("p", F.lit(0).cast("bigint"), lambda s, x: s + x["tf"])
+    full = rows.select("term", "block", F.size("p").alias("n"), size.alias("tokens"), _best_pairs(F.col("p")).alias("best"), F.transform("p", lambda x: x["slot"]).alias("slots"), F.transform("p", lambda x: x["tf"]).alias("tfs"), _bucket(F.col("term")).alias("bucket"))
     dealt = full.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block")
     # small groups of rows, so that a scan for some blocks of a term passes over the others
-    dealt.write.partitionBy("bucket").option("parquet.block.size", 4 << 20).option("parquet.page.row.count.limit", 200).parquet(f"{path}/blocks/segment={name}")
+    dealt.write.partitionBy("bucket").option("parquet.block.size", 4 << 20).option("parquet.page.row.count.limit", 1000).parquet(f"{path}/blocks/segment={name}")
 
 
-def _blocks(spark: SparkSession, path: str, entry: dict) -> DataFrame:
-    """All rows of all segments, with the number of the commit that wrote each."""
-    kinds = ", ".join(f"`{k}`: {t}" for k, t in entry["keys"])
-    schema = f"term string, block bigint, n int, tokens bigint, best array<struct<tf: int, dl: int>>, postings array<struct<{kinds}, tf: int, dl: int>>, segment string, bucket int"
+def _segments(spark: SparkSession, path: str, entry: dict, table: str, schema: str) -> DataFrame:
+    """A table's rows of the listed segments, with the number of the commit that wrote each."""
     names = [s["name"] for s in entry["segments"]]
     if not names:
         return spark.createDataFrame([], schema).withColumn("number", F.lit(0))
-    rows = spark.read.schema(schema).option("basePath", f"{path}/blocks").parquet(*[f"{path}/blocks/segment={n}" for n in names])
+    rows = spark.read.schema(schema).option("basePath", f"{path}/{table}").parquet(*[f"{path}/{table}/segment={n}" for n in names])
     numbers = F.create_map(*[F.lit(x) for s in entry["segments"] for x in (s["name"], s["number"])])
     return rows.withColumn("number", numbers[F.col("segment")])
 
 
+def _blocks(spark: SparkSession, path: str, entry: dict) -> DataFrame:
+    return _segments(spark, path, entry, "blocks", "term string, block bigint, n int, tokens bigint, best array<struct<tf: int, dl: int>>, slots array<int>, tfs array<int>, segment string, bucket int")
+
+
+def _chunks(spark: SparkSession, path: str, entry: dict) -> DataFrame:
+    kinds = ", ".join(f"`{k}` {t}" for k, t in entry["keys"] or [["source", "string"], ["ord", "bigint"]])
+    return _segments(spark, path, entry, "chunks", f"{kinds}, dl int, block bigint, slot int, segment string")
+
+
+def _postings(blocks: DataFrame) -> DataFrame:
+    """segment, block, slot, term and tf of rows of blocks."""
+    return blocks.select("segment", "block", "term", F.inline(F.arrays_zip("slots", "tfs"))).withColumnsRenamed({"slots": "slot", "tfs": "tf"})
+
+
 def _dead(spark: SparkSession, path: str, entry: dict) -> DataFrame | None:
     """The keys of replaced chunks, with the commit since which older postings of them do not count."""
     kinds = ", ".join(f"`{k}` {t}" for k, t in entry["keys"])
@@ -100,12 +126,12 @@ def _dead(spark: SparkSession, path: str, entry: dict) -> DataFrame | None:
     return reduce(DataFrame.unionByName, gone) if gone else None
 
 
-def _alive(postings: DataFrame, dead: DataFrame | None, keys: list[str]) -> DataFrame:
-    """postings (keys, number) without those that a later commit replaced."""
+def _alive(chunks: DataFrame, dead: DataFrame | None, keys: list[str]) -> DataFrame:
+    """chunks (keys, number) without those that a later commit replaced."""
     if dead is None:
-        return postings
+        return chunks
     gone = dead.select(*[F.col(k).alias(f"_{k}") for k in keys], "since")
-    return postings.join(gone, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]) & (F.col("since") > F.col("number")), "left_anti")
+    return chunks.join(gone, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]) & (F.col("since") > F.col("number")), "left_anti")
 
 
 def _latest(spark: SparkSession, path: str) -> dict:
@@ -127,17 +153,20 @@ def add(chunks: DataFrame, path: str, keys: tuple[str, ...] = ("source", "ord"),
     listed = [[k, kinds[k]] for k in keys]
     if before["keys"] and before["keys"] != listed:
         raise ValueError(f"the index has the keys {before['keys']}, the batch {listed}")
-    _write(_posted(_blocked(_counted(chunks, keys, text, words), keys, F.size("_t")), keys, "block"), path, name, keys)
-    own = {"keys": listed, "segments": [], "replaced": []}
-    size = _blocks(spark, path, own | {"segments": [{"name": name, "number": 0}]}).agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    segment = {"name": name, "number": before["number"] + 1, "n": chunks.count(), "tokens": size, "ghosts": False}
+    place = f"{path}/building/{name}"
+    built = _built(_numbered(_counted(chunks, keys, text, words), list(keys)), place)
+    _write(built.select("block", "slot", "dl", F.inline("terms")), built.select(*keys, "dl", "block", "slot"), path, name)
+    totals = spark.read.schema("dl int").parquet(f"{path}/chunks/segment={name}").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
+    Files(spark, path).delete(f"building/{name}")
+    segment = {"name": name, "number": before["number"] + 1, "n": totals.n, "tokens": totals.tokens, "ghosts": False}
     gone = []
     if replaced is not None:
         place = f"{path}/replaced/{name}"
-        posted = materialise(_posted(_counted(replaced, keys, text, words), keys))
-        posted.groupBy("term").agg(F.count("*").alias("n")).write.parquet(f"{place}/terms")
-        replaced.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys]).write.parquet(f"{place}/keys")
-        gone = [{"name": name, "number": segment["number"], "n": replaced.count(), "tokens": posted.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]}]
+        counted = materialise(_counted(replaced, keys, text, words))
+        counted.select(F.inline("terms")).groupBy("term").agg(F.count("*").alias("n")).write.parquet(f"{place}/terms")
+        counted.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys]).write.parquet(f"{place}/keys")
+        off = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
+        gone = [{"name": name, "number": segment["number"], "n": off.n, "tokens": off.tokens}]
     return CommitLog(spark, path).append(before["number"], {"keys": listed, "segments": [*before["segments"], segment], "replaced": [*before["replaced"], *gone]})
 
 
@@ -156,20 +185,24 @@ def merge(spark: SparkSession, path: str, largest: int | None = None) -> int:
     if len(chosen) < 2 and not (len(chosen) == len(entry["segments"]) == 1 and entry["replaced"]):
         return entry["number"]
     name = f"s{fresh_name()}"
-    every = _blocks(spark, path, entry | {"segments": chosen}).select("number", "term", F.inline("postings"))
-    alive = materialise(_alive(every, _dead(spark, path, entry), keys))
-    lengths = alive.groupBy(*keys).agg(F.first("dl").alias("dl"))
-    placed = _blocked(lengths, tuple(keys), F.col("dl")).select(*[F.col(k).alias(f"_{k}") for k in keys], "block")
-    same = reduce(Column.__and__, [F.col(k) == F.col(f"_{k}") for k in keys])
-    _write(alive.join(placed, same).select(*keys, "term", "tf", "dl", "block"), path, name, tuple(keys))
+    held = _alive(_chunks(spark, path, entry | {"segments": chosen}), _dead(spark, path, entry), keys)
+    place = f"{path}/building/{name}"
+    # chunks of all segments are dealt anew, and keep where they were beside where they go
+    were_at = held.select(*keys, "dl", "segment", F.col("block").alias("was_block"), F.col("slot").alias("was_slot")).repartition(*keys)
+    built = _built(_numbered(were_at, keys), place)
+    old = _postings(_blocks(spark, path, entry | {"segments": chosen})).withColumnsRenamed({"block": "was_block", "slot": "was_slot"})
+    moved = old.join(built.select("segment", "was_block", "was_slot", "block", "slot", "dl"), ["segment", "was_block", "was_slot"])
+    _write(moved.select("term", "block", "slot", "tf", "dl"), built.select(*keys, "dl", "block", "slot"), path, name)
     whole = len(chosen) == len(entry["segments"])
     n, size = sum(s["n"] for s in chosen), sum(s["tokens"] for s in chosen)
     if whole:
         n, size = n - sum(r["n"] for r in entry["replaced"]), size - sum(r["tokens"] for r in entry["replaced"])
     else:
         were = _blocks(spark, path, entry | {"segments": chosen}).groupBy("term").agg(F.sum("n").alias("n"))
-        ghosts = [were, alive.groupBy("term").agg((-F.count("*")).alias("n")), *[spark.read.parquet(f"{path}/ghosts/{s['name']}") for s in chosen if s["ghosts"]]]
+        now = _blocks(spark, path, entry | {"segments": [{"name": name, "number": 0}]}).groupBy("term").agg((-F.sum("n")).alias("n"))
+        ghosts = [were, now, *[spark.read.parquet(f"{path}/ghosts/{s['name']}") for s in chosen if s["ghosts"]]]
         reduce(DataFrame.unionByName, ghosts).groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0").write.parquet(f"{path}/ghosts/{name}")
+    Files(spark, path).delete(f"building/{name}")
     segment = {"name": name, "number": entry["number"] + 1, "n": n, "tokens": size, "ghosts": not whole}
     rest = [s for s in entry["segments"] if s not in chosen]
     return CommitLog(spark, path).append(entry["number"], {"keys": entry["keys"], "segments": [*rest, segment], "replaced": [] if whole else entry["replaced"]})
@@ -187,7 +220,7 @@ def top(spark: SparkSession, path: str, query: str | list[str], k: int = 5, pref
     keys = [key for key, _ in entry["keys"]]
     terms = sorted({r[0] for r in spark.range(1).select(F.explode(tokens(F.lit(query)))).collect()} if isinstance(query, str) else set(query))
     if not terms or not entry["segments"]:
-        return Search(_blocks(spark, path, entry | {"keys": entry["keys"] or [["source", "string"], ["ord", "bigint"]]}).select(F.inline("postings")).select(*(keys or ["source", "ord"]), F.lit(0.0).alias("score")).limit(0), 0, 0)
+        return Search(_chunks(spark, path, entry).select(*(keys or ["source", "ord"]), F.lit(0.0).alias("score")).limit(0), 0, 0)
     buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).distinct().collect()]
     own = _blocks(spark, path, entry).where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
@@ -205,15 +238,17 @@ def top(spark: SparkSession, path: str, query: str | list[str], k: int = 5, pref
     bounds = materialise(own.select("segment", "block", highest.alias("bound")).groupBy("segment", "block").agg(F.sum("bound").alias("bound"), F.count("*").alias("rows")))
     total = bounds.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
 
+    chunks = prefix_filter(_alive(_chunks(spark, path, entry), _dead(spark, path, entry), keys), prefix, keys[0])
+
     def scored(chosen: DataFrame, count: int) -> DataFrame:
         if count <= NAMED:
             some = chosen.select("segment", "block").collect()
             named = reduce(Column.__or__, [(F.col("segment") == s) & F.col("block").isin([r.block for r in some if r.segment == s]) for s in sorted({r.segment for r in some})], F.lit(False))
-            rows = own.where(named)
+            pick = lambda t: t.where(named)
         else:
-            rows = own.join(chosen.select("segment", "block"), ["segment", "block"], "left_semi")
-        postings = prefix_filter(_alive(rows.select("number", "term", F.inline("postings")), _dead(spark, path, entry), keys), prefix, keys[0])
-        parts = postings.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("term", part(F.col("tf"), F.col("dl")).alias("p")))).alias("p"))
+            pick = lambda t: t.join(chosen.select("segment", "block"), ["segment", "block"], "left_semi")
+        found = _postings(pick(own)).join(pick(chunks).select(*keys, "dl", "segment", "block", "slot"), ["segment", "block", "slot"])
+        parts = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("term", part(F.col("tf"), F.col("dl")).alias("p")))).alias("p"))
         # terms are added in their order, so that sums come out alike however rows are dealt
         return parts.select(*keys, F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x["p"]), 4).alias("score"))
 

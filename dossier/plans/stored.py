@@ -7,6 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from ..operators import neighbours, segmentation, segments, snapshots
+from ..sources import archives
 from ..sources.scratch import folder
 from ..streaming import changes, incremental
 from .documents import K, QUERY, _bm25_sql, table
@@ -125,7 +126,18 @@ SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, ev
 GROUP BY date_trunc('hour', ts), event_type HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
 
 
+def zip_members(spark, d):
+    """All documents written as members of zip archives, beside some that would leave their destination, and read back by slices."""
+    root = _place(spark, "archives")
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    name = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("../"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("case/"), F.col("doc_id").cast("string"), F.lit(".md")))
+    archives.write_archives(docs.select(name.alias("rel"), "content"), root, 2000).agg(F.sum("members")).collect()
+    found = archives.members(spark, root, ".md")
+    return found.select(F.regexp_extract("rel", "([0-9]+)", 1).cast("bigint").alias("doc_id"), "size", F.md5("content").alias("hash"))
+
+
 CATALOGUE = {
+    "zip_members": (zip_members, "SELECT doc_id, octet_length(encode(text)) AS size, md5(text) AS hash FROM documents WHERE doc_id % 10 <> 3"),
     "stream_changes": (stream_changes, "SELECT CAST(doc_id AS VARCHAR) AS source, md5(CASE WHEN doc_id % 4 = 0 THEN 'changed ' || text ELSE text END) AS hash, CAST(2 AS BIGINT) AS batches FROM documents"),
     "stream_windows": (stream_windows, _WINDOWS),
     "bm25_segments_topk": (bm25_segments_topk, _bm25_sql()),

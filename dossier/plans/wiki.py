@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import anchor
-from ..operators import gates, graph, retrieval
+from ..operators import gates, graph, offsets, retrieval
 from ..sources.scratch import folder
 from ..streaming import incremental
 from .documents import table
@@ -94,6 +94,62 @@ def reconcile_sources(spark, d):
     return gates.reconcile(outcomes, skips, docs.agg(F.count("*").alias("source_total")))
 
 
+def claim_context(spark, d):
+    """The raw text around each quote of the next document that can be found there."""
+    pairs = _claims(spark, d).select("page", F.concat(F.lit("_md/"), (F.col("page") + 1).cast("string")).alias("source"), F.col("snippet").alias("quote"))
+    return gates.with_context(pairs, _sources(spark, d)).select("page", F.md5("context").alias("context"))
+
+
+_STRETCH = offsets.STRETCH.replace("'", "''")
+_CONTEXT = f"""
+WITH d AS (SELECT doc_id - 1 AS page, text, replace(replace(text, chr(10), ' '), '|', ' ') AS f, {_NORM.format('text')} AS body FROM documents),
+q AS (SELECT *, CASE WHEN page % 3 = 0 THEN substring(f, 60, 25) || '…' || substring(f, 5, 25) WHEN page % 5 = 0 THEN '987654' || substring(f, 5, 25) ELSE substring(f, 5, 25) || '* … ' || substring(f, 60, 25) END AS quote FROM d),
+g AS (SELECT *, list_filter(string_split_regex(quote, '…+|\\.{{3,}}'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13) || '　') <> '') AS frags FROM q),
+l AS (SELECT *, coalesce(frags[list_position(list_transform(frags, lambda x: length(x)), list_max(list_transform(frags, lambda x: length(x))))], '') AS longest FROM g),
+w AS (SELECT *, {_NORM.format('longest')} AS wanted FROM l),
+a AS (SELECT *, CASE WHEN wanted <> '' THEN instr(body, wanted) - 1 ELSE -1 END AS first FROM w),
+p AS (SELECT page, first, first + length(wanted) - 1 AS last, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT *, regexp_extract_all(text, '{_STRETCH}') AS s FROM a WHERE first >= 0)),
+k AS (SELECT *, CASE WHEN {_NORM.format('s')} = '' THEN 0 ELSE length(s) END AS kept FROM p),
+r AS (SELECT *, sum(kept) OVER o - kept AS normal, sum(length(s)) OVER o - length(s) AS raw FROM k WINDOW o AS (PARTITION BY page ORDER BY i ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT page, min(raw + first - normal) FILTER (normal <= first AND first < normal + kept) AS b, min(raw + last - normal) FILTER (normal <= last AND last < normal + kept) AS e FROM r GROUP BY page)
+SELECT page, md5(coalesce(trim(regexp_replace(substring(text, (greatest(0, b - 120) + 1)::BIGINT, (e + 121 - greatest(0, b - 120))::BIGINT), '[\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'), ' '), '')) AS context FROM a LEFT JOIN m USING (page)"""
+
+
+def skip_ledger_log(spark, d):
+    """A ledger of three lines a document: a heading (of an entry, of something else, or none), a reason that may be blank, and a remark."""
+    i = F.col("doc_id")
+    path = F.concat(F.lit("_md\\"), (i % 90).cast("string"), F.lit(".md"))
+    head = F.when(i % 5 == 0, F.concat(F.lit("## [2024-01-02] skip | "), path)).when(i % 5 == 1, F.lit("# other")).otherwise(F.lit("remark"))
+    reason = F.when(i % 7 == 0, F.lit("- 原因：  ")).when(i % 3 == 0, F.lit("- 原因: because")).otherwise(F.lit("-"))
+    lines = table(spark, d, "documents").select((i * 3).alias("n"), F.posexplode(F.array(head, reason, F.lit("  原因：no dash"))).alias("k", "line"))
+    return gates.skip_ledger(lines.select((F.col("n") + F.col("k")).alias("line_no"), "line"))
+
+
+_LEDGER = """
+WITH x AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '_md/' || (doc_id % 90) || '.md' WHEN doc_id % 5 = 1 THEN '' END AS opens, doc_id % 7 <> 0 AND doc_id % 3 = 0 AS reason FROM documents),
+y AS (SELECT *, last_value(opens IGNORE NULLS) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS path FROM x)
+SELECT path, bool_or(reason) AS has_reason FROM y WHERE path <> '' GROUP BY path"""
+
+
+def timeline_pages(spark, d):
+    """A page of dated lines a user, some of them no entries, and what is out of order on it."""
+    i = F.col("event_id")
+    ymd = [F.date_format("ts", "yyyy'年'"), F.date_format("ts", "yyyy'年'M'月'"), F.date_format("ts", "yyyy'年' M'月'd'日'")]
+    date = F.when(i % 3 == 0, ymd[0]).when(i % 3 == 1, ymd[1]).otherwise(ymd[2])
+    line = F.concat(F.when(i % 4 == 3, "note ").otherwise(" - "), F.when(i % 11 == 5, "no date").otherwise(date), F.lit(" 1999年"))
+    lines = table(spark, d, "events").select("user_id", F.struct(((i * 7919) % 100003).alias("place"), i.alias("i"), line.alias("line")).alias("x"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["line"]), "\n")
+    pages = lines.groupBy("user_id").agg(text.alias("text")).select(F.concat(F.lit("wiki/时间线/"), F.col("user_id").cast("string"), F.lit(".md")).alias("page"), "text")
+    return gates.check_timelines(pages).select("page", F.col("line_no").cast("bigint").alias("line_no"))
+
+
+_TIMELINE_PAGES = """
+WITH l AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id * 7919 % 100003, event_id) AS line_no FROM events),
+t AS (SELECT *, CASE WHEN event_id % 11 = 5 THEN [1999] WHEN event_id % 3 = 0 THEN [year(ts)] WHEN event_id % 3 = 1 THEN [year(ts), month(ts)] ELSE [year(ts), month(ts), day(ts)] END AS k FROM l WHERE event_id % 4 <> 3),
+p AS (SELECT *, lag(k) OVER (PARTITION BY user_id ORDER BY line_no) AS b FROM t)
+SELECT 'wiki/时间线/' || user_id || '.md' AS page, line_no FROM p WHERE b IS NOT NULL AND k[1:least(len(k), len(b))] < b[1:least(len(k), len(b))]"""
+
+
 def _link_pages(spark, d):
     """A page a customer with links to a nation (dead ones among them) and, through an alias, to a region."""
     c = table(spark, d, "customer")
@@ -193,7 +249,10 @@ CATALOGUE = {
     "reconcile_sources": (reconcile_sources, "WITH o AS (SELECT doc_id, doc_id % 5 = 0 OR doc_id % 7 = 0 AS open FROM documents WHERE doc_id % 50 <> 1), j AS (SELECT o.*, coalesce(toxic = 0, false) AS ok FROM o LEFT JOIN labels USING (doc_id)) SELECT count(*) FILTER (NOT open) AS produced, count(*) FILTER (open AND ok) AS registered, count(*) FILTER (open AND NOT ok) + CASE WHEN (SELECT count(*) FROM documents) > count(*) THEN 1 ELSE 0 END AS unresolved, (SELECT count(*) FROM documents) AS source_total, count(*) AS accounted FROM j"),
     "dead_links": (dead_links, "WITH l AS (SELECT 'c' || c_custkey AS page, 1 AS line_no, 'n' || (c_nationkey + c_custkey % 4) AS target FROM customer UNION ALL SELECT 'c' || c_custkey, 2, 'Region ' || (c_custkey % 7) FROM customer) SELECT * FROM l WHERE target NOT IN (SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'Region ' || r_regionkey FROM region)"),
     "graph_neighbors": (graph_neighbors, f"WITH {_EDGES} SELECT b AS stem, CASE left(b, 1) WHEN 'c' THEN '案件主体' WHEN 'n' THEN '法律关系' ELSE '法律事实' END AS type FROM e WHERE a = 'n3'"),
-    "graph_shortest_path": (graph_shortest_path, f"WITH RECURSIVE {_EDGES}, w AS (SELECT 'c1' AS node, ['c1'] AS path UNION ALL SELECT e.b, list_append(w.path, e.b) FROM w JOIN e ON e.a = w.node WHERE NOT list_contains(w.path, e.b) AND len(w.path) < 7 AND (NOT starts_with(e.b, 'c') OR e.b = 'c2')) SELECT array_to_string(path, '>') AS path, len(path) - 1 AS hops FROM w WHERE node = 'c2' ORDER BY len(path), path LIMIT 1"),
+    "graph_shortest_path": (graph_shortest_path, f"WITH RECURSIVE {_EDGES}, d AS (SELECT 'c2' AS node, 0 AS k UNION SELECT e.b, d.k + 1 FROM d JOIN e ON e.a = d.node WHERE d.k < 12), m AS (SELECT node, min(k) AS k FROM d GROUP BY node), w AS (SELECT 'c1' AS node, ['c1'] AS path UNION ALL SELECT e.b, list_append(w.path, e.b) FROM w JOIN e ON e.a = w.node JOIN m x ON x.node = w.node JOIN m y ON y.node = e.b AND y.k = x.k - 1) SELECT array_to_string(path, '>') AS path, len(path) - 1 AS hops FROM w WHERE node = 'c2' ORDER BY path LIMIT 1"),
+    "claim_context": (claim_context, _CONTEXT),
+    "skip_ledger_log": (skip_ledger_log, _LEDGER),
+    "timeline_pages": (timeline_pages, _TIMELINE_PAGES),
     "timeline_order": (timeline_order, _TIMELINE),
     "closure_check": (closure_check, "SELECT DISTINCT l_orderkey AS page, CASE WHEN l_orderkey % 5 = 0 THEN 'unparsable' ELSE 'mismatch' END AS kind FROM lineitem WHERE l_orderkey % 5 = 0 OR l_orderkey % 3 = 0"),
     "last_assistant_reply": (last_assistant_reply, "SELECT conv_id, md5(arg_max(text, turn)) AS reply FROM conversations WHERE role = 'assistant' AND trim(coalesce(text, '')) <> '' GROUP BY conv_id"),

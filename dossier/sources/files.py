@@ -8,22 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.convert import JUNK, safe_asset
+from .commits import Files
 
 # Suffixes that are indexed.
 SUFFIXES = ["pdf", "docx", "doc", "pptx", "ppt", "xlsx", "xls", "html", "htm", "md", "markdown", "txt", "csv", "json", "epub"]
 
 
 def scan(spark: SparkSession, root: str, recursive: bool = True, exclude: tuple[str, ...] = (), suffixes: list[str] | None = SUFFIXES) -> DataFrame:
-    """path, rel, modificationTime, length and content of files under root, junk and excluded names left out; content is only read if used."""
+    """path, rel, modificationTime, length and content of files under root, junk and excluded names left out; content is only read if used.
+
+    A root that is a file is that one file, whatever its suffix or name; one
+    that is not there raises FileNotFoundError.
+    """
+    place = Files(spark, root)
+    if not place.system.exists(place.path("")):
+        raise FileNotFoundError(f"there is no {root}")
+    one = place.system.getFileStatus(place.path("")).isFile()
     found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root)
+    if one:
+        return found.withColumn("rel", F.regexp_extract("path", r"([^/]*)$", 1))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     keep = ~name.isin(JUNK)
     if suffixes is not None:
         keep = keep & F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(suffixes)
     for glob in exclude:
-        keep = keep & ~name.rlike(translate(glob).replace("\\z", "\\z"))
-    prefix = root.rstrip("/").removeprefix("file:").lstrip("/")
-    rel = F.regexp_replace("path", r"^[a-z]+:/*" + "(?:" + prefix.replace(".", r"\.") + ")/?", "")
+        keep = keep & ~name.rlike(translate(glob))
+    # the root as its file system names it, so that nothing in it is read as a pattern
+    base = place.system.makeQualified(place.path("")).toUri().getPath().rstrip("/") + "/"
+    rel = F.substr("path", F.locate(base, F.col("path")) + F.lit(len(base)))
     return found.where(keep).withColumn("rel", rel)
 
 
