@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import ast
 import operator
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import ANCHOR, DATE, WHITE, WIKILINK, bind, date_key, evidence_norm, fragments, lexical_path, link_target, posix, strip
+from ..functions.text import ANCHOR, DATE, WHITE, WIKILINK, aliases, bind, date_key, evidence_norm, fragments, lexical_path, link_target, posix, provenance_fields, strip
+from ..sources.scratch import materialise
 from .offsets import contexts
 from .scans import last_known
 
@@ -31,9 +34,21 @@ def numbered_lines(pages: DataFrame) -> DataFrame:
     return pages.select("page", F.posexplode(F.split("text", r"\r\n|[\n\r\x0b\x0c\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]")).alias("i", "line")).select("page", (F.col("i") + 1).alias("line_no"), "line")
 
 
-def anchors(pages: DataFrame) -> DataFrame:
+def gate_lines(pages: DataFrame) -> DataFrame:
+    """numbered_lines of pages, each with what it may hold for the gates: one struct of flags, told from the line once."""
+    entry = F.array_contains(F.split("page", "/"), "时间线") & strip(F.col("line")).startswith("-") & F.col("line").rlike(DATE)
+    gate = F.struct(F.col("line").contains("〔来源:").alias("anchor"), F.col("line").contains("[[").alias("link"), entry.alias("entry"), F.col("line").rlike(CHECK).alias("check"))
+    return numbered_lines(pages).withColumn("gate", gate)
+
+
+def _lines(pages: DataFrame, lines: DataFrame | None, gate: str) -> DataFrame:
+    """The lines of pages that a gate looks at: from lines that were made before, or made now."""
+    return (gate_lines(pages) if lines is None else lines).where(F.col("gate")[gate]).select("page", "line_no", "line")
+
+
+def anchors(pages: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """page, line_no, anchor_no, rel, snippet and marked (an unverified mark follows) of every anchor."""
-    found = numbered_lines(pages).where(F.col("line").contains("〔来源:"))
+    found = _lines(pages, lines, "anchor")
     whole = ANCHOR + "(?:[ \\t]*（未核验）)?"
     each = found.select("page", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(whole), F.lit(0))).alias("anchor_no", "raw"))
     return each.select("page", "line_no", "anchor_no", posix(F.trim(F.regexp_extract("raw", ANCHOR, 1))).alias("rel"), F.trim(F.regexp_extract("raw", ANCHOR, 2)).alias("snippet"), F.col("raw").endswith("（未核验）").alias("marked"))
@@ -80,9 +95,9 @@ def check_provenance(converted: DataFrame, originals: DataFrame) -> DataFrame:
     return both.select("rel", F.explode(kinds).alias("kind"))
 
 
-def wikilinks(pages: DataFrame) -> DataFrame:
+def wikilinks(pages: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """page, line_no and target of every link that names a page."""
-    each = numbered_lines(pages).where(F.col("line").contains("[[")).select("page", "line_no", F.explode(F.regexp_extract_all("line", F.lit(WIKILINK), F.lit(1))).alias("raw"))
+    each = _lines(pages, lines, "link").select("page", "line_no", F.explode(F.regexp_extract_all("line", F.lit(WIKILINK), F.lit(1))).alias("raw"))
     return each.select("page", "line_no", link_target(F.col("raw")).alias("target")).where("target <> ''")
 
 
@@ -97,10 +112,9 @@ def timeline_order(dated: DataFrame, group: str = "page", place: str = "line_no"
     return dated.withColumn("before", before).where(F.col("before").isNotNull() & (F.slice(key, 1, short) < F.slice("before", 1, short)))
 
 
-def check_timelines(pages: DataFrame) -> DataFrame:
+def check_timelines(pages: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Out-of-order entries of pages below a folder or with the name 时间线: lines that begin with a dash, whatever follows it, and have a date."""
-    entries = numbered_lines(pages.where(F.array_contains(F.split("page", "/"), "时间线"))).where(strip(F.col("line")).startswith("-") & F.col("line").rlike(DATE))
-    return timeline_order(entries.withColumn("date", date_key(F.col("line"))))
+    return timeline_order(_lines(pages, lines, "entry").withColumn("date", date_key(F.col("line"))))
 
 
 # What either side of a closure may consist of.
@@ -127,9 +141,9 @@ def evaluate(expression: str) -> float:
         raise ValueError(expression) from e
 
 
-def check_closures(pages: DataFrame) -> DataFrame:
+def check_closures(pages: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """page, line_no and kind (unparsable or mismatch) of arithmetic assertions `left == right`."""
-    asserted = numbered_lines(pages).where(F.col("line").rlike(CHECK)).select("page", "line_no", F.translate(F.regexp_extract("line", CHECK, 1), "，＋－×＝", ",+-*=").alias("said"))
+    asserted = _lines(pages, lines, "check").select("page", "line_no", F.translate(F.regexp_extract("line", CHECK, 1), "，＋－×＝", ",+-*=").alias("said"))
 
     @F.pandas_udf("string")
     def kind(said: pd.Series) -> pd.Series:
@@ -173,7 +187,7 @@ def coverage_totals(states: DataFrame) -> DataFrame:
     return states.agg(F.count("*").alias("total"), F.count_if(F.col("state") == "cited").alias("cited"), F.count_if(F.col("state").startswith("skipped")).alias("skipped"), F.count_if(F.col("state") == "unresolved").alias("unresolved"))
 
 
-def bare_lines(pages: DataFrame, allow_navigation: bool = False) -> DataFrame:
+def bare_lines(pages: DataFrame, allow_navigation: bool = False, lines: DataFrame | None = None) -> DataFrame:
     """page, line_no and line of every line that states something without an anchor.
 
     Exempt, in this order: frontmatter, fence markers, blank lines and rules,
@@ -181,7 +195,7 @@ def bare_lines(pages: DataFrame, allow_navigation: bool = False) -> DataFrame:
     labels, table heads, anchored lines with nothing after the anchor but
     punctuation, rows of links (if allowed), and the not-found sentence.
     """
-    lines = numbered_lines(pages).withColumn("s", F.btrim("line", F.lit(" \t")))
+    lines = (numbered_lines(pages) if lines is None else lines.select("page", "line_no", "line")).withColumn("s", F.btrim("line", F.lit(" \t")))
     order = Window.partitionBy("page").orderBy("line_no")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     fence_end = F.min(F.when((F.col("line_no") > 1) & (F.col("s") == "---"), F.col("line_no"))).over(Window.partitionBy("page"))
@@ -265,6 +279,62 @@ def scan_case(pages: DataFrame, sources: DataFrame, names: DataFrame, root: str
     return out
 
 
+def page_names(pages: DataFrame) -> DataFrame:
+    """name: what links may name, the stems of pages (page, text) and the aliases that their frontmatter lists."""
+    return pages.select(F.explode(F.concat(F.array(page_stem(F.col("page"))), F.coalesce(aliases(F.col("text")), F.array().cast("array<string>")))).alias("name")).distinct()
+
+
+def page_stem(page: Column) -> Column:
+    """A page's name without its folders and its suffix."""
+    return F.regexp_extract(page, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+@dataclass
+class CaseScan:
+    """What a scan of a case found: violations (page, line_no, kind), warnings (page, kind), and one row of totals: anchors, total, cited, skipped and unresolved sources."""
+
+    violations: DataFrame
+    warnings: DataFrame
+    totals: DataFrame
+
+
+def scan_whole_case(pages: DataFrame, sources: DataFrame, originals: DataFrame | None = None, log: DataFrame | None = None, root: str = "_md") -> CaseScan:
+    """All gates over the wiki pages (page, text) of a case and its sources (rel, text[, quality]), from one table of lines.
+
+    Names come from the pages themselves; the page's stem is its allowed title;
+    log.md is free of the bare-line gate only.  With originals (source,
+    content) the sources' provenance is checked too: a source without a version
+    is a warning, all else a violation.  log has the ledger's lines (line_no,
+    line); without it nothing is skipped.  A citation counts if its path is
+    inside root, whether or not its text is found there.
+    """
+    lines = materialise(gate_lines(pages))
+    found = materialise(anchors(pages, lines))
+    titled = pages.select("page", page_stem(F.col("page")).alias("title"))
+    is_log = F.col("page").rlike(r"(^|/)log\.md$")
+    violations = [
+        check_anchors(found, sources, root).select("page", "line_no", "kind"),
+        dead_links(wikilinks(pages, lines), page_names(pages)).select("page", "line_no", F.lit("dead link").alias("kind")),
+        check_timelines(pages, lines).select("page", "line_no", F.lit("timeline").alias("kind")),
+        check_closures(pages, lines),
+        bare_lines(titled.where(~is_log), True, lines.where(~is_log)).select("page", "line_no", F.lit("unanchored").alias("kind")),
+    ]
+    skips = skip_ledger(log) if log is not None else pages.sparkSession.createDataFrame([], "path string, has_reason boolean")
+    cited = found.select(lexical_path(F.col("rel")).alias("rel")).where(F.col("rel").startswith(root + "/"))
+    states = materialise(coverage(sources, cited, skips))
+    warnings = states.where(F.col("state").isin("unresolved", "skipped without reason")).select(F.col("rel").alias("page"), F.col("state").alias("kind"))
+    if originals is not None:
+        stated = provenance_fields(F.col("text"))
+        fields = sources.select("rel", stated.alias("p"))
+        converted = fields.select("rel", *[F.col("p.fields")[n].alias(n) for n in ("provenance_version", "source", "source_sha256", "content_sha256")], F.col("p.body").alias("body"))
+        said = materialise(check_provenance(converted, originals))
+        violations.append(said.where("kind <> 'no version'").select(F.col("rel").alias("page"), F.lit(None).cast("int").alias("line_no"), "kind"))
+        warnings = warnings.unionByName(said.where("kind = 'no version'").select(F.col("rel").alias("page"), "kind"))
+    one = F.lit(1).alias("one")
+    totals = found.agg(F.count("*").alias("anchors")).withColumn("one", F.lit(1)).join(coverage_totals(states).select("*", one), "one").drop("one")
+    return CaseScan(reduce(DataFrame.unionByName, violations), warnings, totals)
+
+
 def reconcile(outcomes: DataFrame, skips: DataFrame, source_total: DataFrame) -> DataFrame:
     """One row of counts: produced, registered, unresolved, source_total and accounted.
 

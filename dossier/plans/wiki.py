@@ -150,6 +150,54 @@ p AS (SELECT *, lag(k) OVER (PARTITION BY user_id ORDER BY line_no) AS b FROM t)
 SELECT 'wiki/时间线/' || user_id || '.md' AS page, line_no FROM p WHERE b IS NOT NULL AND k[1:least(len(k), len(b))] < b[1:least(len(k), len(b))]"""
 
 
+def _case_pages(spark, d):
+    """A wiki page a document: aliases, a title, up to three anchors on the next document, a link, dated entries, a check and a last line."""
+    i = F.col("doc_id")
+    n, s = (lambda x: x.cast("string")), (lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x]))
+    docs = table(spark, d, "documents")
+    quoted = docs.select((i - 1).alias("page_id"), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 5, 25).alias("quote"))
+    flat = F.regexp_replace(F.coalesce("quote", F.lit("none")), "[\\[\\]〔〕「」\\r\\f\\x0b\\x1c-\\x1e\\x85\\x{2028}\\x{2029}]", "")
+    mark = anchor(s("_md/", n(i + 1), ".md"), F.when(i % 5 == 0, s("987654", flat)).otherwise(s("a", flat)))
+    mark = F.when(i % 8 != 3, mark)
+    target = F.when(i % 3 == 0, s("别名", n(i + 1))).when(i % 3 == 1, n(i + 1)).otherwise(s("nowhere", n(i)))
+    text = F.array_join(F.array(
+        F.lit("---"), s("aliases: [别名", n(i), ", 又名", n(i), "]"), F.lit("---"), s("# ", n(i)),
+        F.coalesce(s("付款 ", mark), F.lit("# 结论")), s("见 [[", target, "#x]]"),
+        F.coalesce(s("- 2024年", n(1 + i % 12), "月 ", mark), F.lit("")), F.coalesce(s("- 2024年", n(1 + (i * 7) % 12), "月 ", mark), F.lit("")),
+        s("> [!check] 1,000 + ", n(i), " == ", n(1000 + i + F.when(i % 4 == 0, 1).otherwise(0))),
+        F.when(i % 7 == 0, s("裸 ", n(i))).otherwise(F.lit(gates.NOT_FOUND + "。")),
+    ), "\n")
+    pages = docs.select("doc_id").join(quoted, i == F.col("page_id"), "left")
+    return pages.select(s("wiki/", F.when(i % 6 == 0, "时间线").otherwise("页"), "/", n(i), ".md").alias("page"), text.alias("text"))
+
+
+def scan_case(spark, d):
+    """Violations and warnings of a case of one page and one source a document, and its totals as lines of their own."""
+    sources = table(spark, d, "documents").select(F.concat(F.lit("_md/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel"), F.concat(F.lit("a"), F.expr("substring(text, 5)")).alias("text"), F.when(F.col("doc_id") % 9 == 0, "suspect").alias("quality"))
+    found = gates.scan_whole_case(_case_pages(spark, d), sources)
+    rows = found.violations.select("page", F.col("line_no").cast("bigint").alias("line_no"), "kind").unionByName(found.warnings.select("page", F.lit(0).cast("bigint").alias("line_no"), "kind"))
+    totals = found.totals.select(F.inline(F.array(*[F.struct(F.lit(c).alias("page"), F.col(c).cast("bigint").alias("line_no"), F.lit("total").alias("kind")) for c in ("anchors", "total", "cited", "skipped", "unresolved")])))
+    return rows.unionByName(totals)
+
+
+_CASE = f"""
+WITH d AS (SELECT doc_id AS i, 'a' || substring(text, 5) AS body, substring(replace(text, chr(10), ' '), 5, 25) AS f, doc_id % 9 = 0 AS suspect FROM documents),
+p AS (SELECT p.i, 'wiki/' || CASE WHEN p.i % 6 = 0 THEN '时间线' ELSE '页' END || '/' || p.i || '.md' AS page, n.i IS NOT NULL AS there, n.suspect, n.body,
+  CASE WHEN p.i % 5 = 0 THEN '987654' ELSE 'a' END || regexp_replace(coalesce(n.f, 'none'), '[\\[\\]〔〕「」\\r\\f\\x0B\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]', '', 'g') AS quote FROM d p LEFT JOIN d n ON n.i = p.i + 1),
+a AS (SELECT i, page, l AS line_no, there, suspect, len(list_filter(string_split_regex(quote, '…+|\\.{{3,}}'), lambda x: {_NORM.format('x')} <> '' AND NOT contains({_NORM.format('body')}, {_NORM.format('x')}))) > 0 AS bad FROM p, (SELECT unnest([5, 7, 8]) AS l) WHERE i % 8 <> 3),
+v AS (SELECT page, line_no, CASE WHEN NOT there THEN 'missing' WHEN bad THEN 'mismatch' END AS kind FROM a
+ UNION ALL SELECT page, line_no, 'unmarked' FROM a WHERE there AND suspect
+ UNION ALL SELECT page, 6, 'dead link' FROM p WHERE i % 3 = 2 OR NOT there
+ UNION ALL SELECT page, 8, 'timeline' FROM p WHERE i % 6 = 0 AND i % 8 <> 3 AND (i * 7) % 12 < i % 12
+ UNION ALL SELECT page, 9, 'mismatch' FROM p WHERE i % 4 = 0
+ UNION ALL SELECT page, 10, 'unanchored' FROM p WHERE i % 7 = 0),
+c AS (SELECT '_md/' || d.i || '.md' AS rel, b.i IS NOT NULL AS cited FROM d LEFT JOIN d b ON b.i = d.i - 1 AND b.i % 8 <> 3)
+SELECT page, CAST(line_no AS BIGINT) AS line_no, kind FROM v WHERE kind IS NOT NULL
+UNION ALL SELECT rel, 0, 'unresolved' FROM c WHERE NOT cited
+UNION ALL SELECT 'anchors', count(*), 'total' FROM a UNION ALL SELECT 'total', count(*), 'total' FROM c UNION ALL SELECT 'cited', count(*) FILTER (cited), 'total' FROM c
+UNION ALL SELECT 'skipped', 0, 'total' UNION ALL SELECT 'unresolved', count(*) FILTER (NOT cited), 'total' FROM c"""
+
+
 def _link_pages(spark, d):
     """A page a customer with links to a nation (dead ones among them) and, through an alias, to a region."""
     c = table(spark, d, "customer")
@@ -250,6 +298,7 @@ CATALOGUE = {
     "dead_links": (dead_links, "WITH l AS (SELECT 'c' || c_custkey AS page, 1 AS line_no, 'n' || (c_nationkey + c_custkey % 4) AS target FROM customer UNION ALL SELECT 'c' || c_custkey, 2, 'Region ' || (c_custkey % 7) FROM customer) SELECT * FROM l WHERE target NOT IN (SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'Region ' || r_regionkey FROM region)"),
     "graph_neighbors": (graph_neighbors, f"WITH {_EDGES} SELECT b AS stem, CASE left(b, 1) WHEN 'c' THEN '案件主体' WHEN 'n' THEN '法律关系' ELSE '法律事实' END AS type FROM e WHERE a = 'n3'"),
     "graph_shortest_path": (graph_shortest_path, f"WITH RECURSIVE {_EDGES}, d AS (SELECT 'c2' AS node, 0 AS k UNION SELECT e.b, d.k + 1 FROM d JOIN e ON e.a = d.node WHERE d.k < 12), m AS (SELECT node, min(k) AS k FROM d GROUP BY node), w AS (SELECT 'c1' AS node, ['c1'] AS path UNION ALL SELECT e.b, list_append(w.path, e.b) FROM w JOIN e ON e.a = w.node JOIN m x ON x.node = w.node JOIN m y ON y.node = e.b AND y.k = x.k - 1) SELECT array_to_string(path, '>') AS path, len(path) - 1 AS hops FROM w WHERE node = 'c2' ORDER BY path LIMIT 1"),
+    "scan_case": (scan_case, _CASE),
     "claim_context": (claim_context, _CONTEXT),
     "skip_ledger_log": (skip_ledger_log, _LEDGER),
     "timeline_pages": (timeline_pages, _TIMELINE_PAGES),
