@@ -60,6 +60,18 @@ def chunk_pack_overlap(spark, d):
     return _line_units(spark, d).select("doc_id", F.posexplode(packed).alias("ord", "chunk"))
 
 
+#: A chunk is a stretch of units from s on; base is what the units before s sum to, j the first unit of the longest tail within the overlap.
+_PACK_OVERLAP = """
+WITH RECURSIVE l AS (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, greatest(1, (length(l) + 3) // 4) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(l) <> ''),
+c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS upto FROM l),
+t AS (SELECT a.doc_id, a.k, a.upto, coalesce(min(b.k), a.k + 1) AS j, coalesce(min(b.upto - b.n), a.upto) AS j_base FROM c a LEFT JOIN c b ON b.doc_id = a.doc_id AND b.k BETWEEN a.k - 40 AND a.k AND a.upto - b.upto + b.n <= 40 GROUP BY a.doc_id, a.k, a.upto),
+p AS (SELECT doc_id, k, 0 AS ord, CAST(1 AS BIGINT) AS s, CAST(0 AS BIGINT) AS base, j, j_base FROM t WHERE k = 1
+  UNION ALL SELECT t.doc_id, t.k, CASE WHEN t.upto - p.base > 120 THEN p.ord + 1 ELSE p.ord END, CASE WHEN t.upto - p.base > 120 THEN greatest(p.s, p.j) ELSE p.s END, CASE WHEN t.upto - p.base > 120 THEN greatest(p.base, p.j_base) ELSE p.base END, t.j, t.j_base FROM p JOIN t ON t.doc_id = p.doc_id AND t.k = p.k + 1),
+e AS (SELECT doc_id, ord, min(s) AS s, max(k) AS k FROM p GROUP BY doc_id, ord)
+SELECT e.doc_id, e.ord, string_agg(c.l, chr(10) ORDER BY c.k) AS chunk FROM e JOIN c ON c.doc_id = e.doc_id AND c.k BETWEEN e.s AND e.k GROUP BY e.doc_id, e.ord"""
+
+
 def chunk_hard_split(spark, d):
     pieces = F.posexplode(chunking.hard_split(F.col("text"), 100)).alias("ord", "piece")
     return table(spark, d, "documents").select("doc_id", pieces).select("doc_id", F.col("ord").cast("bigint").alias("ord"), F.md5("piece").alias("piece"))
@@ -126,7 +138,7 @@ SELECT k.doc_id AS source, md5(k.title) AS title, k.node_id, (SELECT max(e.node_
 CATALOGUE = {
     "chunk_sections": (chunk_sections, _SECTIONS),
     "chunk_pack_lines": (chunk_pack_lines, _PACK),
-    "chunk_pack_overlap": (chunk_pack_overlap, None),
+    "chunk_pack_overlap": (chunk_pack_overlap, _PACK_OVERLAP),
     "chunk_hard_split": (chunk_hard_split, _HARD),
     "table_line_blocks": (table_line_blocks, "SELECT * FROM (SELECT doc_id, count(*) FILTER (starts_with(trim(l), '|') OR (l LIKE '%|%' AND regexp_full_match(trim(l), '[|: -]+'))) AS table_lines, count(*) FILTER (l LIKE '%|%') AS with_pipes FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id) WHERE with_pipes > 0"),
     "chunks_structured": (chunks_structured, None),
