@@ -145,6 +145,25 @@ r AS (SELECT a AS node, b AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e
 k AS (SELECT rep, least(rep, coalesce(min(other), rep)) AS component_id FROM c LEFT JOIN r ON r.node = rep GROUP BY rep)
 SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(k.component_id, doc_id) AS component_id FROM s LEFT JOIN c ON c.s = list_sort(s.s) AND len(s.s) > 0 LEFT JOIN k ON k.rep = c.rep"""
 
+_OCCURS = ", ".join(f"(strlen(spaced) - strlen(replace(spaced, ' {w} ', ''))) / {len(w) + 2}" for w in quality.COMMON_WORDS)
+_HALVES = "list_sum(list_transform(range(1, len({p}) + 1), lambda i: (CASE WHEN {p}[i] > 0 THEN {p}[i] * log2(2 * {p}[i] / ({p}[i] + {q}[i])) ELSE 0 END + CASE WHEN {q}[i] > 0 THEN {q}[i] * log2(2 * {q}[i] / ({p}[i] + {q}[i])) ELSE 0 END) / 2))"
+_SHARES = "list_transform({h}, lambda x: CASE WHEN list_sum({h}) > 0 THEN x / list_sum({h}) ELSE 0 END)"
+_QUALITY = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS k FROM d WHERE len(w) > 2)),
+x AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+c AS (SELECT d.*, coalesce(x.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_dup_lines, regexp_replace(t, '\\p{{Ll}}+', '', 'g') AS rest, ' ' || regexp_replace(lower(t), '[^\\p{{L}}]+', '  ', 'g') || ' ' AS spaced FROM d LEFT JOIN x USING (r) LEFT JOIN l USING (r)),
+m AS (SELECT *, len(w) AS n_words, list_sum(list_transform(w, lambda x: length(x))) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(t) - length(rest) AS h1, length(rest) - length(regexp_replace(rest, '\\p{{L}}+', '', 'g')) AS h2, length(rest) - length(regexp_replace(rest, '\\p{{N}}+', '', 'g')) AS h3,
+ length(regexp_replace(t, '[^\\x20\\x09-\\x0D]', '', 'g')) AS h4, length(rest) - length(regexp_replace(rest, '[.,;:?''"()-]+', '', 'g')) AS h5, [{_OCCURS}] AS k FROM c),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [h1, h2, h3, h4, h5, length(rest) - h2 - h3 - h4 - h5]::DOUBLE[] AS ch, list_append(k, greatest(0, n_words - list_sum(k)))::DOUBLE[] AS wh FROM m),
+s AS (SELECT *, {_SHARES.format(h="ch")} AS cs, {_SHARES.format(h="wh")} AS ws FROM f),
+q AS (SELECT lang, kind, list(v ORDER BY i) AS v FROM (SELECT lang, kind, i, sum(v) AS v FROM (SELECT lang, 'c' AS kind, unnest(cs) AS v, generate_subscripts(cs, 1) AS i FROM s WHERE NOT base_failed UNION ALL SELECT lang, 'w', unnest(ws), generate_subscripts(ws, 1) FROM s WHERE NOT base_failed) GROUP BY ALL) GROUP BY lang, kind),
+z AS (SELECT s.*, {_SHARES.format(h="qc.v")} AS qcs, {_SHARES.format(h="qw.v")} AS qws FROM s LEFT JOIN q qc ON qc.lang IS NOT DISTINCT FROM s.lang AND qc.kind = 'c' LEFT JOIN q qw ON qw.lang IS NOT DISTINCT FROM s.lang AND qw.kind = 'w'),
+y AS (SELECT *, coalesce(CASE WHEN length(t) >= {quality.MIN_CHARS} THEN sqrt(greatest(0, {_HALVES.format(p="cs", q="qcs")})) END, 0) AS cd, coalesce(CASE WHEN n_words >= {quality.MIN_WORDS} THEN sqrt(greatest(0, {_HALVES.format(p="ws", q="qws")})) END, 0) AS wd FROM z)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+ NOT base_failed AND cd <= {quality.MAX_CHAR_DISTANCE} AND wd <= {quality.MAX_WORD_DISTANCE} AND cd + wd <= {quality.MAX_SUM} AS kept FROM y"""
+
 _LEAKS = f"""
 WITH f AS (SELECT item_id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
 i AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[p : p + least(10, len(w)) - 1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p FROM f WHERE len(w) > 0)),
@@ -195,6 +214,7 @@ SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size,
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": _WARC,
     "op3_ngram_jaccard_join": _JACCARD,
+    "op4_quality_rules": _QUALITY,
     "op5_benchmark_decontamination": _LEAKS,
     "op7_substring_dedup": _REPEATS,
     "op11_source_divergence": _DIVERGENCE,
