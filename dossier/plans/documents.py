@@ -213,6 +213,15 @@ def html_to_text(spark, d):
     return table(spark, d, "pages").select("page_id", convert.html_text("html").alias("text"))
 
 
+#: For pages whose tags are closed on the spot and whose entities are those below.
+_HTML = """
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<h1[^>]*>', chr(10) || '# ', 'g'), '<h2[^>]*>', chr(10) || '## ', 'g'), '<li[^>]*>', chr(10) || '- ', 'g'), '</?(p|div|article|section|br|li|ul|ol|nav|footer|header|table|tr|title|h[1-6])( [^>]*)?/?>', chr(10), 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>') AS t FROM b),
+d AS (SELECT page_id, list_transform(string_split(regexp_replace(t, '&amp;?', '&', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))) AS l FROM c)
+SELECT page_id, array_to_string(list_filter(l, lambda x: x NOT IN ('', '-', '#')), chr(10)) AS text FROM d"""
+
+
 def image_markers(spark, d):
     text = F.concat(F.lit("!["), F.lit("alt"), F.lit("](img/"), F.col("page_id").cast("string"), F.lit(".png) <IMG src='x/y.gif'> "), "url")
     return table(spark, d, "pages").select("page_id", convert.image_count(text).cast("bigint").alias("images"), convert.mark_images(text).alias("marked"))
@@ -286,7 +295,7 @@ CATALOGUE = {
     "ocr_normalize": (ocr_normalize, "SELECT doc_id, md5('(' || regexp_replace(regexp_replace(regexp_replace(text, '([0-9]),([0-9]{3})\\b', '\\1\\2', 'g'), '([0-9]),([0-9]{3})\\b', '\\1\\2', 'g'), '\\s', '', 'g') || ')') AS normal FROM documents"),
     "disagreement_ratio": (disagreement_ratio, None),
     "route_by_extension": (route_by_extension, "SELECT CASE page_id % 6 WHEN 0 THEN CASE WHEN length(html) / 50.0 >= 50 THEN 'native' ELSE 'ocr' END WHEN 1 THEN 'legacy' WHEN 2 THEN 'ocr' WHEN 4 THEN 'unsupported' ELSE 'native' END AS route, count(*) AS files FROM pages GROUP BY 1"),
-    "html_to_text": (html_to_text, None),
+    "html_to_text": (html_to_text, _HTML),
     "image_markers": (image_markers, "SELECT page_id, 2 AS images, '〔图像：' || page_id || '.png —— 已省略未保留，请查原件〕 〔图像：y.gif —— 已省略未保留，请查原件〕 ' || url AS marked FROM pages"),
     "name_collisions": (name_collisions, "WITH f AS (SELECT doc_id, source || '/' || (doc_id % 300) AS stem, CASE WHEN doc_id % 2 = 0 THEN '.docx' ELSE '.txt' END AS ext FROM documents) SELECT doc_id, stem || CASE WHEN count(*) OVER (PARTITION BY stem) > 1 THEN ext ELSE '' END || '.md' AS output FROM f"),
     "outcome_report": (outcome_report, _OUTCOME),
