@@ -48,25 +48,28 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
         return spark.createDataFrame([([start], 0)], schema)
     ahead, back = edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     alone = lambda n: materialise(spark.createDataFrame([(n,)], "node string"))
-    # of each end: its layers, the size of the last one, all nodes that were reached, and the edges to go by
-    sides = [[[layer], 1, layer, step] for layer, step in ((alone(start), ahead), (alone(goal), back))]
+    # of each end: its layers, their sizes, all nodes that were reached, and the edges to go by
+    sides = [[[layer], [1], layer, step] for layer, step in ((alone(start), ahead), (alone(goal), back))]
     met = 0
     while not met:
-        side, other = sides if sides[0][1] <= sides[1][1] else sides[::-1]
-        layers, _, seen, step = side
+        side, other = sides if sides[0][1][-1] <= sides[1][1][-1] else sides[::-1]
+        layers, sizes, seen, step = side
         grown = layers[-1].join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).join(seen, "node", "left_anti").distinct()
         layers.append(materialise(grown))
-        both = layers[-1].join(other[0][-1].withColumn("there", F.lit(1)), "node", "left").agg(F.count("*"), F.count("there")).first()
-        side[1], met = both
-        if not side[1]:
+        size, met = layers[-1].join(other[0][-1].withColumn("there", F.lit(1)), "node", "left").agg(F.count("*"), F.count("there")).first()
+        sizes.append(size)
+        if not size:
             return spark.createDataFrame([], schema)
         side[2] = seen.unionByName(layers[-1])
         if len(layers) % 16 == 0:
             side[2] = materialise(side[2])
     meet = sides[0][0][-1].join(sides[1][0][-1], "node", "left_semi")
-    first, second = sides[0][0], sides[1][0]
+    (first, sizes, _, _), second = sides[0], sides[1][0]
     kept = [materialise(meet)]
-    for layer in reversed(first[:-1]):
+    for layer, size in zip(reversed(first[:-1]), reversed(sizes[:-1])):
+        if size == 1:  # the only node of its layer is on every path
+            kept.insert(0, layer)
+            continue
         nexts = ahead.join(kept[0].select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
         kept.insert(0, materialise(layer.join(nexts, "node", "left_semi")))
     at, path = start, [start]
