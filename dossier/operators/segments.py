@@ -90,7 +90,8 @@ def _write(postings: DataFrame, chunks: DataFrame, path: str, name: str) -> None
     rows = postings.groupBy("term", "block").agg(F.collect_list(F.struct("slot", "tf", "dl")).alias("p"))
     size = F.aggregate("p", F.lit(0).cast("bigint"), lambda s, x: s + x["tf"])
     full = rows.select("term", "block", F.size("p").alias("n"), size.alias("tokens"), _best_pairs(F.col("p")).alias("best"), F.transform("p", lambda x: x["slot"]).alias("slots"), F.transform("p", lambda x: x["tf"]).alias("tfs"), _bucket(F.col("term")).alias("bucket"))
-    dealt = full.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block")
+    # by ranges, so that a frequent term's blocks go to several tasks and a task writes few buckets
+    dealt = full.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
     # small groups of rows, so that a scan for some blocks of a term passes over the others
     dealt.write.partitionBy("bucket").option("parquet.block.size", 4 << 20).option("parquet.page.row.count.limit", 1000).parquet(f"{path}/blocks/segment={name}")
 
