@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import encode_meta, frontmatter_map, select_fields, strip
 from ..sources import files
 from ..sources.scratch import materialise
-from . import chunking, postings, store
+from . import chunking, postings, segments, snapshots, store
 from .convert import html_to_text
 from .embedding import Embedder, embed
 
@@ -55,14 +55,17 @@ def relative_source(path: Column, root: str | None) -> Column:
     return F.when(plain.startswith(base), F.substr(plain, F.lit(len(base) + 1))).otherwise(F.raise_error(F.concat(plain, F.lit(f" is not below {base}"))))
 
 
-def index_path(spark: SparkSession, path: str, out: str, embedder: Embedder, *, recursive: bool = True, root: str | None = None, exclude: tuple[str, ...] = (), budget: int = 800, overlap: int = 100, strategy: str = "structure", parent_budget: int | None = None, fields: tuple[str, ...] = (), extract: Extract = plain_text) -> dict:
+def index_path(spark: SparkSession, path: str, out: str, embedder: Embedder, *, recursive: bool = True, root: str | None = None, exclude: tuple[str, ...] = (), budget: int = 800, overlap: int = 100, strategy: str = "structure", parent_budget: int | None = None, fields: tuple[str, ...] = (), extract: Extract = plain_text, keep: bool = False) -> dict:
     """Indexes a file or a folder into out: chunks, parents, postings, model and manifest tables.
 
     A source that is indexed again is replaced whole.  Every failure of one
     file (extraction, embedding) makes that file skipped with its reason; an
     embedder that fails at once on a probe ends the run before anything is
     written.  Model and postings are written once a run, if any file was
-    indexed.  Returns files_seen, files_indexed, files_skipped, total_chunks
+    indexed.  With keep, chunks and parents are snapshots and postings segments:
+    a run writes what its own files need, and readers keep what they opened;
+    without it these tables are replaced in place.  An index stays of the kind
+    that it was begun as.  Returns files_seen, files_indexed, files_skipped, total_chunks
     and skipped (source and reason, in order).
     """
     width = len(embedder.embed_query("probe"))
@@ -79,18 +82,45 @@ def index_path(spark: SparkSession, path: str, out: str, embedder: Embedder, *,
     outcome = materialise(outcome.select("source", F.coalesce("early", "error").alias("reason")).join(store.manifest(good), "source", "left"))
     totals = outcome.agg(F.count("*").alias("seen"), F.count_if(F.col("reason").isNull()).alias("indexed"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks")).first()
     if totals.indexed:
-        store.write_sources(store.check_width(good, width), f"{out}/chunks")
-        if parent_budget:
-            kept = docs.join(failed.select("source"), "source", "left_anti")
-            store.write_sources(chunking.parents(kept, parent_budget, strategy), f"{out}/parents")
+        kept = docs.join(failed.select("source"), "source", "left_anti")
+        parents = chunking.parents(kept, parent_budget, strategy) if parent_budget else None
+        if keep:
+            _keep(out, materialise(store.check_width(good, width)), parents)
+        else:
+            store.write_sources(store.check_width(good, width), f"{out}/chunks")
+            if parents is not None:
+                store.write_sources(parents, f"{out}/parents")
+            held = spark.read.parquet(f"{out}/chunks")
+            postings.build(held, f"{out}/index")
+            store.manifest(held).write.mode("overwrite").parquet(f"{out}/manifest")
         spark.createDataFrame([(embedder.name, width)], "model string, width int").write.mode("overwrite").parquet(f"{out}/model")
-        chunks = spark.read.parquet(f"{out}/chunks")
-        postings.build(chunks, f"{out}/index")
-        store.manifest(chunks).write.mode("overwrite").parquet(f"{out}/manifest")
     skipped = [(r.source, r.reason) for r in outcome.where("reason IS NOT NULL").orderBy("source").select("source", "reason").collect()]  # the report itself
     return {"files_seen": totals.seen, "files_indexed": totals.indexed, "files_skipped": totals.seen - totals.indexed, "total_chunks": totals.chunks, "skipped": skipped}
 
 
+def _keep(out: str, good: DataFrame, parents: DataFrame | None) -> None:
+    """Commits chunks as a snapshot and their postings as a segment, which takes off what the sources had before.
+
+    The segment is added last; should that fail, the sources keep their older
+    postings until the index is built anew from the chunks.
+    """
+    spark, table = good.sparkSession, f"{out}/chunks"
+    posted = good.select("source", "ord", "text")
+    old = None
+    if snapshots.latest(spark, table) is not None:
+        before = snapshots.read(spark, table).join(good.select("source").distinct(), "source", "left_semi").select("source", "ord", "text")
+        old = materialise(before) if not before.isEmpty() else None
+    if parents is not None:
+        snapshots.commit(parents, f"{out}/parents")
+    snapshots.commit(good, table)
+    segments.add(posted, f"{out}/index", replaced=old)
+
+
+def chunks(spark: SparkSession, out: str) -> DataFrame:
+    """The chunks of an index as they are now, of either kind."""
+    return snapshots.read(spark, f"{out}/chunks") if snapshots.latest(spark, f"{out}/chunks") is not None else spark.read.parquet(f"{out}/chunks")
+
+
 def index_file(spark: SparkSession, path: str, out: str, embedder: Embedder, **options) -> dict:
     """Indexes one file: its source, whether it was indexed, its chunks, and otherwise the reason, whatever went wrong.  options are those of index_path."""
     source = relative_path(path, options.get("root"))
@@ -125,12 +155,16 @@ def index_model(spark: SparkSession, out: str) -> str | None:
 
 def sources(spark: SparkSession, out: str) -> DataFrame:
     """source and chunks of everything indexed, in order."""
-    return store.manifest(spark.read.parquet(f"{out}/chunks")).orderBy("source")
+    return store.manifest(chunks(spark, out)).orderBy("source")
 
 
 def repair(spark: SparkSession, out: str) -> DataFrame:
     """Compares the recorded manifest with the chunks and records it anew; what doctor said before."""
-    chunks = spark.read.parquet(f"{out}/chunks")
-    said = materialise(store.doctor(spark.read.parquet(f"{out}/manifest"), chunks))
-    materialise(store.manifest(chunks)).write.mode("overwrite").parquet(f"{out}/manifest")
+    held = chunks(spark, out)
+    if snapshots.latest(spark, f"{out}/chunks") is not None:
+        said = materialise(store.doctor(snapshots.manifest(spark, f"{out}/chunks"), held))
+        snapshots.record(spark, f"{out}/chunks")
+        return said
+    said = materialise(store.doctor(spark.read.parquet(f"{out}/manifest"), held))
+    materialise(store.manifest(held)).write.mode("overwrite").parquet(f"{out}/manifest")
     return said

@@ -111,10 +111,13 @@ def hybrid_search(chunks: DataFrame, query: str, vector: list[float] | None, k:
 
 
 def indexed_hits(chunks: DataFrame, index: str, query: str, k: int, keys: tuple[str, ...], prefix: str | None) -> DataFrame:
-    """Hits from stored postings with all columns of their chunks; the hits, k at most, are what is broadcast."""
-    from . import postings
+    """Hits from stored postings, segmented ones or not, with all columns of their chunks; the hits, k at most, are what is broadcast."""
+    from ..sources.commits import CommitLog
+    from . import postings, segments
 
-    found = postings.search(chunks.sparkSession, index, query, k, keys, prefix)
+    spark = chunks.sparkSession
+    segmented = CommitLog(spark, index).latest() is not None
+    found = segments.search(spark, index, query, k, prefix) if segmented else postings.search(spark, index, query, k, keys, prefix)
     return chunks.join(F.broadcast(found), list(keys)).select(*chunks.columns, "score")
 
 

@@ -66,3 +66,29 @@ def test_single_files_and_roots(spark, tmp_path):
     gone = indexing.index_file(spark, str(root / "gone.md"), out, embedding.HashEmbedder())
     assert not gone["indexed"] and gone["reason"].startswith("FileNotFoundError") and gone["source"].endswith("/a+b (c)/gone.md")
     assert [r.source for r in indexing.sources(spark, out).collect()] == ["sub/x.md"]
+
+
+def test_an_index_that_is_kept(spark, tmp_path):
+    """Runs over changed files: hits are those of the chunks as they are, and an older reader keeps its chunks."""
+    from dossier.operators import snapshots
+
+    root, out = tmp_path / "case", str(tmp_path / "index")
+    root.mkdir()
+    (root / "a.md").write_text("# River\n\nThe quick river runs.\n\n# Stone\n\nA stone lies still.")
+    (root / "b.md").write_text("banks of the river")
+    run = lambda: indexing.index_path(spark, str(root), out, embedding.HashEmbedder(), root=str(root), parent_budget=400, keep=True)
+    assert run()["files_indexed"] == 2
+    opened = indexing.chunks(spark, out)
+    before = sorted((r.source, r.text) for r in opened.collect())
+    (root / "a.md").write_text("# River\n\nThe river is gone.")
+    (root / "c.md").write_text("a new river, and a stone")
+    assert run()["files_indexed"] == 3
+    now = indexing.chunks(spark, out)
+    assert [r.source for r in indexing.sources(spark, out).collect()] == ["a.md", "b.md", "c.md"] and "gone" in now.where("source = 'a.md'").first().text
+    assert sorted((r.source, r.text) for r in opened.collect()) == before and len(snapshots.history(spark, f"{out}/chunks")) == 2
+    for query in ("river stone", "quick"):
+        by_count = [tuple(r) for r in retrieval.text_search(now, query, 5).select("source", "ord", "score").collect()]
+        assert [tuple(r) for r in retrieval.indexed_hits(now, f"{out}/index", query, 5, ("source", "ord"), None).select("source", "ord", "score").orderBy("score", ascending=False).collect()] == by_count
+    assert indexing.repair(spark, out).first().in_sync
+    hits = retrieval.hybrid_search(now, "river", embedding.HashEmbedder().embed_query("river"), 2, index=f"{out}/index", parents=snapshots.read(spark, f"{out}/parents")).collect()
+    assert len(hits) == 2 and all(r.parent_text for r in hits)
