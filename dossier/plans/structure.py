@@ -93,6 +93,31 @@ def chunks_structured(spark, d):
     return c.select("source", "ord", F.md5("heading_path").alias("path"), F.md5("text").alias("text"))
 
 
+#: Sections by lines, blocks of table lines and of prose, paragraphs, sentences of long ones, slices, and packing with overlap inside a section.
+#: Tables that outgrow a chunk are left out: no text has one.
+_STRUCTURED = f"""
+WITH RECURSIVE l AS ({_LINES}),
+m AS (SELECT doc_id, i, l, CASE WHEN (i - 1) % 8 = 4 THEN 3 WHEN (i - 1) % 4 = 0 THEN 2 END AS lev0 FROM l),
+h AS (SELECT doc_id, i, l, CASE WHEN lev0 IS NOT NULL AND trim(l) <> '' THEN lev0 END AS lev, {_MARK_SQL} AS raw FROM m),
+s AS (SELECT *, count(lev) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM h),
+y AS (SELECT doc_id, sec, max(lev) AS lev, regexp_replace(max(trim(l)) FILTER (lev IS NOT NULL), '\\s*#*\\s*$', '') AS title FROM s GROUP BY doc_id, sec),
+u AS (SELECT *, last_value(CASE WHEN lev = 2 THEN title END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY sec) AS up FROM y WHERE sec > 0),
+x AS (SELECT doc_id, sec, i, raw, starts_with(trim(raw), '|') OR (raw LIKE '%|%' AND regexp_full_match(trim(raw), '[|: -]+')) AS t FROM s WHERE lev IS NULL),
+z AS (SELECT *, sum(CASE WHEN t = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, sec ORDER BY i) AS b FROM (SELECT *, lag(t) OVER (PARTITION BY doc_id, sec ORDER BY i) AS before FROM x)),
+k AS (SELECT doc_id, sec, b, any_value(t) AS t, trim(string_agg(raw, chr(10) ORDER BY i), {_BLANK}) AS body FROM z GROUP BY doc_id, sec, b),
+g AS (SELECT doc_id, sec, b, g, p FROM (SELECT doc_id, sec, b, unnest(a) AS p, generate_subscripts(a, 1) AS g FROM (SELECT doc_id, sec, b, CASE WHEN t THEN [body] ELSE list_filter(list_transform(string_split_regex(body, '\\n\\s*\\n'), lambda q: trim(q, {_BLANK})), lambda q: q <> '') END AS a FROM k WHERE body <> ''))),
+v AS (SELECT doc_id, sec, b, g, unnest(a) AS p, generate_subscripts(a, 1) AS w FROM (SELECT doc_id, sec, b, g, CASE WHEN (length(p) + 3) // 4 <= 400 THEN [p] ELSE list_filter(list_transform(string_split(regexp_replace(p, '([。！？.!?])\\s*', '\\1' || chr(1), 'g'), chr(1)), lambda q: trim(q, {_BLANK})), lambda q: q <> '') END AS a FROM g)),
+d AS (SELECT *, CASE WHEN greatest(1, (length(p) + 3) // 4) <= 96 THEN length(p) ELSE CAST(ceil(length(p)::DOUBLE / ceil(((length(p) + 3) // 4)::DOUBLE / 96)) AS BIGINT) END AS size FROM v),
+e AS (SELECT doc_id, sec, substring(p, (r * size + 1)::BIGINT, size) AS p, row_number() OVER (PARTITION BY doc_id, sec ORDER BY b, g, w, r) AS k FROM (SELECT *, unnest(range(0, CAST(ceil(length(p)::DOUBLE / size) AS BIGINT))) AS r FROM d)),
+c AS (SELECT *, greatest(1, (length(p) + 3) // 4) AS n, CAST(sum(greatest(1, (length(p) + 3) // 4)) OVER (PARTITION BY doc_id, sec ORDER BY k) AS BIGINT) AS upto FROM e),
+j AS (SELECT a.doc_id, a.sec, a.k, a.upto, coalesce(min(b.k), a.k + 1) AS j, coalesce(min(b.upto - b.n), a.upto) AS j_base FROM c a LEFT JOIN c b ON b.doc_id = a.doc_id AND b.sec = a.sec AND b.k BETWEEN a.k - 16 AND a.k AND a.upto - b.upto + b.n <= 16 GROUP BY a.doc_id, a.sec, a.k, a.upto),
+q AS (SELECT doc_id, sec, k, 0 AS o, CAST(1 AS BIGINT) AS s, CAST(0 AS BIGINT) AS base, j, j_base FROM j WHERE k = 1
+  UNION ALL SELECT j.doc_id, j.sec, j.k, CASE WHEN j.upto - q.base > 96 THEN q.o + 1 ELSE q.o END, CASE WHEN j.upto - q.base > 96 THEN greatest(q.s, q.j) ELSE q.s END, CASE WHEN j.upto - q.base > 96 THEN greatest(q.base, q.j_base) ELSE q.base END, j.j, j.j_base FROM q JOIN j ON j.doc_id = q.doc_id AND j.sec = q.sec AND j.k = q.k + 1),
+f AS (SELECT doc_id, sec, o, min(s) AS s, max(k) AS k FROM q GROUP BY doc_id, sec, o),
+t AS (SELECT f.doc_id, f.sec, f.o, string_agg(c.p, chr(10) || chr(10) ORDER BY c.k) AS chunk FROM f JOIN c ON c.doc_id = f.doc_id AND c.sec = f.sec AND c.k BETWEEN f.s AND f.k GROUP BY f.doc_id, f.sec, f.o)
+SELECT t.doc_id AS source, CAST(row_number() OVER (PARTITION BY t.doc_id ORDER BY t.sec, t.o) - 1 AS INT) AS ord, md5(CASE WHEN t.sec = 0 THEN '' WHEN u.lev = 2 OR u.up IS NULL THEN u.title ELSE u.up || ' > ' || u.title END) AS path, md5(t.chunk) AS text FROM t LEFT JOIN u ON u.doc_id = t.doc_id AND u.sec = t.sec"""
+
+
 def hybrid_with_parents(spark, d):
     """Documents are the chunks, four parents a source: a parent's text is that of its first document, whole."""
     docs = table(spark, d, "documents").select("source", F.col("doc_id").alias("ord"), "text", (F.col("doc_id") % 4).cast("int").alias("parent_ord"))
@@ -141,7 +166,7 @@ CATALOGUE = {
     "chunk_pack_overlap": (chunk_pack_overlap, _PACK_OVERLAP),
     "chunk_hard_split": (chunk_hard_split, _HARD),
     "table_line_blocks": (table_line_blocks, "SELECT * FROM (SELECT doc_id, count(*) FILTER (starts_with(trim(l), '|') OR (l LIKE '%|%' AND regexp_full_match(trim(l), '[|: -]+'))) AS table_lines, count(*) FILTER (l LIKE '%|%') AS with_pipes FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id) WHERE with_pipes > 0"),
-    "chunks_structured": (chunks_structured, None),
+    "chunks_structured": (chunks_structured, _STRUCTURED),
     "hybrid_with_parents": (hybrid_with_parents, _hybrid_parents_sql()),
     "heading_candidates": (heading_candidates, _CANDIDATES),
     "heading_density": (heading_density, f"SELECT source, count(*) AS candidates, count(*) FILTER (length(text) < 20) AS levels, count(*) FILTER (length(text) < 20) > 0.35 * count(*) AS rejected FROM ({_CANDIDATES}) GROUP BY source"),
