@@ -87,11 +87,16 @@ def _best_pairs(postings: Column) -> Column:
 def _write(postings: DataFrame, chunks: DataFrame, path: str, name: str) -> None:
     """Stores postings (term, block, slot, tf, dl) as one row a term and block, and the chunks (keys, dl, block, slot) that they are of."""
     chunks.write.parquet(f"{path}/chunks/segment={name}")
-    rows = postings.groupBy("term", "block").agg(F.collect_list(F.struct("slot", "tf", "dl")).alias("p"))
-    size = F.aggregate("p", F.lit(0).cast("bigint"), lambda s, x: s + x["tf"])
-    full = rows.select("term", "block", F.size("p").alias("n"), size.alias("tokens"), _best_pairs(F.col("p")).alias("best"), F.transform("p", lambda x: x["slot"]).alias("slots"), F.transform("p", lambda x: x["tf"]).alias("tfs"), _bucket(F.col("term")).alias("bucket"))
-    # by ranges, so that a frequent term's blocks go to several tasks and a task writes few buckets
-    dealt = full.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+    # a slot and a count as one number; both lists of a group are filled row by row, so they are in one order
+    packed = F.shiftleft(F.col("slot").cast("bigint"), 32).bitwiseOR(F.col("tf").cast("bigint"))
+    rows = postings.groupBy("term", "block").agg(F.collect_list(packed).alias("p"), F.collect_list("dl").alias("dls"))
+    tfs = F.transform("p", lambda x: x.bitwiseAND((1 << 32) - 1).cast("int"))
+    rows = rows.select("term", "block", "dls", F.transform("p", lambda x: F.shiftright(x, 32).cast("int")).alias("slots"), tfs.alias("tfs"), _bucket(F.col("term")).alias("bucket"))
+    best = _best_pairs(F.zip_with("tfs", "dls", lambda t, d: F.struct(t.alias("tf"), d.alias("dl"))))
+    full = rows.select("term", "block", F.size("slots").alias("n"), F.aggregate("tfs", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("tokens"), best.alias("best"), "slots", "tfs", "bucket")
+    # a bucket's blocks go to more tasks the more there are, so a frequent term is no one's alone
+    spread = max(1, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+    dealt = full.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(spread))).sortWithinPartitions("bucket", "term", "block")
     # small groups of rows, so that a scan for some blocks of a term passes over the others
     dealt.write.partitionBy("bucket").option("parquet.block.size", 4 << 20).option("parquet.page.row.count.limit", 1000).parquet(f"{path}/blocks/segment={name}")
 
