@@ -105,9 +105,14 @@ def dead_links(links: DataFrame, names: DataFrame) -> DataFrame:
     return links.join(names.select(F.col("name").alias("target")).distinct(), "target", "left_anti").select(*links.columns)
 
 
-def timeline_order(dated: DataFrame, group: str = "page", place: str = "line_no", key: str = "date") -> DataFrame:
-    """Rows whose date (array of ints) is before the row before it, on the precision that both have."""
-    before = F.lag(key).over(Window.partitionBy(group).orderBy(place))
+def timeline_order(dated: DataFrame, group: str = "page", place: str | tuple[str, ...] = "line_no", key: str = "date") -> DataFrame:
+    """Rows whose date (array of ints) is before the row before it, on the precision that both have.
+
+    place is one column or several, of which the later ones order rows that the
+    earlier ones leave level; all of them should leave none level, or which row
+    is the one before is left to chance.
+    """
+    before = F.lag(key).over(Window.partitionBy(group).orderBy(*([place] if isinstance(place, str) else place)))
     short = F.least(F.size(key), F.size("before"))
     return dated.withColumn("before", before).where(F.col("before").isNotNull() & (F.slice(key, 1, short) < F.slice("before", 1, short)))
 

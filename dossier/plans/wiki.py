@@ -234,9 +234,10 @@ e AS (SELECT a, b FROM e0 WHERE a <> b UNION SELECT b, a FROM e0 WHERE a <> b)""
 
 
 def timeline_order(spark, d):
+    """Events of a user before the one before them; places repeat from 100,003 events on, where the order is that of the events."""
     parts = F.when(F.col("event_id") % 3 == 0, F.array(F.year("ts"))).when(F.col("event_id") % 3 == 1, F.array(F.year("ts"), F.month("ts"))).otherwise(F.array(F.year("ts"), F.month("ts"), F.day("ts")))
     dated = table(spark, d, "events").select("user_id", "event_id", ((F.col("event_id") * 7919) % 100003).alias("place"), parts.alias("date"))
-    return gates.timeline_order(dated, "user_id", "place").select("user_id", "event_id")
+    return gates.timeline_order(dated, "user_id", ("place", "event_id")).select("user_id", "event_id")
 
 
 _TIMELINE = """
