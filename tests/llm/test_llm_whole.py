@@ -44,3 +44,13 @@ def test_near_matches_past_repeated_words(spark):
     items = spark.createDataFrame([(10, "alpha beta gamma"), (11, "delta epsilon")], "item_id bigint, text string")
     got = {r.doc_id: (r.items, r.near) for r in decontaminate.search(docs, items, 3, 3).collect()}
     assert got == {1: ([], [10]), 2: ([], []), 3: ([], [11])}
+
+
+def test_attention_fits_all_sizes_one_way(spark, monkeypatch):
+    """What is fitted depends on the texts and the number of shards, not on which side of a shard's size their bytes lie."""
+    rows = spark.createDataFrame([(i, f"ab cd ef gh{i % 3} " * 40) for i in range(60)], "doc_id bigint, text string").coalesce(1)
+    got = []
+    for n in (1 << 24, rows.selectExpr("sum(octet_length(text))").first()[0] - 1):
+        monkeypatch.setattr(attention, "SHARD_BYTES", n)
+        got.append([r.score for r in attention.score(rows, rows).orderBy("doc_id").collect()])
+    assert np.allclose(got[0], got[1], rtol=1e-6)
