@@ -190,3 +190,15 @@ def test_segmentation_query(spark):
     assert set(got) == {r.doc_id for r in docs}
     letters = {r.doc_id: sum(c in stored.LETTERS for c in r.text.lower()) for r in docs}
     assert all(got[i] <= n for i, n in letters.items()) and sum(got.values()) < 0.6 * sum(letters.values())
+
+
+@pytest.mark.parametrize("dense, many", [(1 << 23, 48), (0, 1), (1 << 23, 3)])
+def test_blocks_split_as_texts_do(monkeypatch, dense, many):
+    """All texts of a block at once, whatever their runs, against one text after the other."""
+    monkeypatch.setattr(segmentation, "DENSE", dense)
+    monkeypatch.setattr(segmentation, "MANY", many)
+    r, signs = random.Random(1), "一二三四五六鿿"
+    for _ in range(60):
+        lexicon = segmentation.Lexicon({"".join(r.choice(signs + "ab") for _ in range(r.randint(1, 5))): r.choice([1, 1, 2, 50, 400]) for _ in range(r.randint(0, 15))})
+        texts = ["".join(r.choice(signs + "ab, éİ𝒳") for _ in range(r.randint(0, 60))) for _ in range(r.randint(1, 6))]
+        assert segmentation.Splitter(lexicon).terms(texts).to_pylist() == [lexicon.terms(t) for t in texts]
