@@ -77,7 +77,8 @@ def tokens(s: Column) -> Column:
     """Lower-cased runs of letters and digits; runs of CJK ideographs as their bigrams."""
     runs = F.regexp_extract_all(F.lower(s), F.lit(TOKEN), F.lit(0))
     pairs = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.substring(x, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda x: F.when(x.rlike(f"^{CJK_RUN}$"), pairs(x)).otherwise(F.array(x))))
+    # few texts have such runs; a text without them is not gone through again, token by token
+    return F.when(s.rlike(CJK_RUN), F.flatten(F.transform(runs, lambda x: F.when(x.rlike(f"^{CJK_RUN}$"), pairs(x)).otherwise(F.array(x))))).otherwise(runs)
 
 
 def count_tokens(s: Column) -> Column:

@@ -18,19 +18,27 @@ scores are at every time those of an index built anew.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import bind, tokens
+from ..functions.text import tokens
 from ..sources.commits import CommitLog, Files, fresh_name
 from ..sources.scratch import materialise
 from .retrieval import B, K1, prefix_filter
 
 #: Chunks a block, buckets of terms, and the blocks that are scored first.
 BLOCK, BUCKETS, FIRST = 128, 64, 16
+#: A block of so many tokens takes no further chunk.
+TOKENS = 1 << 21
 #: So many chosen blocks at most are named in the filter of a scan; more are joined.
 NAMED = 2000
 
@@ -48,27 +56,86 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _term_counts(words: Column) -> Column:
-    """The different words of an array, each with how often it is there: runs of the sorted array."""
-    def runs(s: Column) -> Column:
-        first = F.filter(F.transform(s, lambda x, i: i), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return bind(first, lambda starts: F.transform(starts, lambda at, k: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(s)) - at).cast("int").alias("tf"))))
+def _words(chunks: DataFrame, keys: list[str], text: str, words: str | None) -> DataFrame:
+    """keys and the tokens of every chunk (none for a null text) as _t."""
+    return chunks.select(*keys, F.coalesce(tokens(F.col(text)) if words is None else F.col(words), F.array().cast("array<string>")).alias("_t"))
 
-    return bind(F.sort_array(words), runs)
 
+def _cuts(sizes: np.ndarray, most: int, limit: int) -> Iterator[tuple[int, int]]:
+    """First row and end of each block: `most` rows and `limit` tokens at most, or one row."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        last = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + limit, "right"))
+        end = min(max(first + 1, last), first + most)
+        yield first, end
+        first = end
 
-def _counted(chunks: DataFrame, keys: tuple[str, ...], text: str, words: str | None) -> DataFrame:
-    """keys, dl (number of tokens; none for a null text) and terms with their counts of every chunk."""
-    held = chunks.select(*keys, F.coalesce(tokens(F.col(text)) if words is None else F.col(words), F.array().cast("array<string>")).alias("_t"))
-    return held.select(*keys, F.size("_t").alias("dl"), _term_counts(F.col("_t")).alias("terms"))
 
+#: A slot, or a count, in the upper half of a number, and a count, or a length, in the lower.
+HALF = 32
+#: One term's row of a block: how many postings and tokens, the pairs of tf and dl that no other beats, and the postings as pairs of slot and tf.
+POSTED = "block bigint, term string, n int, tokens bigint, best array<bigint>, posted array<bigint>"
+_POSTED = [c.split()[0] for c in POSTED.split(", ")]
 
-def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (keys, dl, ...) with block and slot: a task's rows by length, BLOCK a block."""
-    number = F.monotonically_increasing_id()  # the upper bits are the task's number, the lower ones the row's in it
-    row = number.bitwiseAND((1 << 33) - 1)
-    placed = rows.sortWithinPartitions("dl", *keys)
-    return placed.withColumn("block", F.shiftright(number, 33) * (1 << 33) + F.floor(row / BLOCK)).withColumn("slot", (row % BLOCK).cast("int"))
+
+def _high(pair: Column) -> Column:
+    return F.shiftright(pair, HALF).cast("int")
+
+
+def _low(pair: Column) -> Column:
+    return pair.bitwiseAND((1 << HALF) - 1).cast("int")
+
+
+def _by_term(block: int, terms: pa.Array, code: np.ndarray, slot: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> list[pa.Array]:
+    """Columns of POSTED of one block's postings, which are in the order of their terms' codes."""
+    if not len(code):
+        return [pa.array([], t) for t in (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+    new = np.append(True, code[1:] != code[:-1])
+    first = np.flatnonzero(new)
+    bounds = np.append(first, len(code))
+    # by length, of equal ones the highest count first: a pair is kept that has more than all before it of its term
+    order = np.lexsort((-tf, dl, code))
+    above = (np.cumsum(new) - 1) * (int(tf.max()) + 1) + tf[order]
+    kept = np.append(True, above[1:] > np.maximum.accumulate(above)[:-1])
+    ends = np.append(0, np.cumsum(kept))[bounds]
+    lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((x.astype(np.int64) << HALF) | y)) for at, x, y in ((ends, tf[order][kept], dl[order][kept]), (bounds, slot, tf))]
+    return [pa.array(np.full(len(first), block)), terms.take(pa.array(code[first])), pa.array(np.diff(bounds).astype(np.int32)), pa.array(np.add.reduceat(tf, first).astype(np.int64)), *lists]
+
+
+def _blocked(chunks: DataFrame, keys: list[str], text: str, words: str | None) -> DataFrame:
+    """Of each task's chunks, by length, BLOCK a block: a row a chunk (keys, dl, block, slot), and a row a term and block (POSTED), whose slot is null.
+
+    A block is made whole in the task that has its chunks, so postings are
+    grouped without a shuffle.
+    """
+    most, limit, kinds = BLOCK, TOKENS, dict(chunks.dtypes)
+    names = [*keys, "dl", "slot", *_POSTED]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column("_t")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for first, end in _cuts(sizes, most, limit):
+                part, n = batch.slice(first, end - first), end - first
+                order = np.argsort(sizes[first:end], kind="stable")
+                dl, slot_of = sizes[first:end][order], np.empty(n, np.int64)
+                slot_of[order] = np.arange(n)
+                words = part.column("_t").flatten().dictionary_encode()
+                slot = np.repeat(slot_of, sizes[first:end])
+                pair, tf = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + slot, return_counts=True)
+                columns = _by_term(number, words.dictionary, pair // n, pair % n, tf, dl[pair % n])
+                m, at = len(columns[0]), pa.array(order)
+                types = [part.column(k).type for k in keys] + [pa.int32(), pa.int32()]
+                own = [part.column(k).take(at) for k in keys] + [pa.array(dl.astype(np.int32)), pa.array(np.arange(n, dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(n, number)), *[pa.nulls(n, c.type) for c in columns[1:]]], names=names)
+                if m:
+                    yield pa.RecordBatch.from_arrays([*[pa.nulls(m, t) for t in types], *columns], names=names)
+                number += 1
+
+    size = F.length(text) if words is None else F.size(words)
+    dealt = chunks.select(*keys, text if words is None else words).sortWithinPartitions(size, *keys)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", dl int, slot int, {POSTED}"
+    return _words(dealt, keys, text, words).mapInArrow(task, schema)
 
 
 def _built(rows: DataFrame, place: str) -> DataFrame:
@@ -78,51 +145,44 @@ def _built(rows: DataFrame, place: str) -> DataFrame:
 
 
 def _best_pairs(postings: Column) -> Column:
-    """The pairs of tf and dl that no posting beats by more tf in no more dl, or as much tf in less dl."""
+    """The pairs of tf and dl that no posting beats by more tf in no more dl, or as much tf in less dl; what _by_term finds for a block's terms at once, for one list."""
     ordered = F.array_sort(F.transform(postings, lambda x: F.struct(x["dl"].alias("dl"), (-x["tf"]).alias("less"))))
     start = F.array().cast("array<struct<tf:int,dl:int>>")
     return F.aggregate(ordered, start, lambda best, x: F.when((F.size(best) == 0) | (F.element_at(best, -1)["tf"] < -x["less"]), F.concat(best, F.array(F.struct((-x["less"]).alias("tf"), x["dl"].alias("dl"))))).otherwise(best))
 
 
-def _write(postings: DataFrame, chunks: DataFrame, path: str, name: str) -> None:
-    """Stores postings (term, block, slot, tf, dl) as one row a term and block, and the chunks (keys, dl, block, slot) that they are of."""
-    chunks.write.parquet(f"{path}/chunks/segment={name}")
-    # a slot and a count as one number; both lists of a group are filled row by row, so they are in one order
-    packed = F.shiftleft(F.col("slot").cast("bigint"), 32).bitwiseOR(F.col("tf").cast("bigint"))
-    rows = postings.groupBy("term", "block").agg(F.collect_list(packed).alias("p"), F.collect_list("dl").alias("dls"))
-    tfs = F.transform("p", lambda x: x.bitwiseAND((1 << 32) - 1).cast("int"))
-    rows = rows.select("term", "block", "dls", F.transform("p", lambda x: F.shiftright(x, 32).cast("int")).alias("slots"), tfs.alias("tfs"), _bucket(F.col("term")).alias("bucket"))
-    best = _best_pairs(F.zip_with("tfs", "dls", lambda t, d: F.struct(t.alias("tf"), d.alias("dl"))))
-    full = rows.select("term", "block", F.size("slots").alias("n"), F.aggregate("tfs", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("tokens"), best.alias("best"), "slots", "tfs", "bucket")
+def _write(rows: DataFrame, path: str, name: str) -> None:
+    """Stores rows of chunks (keys, dl, block, slot) and of terms (POSTED) in one pass; chunks are a bucket of their own."""
     # a bucket's blocks go to more tasks the more there are, so a frequent term is no one's alone
-    spread = max(1, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
-    dealt = full.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(spread))).sortWithinPartitions("bucket", "term", "block")
+    spread = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+    placed = rows.withColumn("bucket", F.when(F.col("slot").isNull(), _bucket(F.col("term"))).otherwise(F.lit(BUCKETS)))
+    dealt = placed.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(spread))).sortWithinPartitions("bucket", "term", "block")
     # small groups of rows, so that a scan for some blocks of a term passes over the others
-    dealt.write.partitionBy("bucket").option("parquet.block.size", 4 << 20).option("parquet.page.row.count.limit", 1000).parquet(f"{path}/blocks/segment={name}")
+    dealt.write.partitionBy("bucket").option("parquet.block.size", 4 << 20).option("parquet.page.row.count.limit", 1000).parquet(f"{path}/rows/segment={name}")
 
 
-def _segments(spark: SparkSession, path: str, entry: dict, table: str, schema: str) -> DataFrame:
-    """A table's rows of the listed segments, with the number of the commit that wrote each."""
+def _segments(spark: SparkSession, path: str, entry: dict, schema: str) -> DataFrame:
+    """Rows of the listed segments, with the number of the commit that wrote each."""
     names = [s["name"] for s in entry["segments"]]
     if not names:
         return spark.createDataFrame([], schema).withColumn("number", F.lit(0))
-    rows = spark.read.schema(schema).option("basePath", f"{path}/{table}").parquet(*[f"{path}/{table}/segment={n}" for n in names])
+    rows = spark.read.schema(schema).option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/segment={n}" for n in names])
     numbers = F.create_map(*[F.lit(x) for s in entry["segments"] for x in (s["name"], s["number"])])
     return rows.withColumn("number", numbers[F.col("segment")])
 
 
 def _blocks(spark: SparkSession, path: str, entry: dict) -> DataFrame:
-    return _segments(spark, path, entry, "blocks", "term string, block bigint, n int, tokens bigint, best array<struct<tf: int, dl: int>>, slots array<int>, tfs array<int>, segment string, bucket int")
+    return _segments(spark, path, entry, f"{POSTED}, segment string, bucket int").where(F.col("bucket") < BUCKETS)
 
 
 def _chunks(spark: SparkSession, path: str, entry: dict) -> DataFrame:
     kinds = ", ".join(f"`{k}` {t}" for k, t in entry["keys"] or [["source", "string"], ["ord", "bigint"]])
-    return _segments(spark, path, entry, "chunks", f"{kinds}, dl int, block bigint, slot int, segment string")
+    return _segments(spark, path, entry, f"{kinds}, dl int, block bigint, slot int, segment string, bucket int").where(F.col("bucket") == BUCKETS).drop("bucket")
 
 
 def _postings(blocks: DataFrame) -> DataFrame:
     """segment, block, slot, term and tf of rows of blocks."""
-    return blocks.select("segment", "block", "term", F.inline(F.arrays_zip("slots", "tfs"))).withColumnsRenamed({"slots": "slot", "tfs": "tf"})
+    return blocks.select("segment", "block", "term", F.explode("posted").alias("p")).select("segment", "block", _high(F.col("p")).alias("slot"), "term", _low(F.col("p")).alias("tf"))
 
 
 def _dead(spark: SparkSession, path: str, entry: dict) -> DataFrame | None:
@@ -159,23 +219,64 @@ def add(chunks: DataFrame, path: str, keys: tuple[str, ...] = ("source", "ord"),
     listed = [[k, kinds[k]] for k in keys]
     if before["keys"] and before["keys"] != listed:
         raise ValueError(f"the index has the keys {before['keys']}, the batch {listed}")
-    place = f"{path}/building/{name}"
-    built = _built(_numbered(_counted(chunks, keys, text, words), list(keys)), place)
-    _write(built.select("block", "slot", "dl", F.inline("terms")), built.select(*keys, "dl", "block", "slot"), path, name)
-    totals = spark.read.schema("dl int").parquet(f"{path}/chunks/segment={name}").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
-    Files(spark, path).delete(f"building/{name}")
+    _write(_blocked(chunks, list(keys), text, words), path, name)
+    totals = _chunks(spark, path, {"keys": listed, "segments": [{"name": name, "number": 0}]}).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
     segment = {"name": name, "number": before["number"] + 1, "n": totals.n, "tokens": totals.tokens, "ghosts": False}
     gone = []
     if replaced is not None:
         place = f"{path}/replaced/{name}"
-        counted = materialise(_counted(replaced, keys, text, words))
-        counted.select(F.inline("terms")).groupBy("term").agg(F.count("*").alias("n")).write.parquet(f"{place}/terms")
+        counted = materialise(_words(replaced, list(keys), text, words).select(*keys, F.size("_t").alias("dl"), F.array_distinct("_t").alias("terms")))
+        counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).write.parquet(f"{place}/terms")
         counted.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys]).write.parquet(f"{place}/keys")
         off = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
         gone = [{"name": name, "number": segment["number"], "n": off.n, "tokens": off.tokens}]
     return CommitLog(spark, path).append(before["number"], {"keys": listed, "segments": [*before["segments"], segment], "replaced": [*before["replaced"], *gone]})
 
 
+def _packed(chunks: DataFrame) -> DataFrame:
+    """number, was_block, block and before (the slot that its first chunk gets) of every old block with chunks (number, was_block, dl): blocks of like lengths share a new one as far as BLOCK and TOKENS let them."""
+    most, limit = BLOCK, TOKENS
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 33, 0, 0
+        for batch in batches:
+            block, before = [], []
+            for n, many in zip(batch.column("n").to_pylist(), batch.column("tokens").to_pylist()):
+                if held and (held + n > most or size + many > limit):
+                    number, held, size = number + 1, 0, 0
+                block.append(number)
+                before.append(held)
+                held, size = held + n, size + many
+            yield pa.RecordBatch.from_arrays([batch.column("number"), batch.column("was_block"), pa.array(block, pa.int64()), pa.array(before, pa.int32())], names=["number", "was_block", "block", "before"])
+
+    each = chunks.groupBy("number", "was_block").agg(F.count("*").alias("n"), F.sum("dl").alias("tokens"), F.min("dl").alias("least"))
+    return each.sortWithinPartitions("least", "number", "was_block").mapInArrow(task, "number int, was_block bigint, block bigint, before int")
+
+
+def _moved(postings: pa.Table, chunks: pa.Table) -> pa.Table:
+    """POSTED of a new block, from the rows of the old blocks in it (number, was_block, term, posted) and its chunks (number, was_block, was_slot, slot, dl); postings of other chunks are dropped."""
+    olds = list(zip(chunks["number"].to_pylist(), chunks["was_block"].to_pylist()))
+    nth = {old: i for i, old in enumerate(dict.fromkeys(olds))}
+    flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    posted = flat(postings["posted"])
+    pair = posted.flatten().to_numpy(zero_copy_only=False)
+    was, tf = pair >> HALF, pair & ((1 << HALF) - 1)
+    from_slot = chunks["was_slot"].to_numpy()
+    width = 1 + max(int(was.max(initial=0)), int(from_slot.max(initial=0)))
+    at = np.array([nth[old] for old in olds], np.int64) * width + from_slot
+    to, length = np.full(len(nth) * width, -1, np.int64), np.zeros(len(nth) * width, np.int64)
+    to[at], length[at] = chunks["slot"].to_numpy(), chunks["dl"].to_numpy()
+    own = np.array([nth[old] for old in zip(postings["number"].to_pylist(), postings["was_block"].to_pylist())], np.int64)
+    n = pc.list_value_length(posted).to_numpy(zero_copy_only=False)
+    place = np.repeat(own, n) * width + was
+    terms = flat(postings["term"]).dictionary_encode()
+    code, slot = np.repeat(terms.indices.to_numpy(zero_copy_only=False).astype(np.int64), n), to[place]
+    some = np.flatnonzero(slot >= 0)
+    some = some[np.lexsort((slot[some], code[some]))]
+    block = chunks["block"][0].as_py() if len(chunks) else 0
+    return pa.Table.from_arrays(_by_term(block, terms.dictionary, code[some], slot[some], tf[some], length[place[some]]), names=_POSTED)
+
+
 def merge(spark: SparkSession, path: str, largest: int | None = None) -> int:
     """Writes all segments of `largest` chunks at most (None: all) as one, without replaced postings; returns the commit's number.
 
@@ -193,12 +294,14 @@ def merge(spark: SparkSession, path: str, largest: int | None = None) -> int:
     name = f"s{fresh_name()}"
     held = _alive(_chunks(spark, path, entry | {"segments": chosen}), _dead(spark, path, entry), keys)
     place = f"{path}/building/{name}"
-    # chunks of all segments are dealt anew, and keep where they were beside where they go
-    were_at = held.select(*keys, "dl", "segment", F.col("block").alias("was_block"), F.col("slot").alias("was_slot")).repartition(*keys)
-    built = _built(_numbered(were_at, keys), place)
-    old = _postings(_blocks(spark, path, entry | {"segments": chosen})).withColumnsRenamed({"block": "was_block", "slot": "was_slot"})
-    moved = old.join(built.select("segment", "was_block", "was_slot", "block", "slot", "dl"), ["segment", "was_block", "was_slot"])
-    _write(moved.select("term", "block", "slot", "tf", "dl"), built.select(*keys, "dl", "block", "slot"), path, name)
+    slots = Window.partitionBy("number", "was_block").orderBy("was_slot")
+    old = held.select(*keys, "dl", "number", F.col("block").alias("was_block"), F.col("slot").alias("was_slot"))
+    placed = materialise(_packed(old))
+    built = _built(old.join(placed, ["number", "was_block"]).withColumn("slot", F.col("before") + F.row_number().over(slots) - 1).drop("before"), place)
+    rows = _blocks(spark, path, entry | {"segments": chosen}).withColumnRenamed("block", "was_block").select("number", "was_block", "term", "posted")
+    moving = rows.join(placed.select("number", "was_block", "block"), ["number", "was_block"])
+    moved = moving.groupBy("block").cogroup(built.select("block", "number", "was_block", "was_slot", "slot", "dl").groupBy("block")).applyInArrow(_moved, POSTED)
+    _write(built.select(*keys, "dl", "block", "slot").unionByName(moved, True), path, name)
     whole = len(chosen) == len(entry["segments"])
     n, size = sum(s["n"] for s in chosen), sum(s["tokens"] for s in chosen)
     if whole:
@@ -240,7 +343,7 @@ def top(spark: SparkSession, path: str, query: str | list[str], k: int = 5, pref
     idf = F.coalesce(*[F.when(F.col("term") == t, F.log(F.lit(1 + (n - df[t] + 0.5) / (df[t] + 0.5)))) for t in sorted(df)], F.lit(0.0))
     part = lambda tf, dl: idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(float(average or 1.0))))
 
-    highest = F.array_max(F.transform("best", lambda x: part(x["tf"], x["dl"])))
+    highest = F.array_max(F.transform("best", lambda x: part(_high(x), _low(x))))
     bounds = materialise(own.select("segment", "block", highest.alias("bound")).groupBy("segment", "block").agg(F.sum("bound").alias("bound"), F.count("*").alias("rows")))
     total = bounds.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
 

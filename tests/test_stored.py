@@ -91,6 +91,30 @@ def test_best_pairs(spark):
         assert sorted(map(tuple, got)) == sorted(best)
 
 
+def test_blocks_are_made_in_their_own_task_and_move_as_such(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "BLOCK", 8)
+    monkeypatch.setattr(segments, "TOKENS", 300)  # the longest chunks share no block, as the limit of tokens comes first
+    rows = some_rows(150, 8)
+    made = segments._blocked(chunks(spark, rows), ["source", "ord"], "text", None)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    held = made.where("slot IS NOT NULL").groupBy("block").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"), F.max("slot").alias("last")).collect()
+    assert sum(b.n for b in held) == len(rows) and all(b.n == b.last + 1 <= 8 and (b.n == 1 or b.dl <= 300) for b in held)
+    best = made.where("slot IS NULL").select("posted", "best", "block").collect()
+    length = {(r.block, r.slot): r.dl for r in made.where("slot IS NOT NULL").select("block", "slot", "dl").collect()}
+    for r in best:
+        every = {(x & 0xFFFFFFFF, length[r.block, x >> 32]) for x in r.posted}
+        assert {(x >> 32, x & 0xFFFFFFFF) for x in r.best} == {(t, d) for t, d in every if not any((u >= t and e <= d) and (u, e) != (t, d) for u, e in every)}
+    path, more = f"file://{tmp_path}/index", some_rows(3, 9)
+    segments.add(chunks(spark, rows), path)
+    segments.add(chunks(spark, more), path, replaced=chunks(spark, rows[:100]))
+    segments.merge(spark, path)
+    same_hits(spark, path, rows[100:] + more)
+    left = segments._chunks(spark, path, segments._latest(spark, path)).groupBy("block").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"), F.max("slot").alias("last")).collect()
+    assert sum(b.n for b in left) == len(rows) - 100 + len(more) and all(b.n == b.last + 1 <= 8 for b in left)
+    # what one old block has left joins another's: two blocks of a task that follow one another would not fit in one
+    assert len(left) < len(held)
+
+
 def test_a_writer_that_was_overtaken(spark, tmp_path, monkeypatch):
     path = f"file://{tmp_path}/index"
     segments.add(chunks(spark, some_rows(10, 5)), path)
