@@ -3,6 +3,8 @@
 import difflib
 import random
 
+import numpy as np
+
 from dossier.operators import graph, matching, retrieval
 from dossier.plans import registry
 
@@ -20,6 +22,17 @@ def test_matching_is_difflib():
     assert matching.ratios(pairs) == matching.ratios(pairs, 500) == expected
 
 
+def test_shared_keys_are_numbered_by_one_sort():
+    r = np.random.default_rng(5)
+    for high in (12, 1 << 40, 1 << 62):  # small keys, and such as do not fit beside their places
+        key = r.integers(0, 12, 300) * (high // 12)
+        left = r.random(300) < 0.3
+        some, number = matching._shared(key, left)
+        both = sorted(set(key[left].tolist()) & set(key[~left].tolist()))
+        assert some.tolist() == [k in both for k in key.tolist()] and number.tolist() == [both.index(k) for k in key[some].tolist()]
+    assert [len(x) for x in matching._shared(np.empty(0, np.int64), np.empty(0, bool))] == [0, 0]
+
+
 def test_disagreement_of_all_pairs(spark, tmp_path):
     texts = ["Amount 500,000 yuan", "x" * 700 + "the quick brown fox 12 " * 5, "the quick red fox 13 " * 60, "", "short"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
