@@ -167,6 +167,19 @@ def test_a_stream_of_changes_with_a_restart(spark, tmp_path):
     assert take() == 1 and {x.source: x.text for x in snapshots.read(spark, f"{place}/table").collect()} == {"a": "four", "b": "three", "c": "content"}
 
 
+def test_what_is_known_of_sources_lies_in_layers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "LAYERS", 2)
+    place, day = f"file://{tmp_path}", "2024-01-0{} 00:00:00".format
+    for k, rows in enumerate(([("a", day(4), "one"), ("b", day(1), "x")], [("b", day(2), "y")], [("a", day(3), "late"), ("b", day(3), "y"), ("c", day(1), "z")])):
+        spark.createDataFrame(rows, "source string, modified string, text string").withColumn("modified", F.to_timestamp("modified")).coalesce(1).write.parquet(f"{place}/in/drop={k}")
+        assert changes.ingest(spark, f"{place}/in", f"{place}/table", f"{place}/checkpoint", buckets=4) == 1
+    assert sorted((x.source, x.text) for x in snapshots.read(spark, f"{place}/table").collect()) == [("a", "one"), ("b", "y"), ("c", "z")]
+    # the second layer has all that was known; the third batch, and if it is run again, reads that one only
+    known = lambda n: sorted((x.source, x.modified.day) for x in changes._known(spark, f"{place}/checkpoint", n).collect())
+    assert changes._known(spark, f"{place}/checkpoint", 0) is None and known(2) == [("a", 4), ("b", 2)]
+    assert known(3) == [("a", 4), ("b", 2), ("b", 3), ("c", 1)]
+
+
 def test_windows_go_on_after_a_restart(spark, tmp_path):
     place = f"file://{tmp_path}"
     schema = "event_id bigint, ts timestamp, event_type string, value double"
