@@ -54,3 +54,41 @@ def test_attention_fits_all_sizes_one_way(spark, monkeypatch):
         monkeypatch.setattr(attention, "SHARD_BYTES", n)
         got.append([r.score for r in attention.score(rows, rows).orderBy("doc_id").collect()])
     assert np.allclose(got[0], got[1], rtol=1e-6)
+
+
+def test_places_by_hash():
+    """Lookups by hash find what a search finds, keys that share a slot included."""
+    r = np.random.default_rng(1)
+    for n in (0, 1, 7, 20_000):
+        keys = np.unique(r.integers(-(1 << 63), (1 << 63) - 1, n))
+        wanted = np.concatenate([keys, r.integers(-(1 << 63), (1 << 63) - 1, 500), np.zeros(1, np.int64)])
+        places = attention.Places(keys)
+        (at, there), (at_too, there_too) = places.find(wanted), attention.find(keys, wanted)
+        assert (there == there_too).all() and (at[there] == at_too[there]).all() and there[: len(keys)].all()
+    assert places.shared.any()
+
+
+def test_scores_are_those_of_the_plain_model():
+    """Tables, reused arrays and products over all windows change nothing: scores and losses are those of a softmax window by window."""
+    r = np.random.default_rng(5)
+    model = attention.Model.new(r.dirichlet(np.ones(attention.CLASSES)))
+    model.p = {k: (v + 0.4 * r.standard_normal(v.shape)).astype(np.float32) for k, v in model.p.items()}
+    x, y = r.integers(3, attention.ROWS, (150, attention.WIDTH)), r.integers(0, attention.CLASSES, (150, attention.STRIDE))
+    x[::5, : attention.STRIDE], x[::5, attention.STRIDE], x[2::5, 27:], y[2::5, 11:] = attention.PAD, attention.BEGIN, attention.PAD, -1
+    p, want = {k: v.astype(float) for k, v in model.p.items()}, np.zeros(y.shape)
+    for i, row in enumerate(x):
+        for j in range(attention.STRIDE):
+            seen = [c for c in range(attention.STRIDE + j + 1) if row[c] != attention.PAD]
+            if y[i, j] >= 0:
+                own, e = p["e"][row[attention.STRIDE + j]], p["e"][row[seen]]
+                a = np.exp((e @ p["k"]) @ (own @ p["q"]) / attention.DEPTH**0.5 + p["near"][attention.STRIDE + j - np.array(seen)])
+                logits = a @ (e @ p["v"]) / a.sum() @ p["o"] + own @ p["h"] + p["b"]
+                want[i, j] = logits[y[i, j]] - np.log(np.exp(logits).sum())
+    got = model.log10(x, y, model.tables()) * np.log(10)
+    assert np.allclose(got[y >= 0], want[y >= 0], atol=1e-4)
+    assert np.isclose(model.step(x, y)[0], -want[y >= 0].mean(), atol=1e-4)
+    assert model.log10(x[:7], y[:7], model.tables()).tolist() == model.log10(x, y, model.tables(), 7)[:7].tolist()
+    fitted = attention.Fit(model, 0.01)
+    first = model.step(x, y)[0]
+    fitted.run(x, y)
+    assert model.step(x, y)[0] < first and all(np.shares_memory(z, fitted.all) for z in model.p.values())
