@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import ANCHOR, DATE, WHITE, WIKILINK, aliases, bind, date_key, evidence_norm, fragments, lexical_path, link_target, posix, provenance_fields, strip
-from ..sources.scratch import materialise
+from ..sources.scratch import by_size, materialise
 from .offsets import contexts
 from .scans import last_known
 
@@ -69,7 +69,9 @@ def check_anchors(found: DataFrame, sources: DataFrame, root: str = "_md") -> Da
     if "quality" not in sources.columns:
         sources = sources.withColumn("quality", F.lit(None).cast("string"))
     located = found.withColumn("_path", lexical_path(F.col("rel")))
-    wanted = sources.join(located.select(F.col("_path").alias("rel")).distinct(), "rel", "left_semi")  # only named bodies are normalised and sent
+    # texts are dealt once, to so many tasks that what one sorts does not grow with them
+    paths = located.select(F.col("_path").alias("rel")).distinct()
+    wanted = by_size(sources, "text", "rel").join(paths, "rel", "left_semi")  # only named bodies are normalised and sent
     bodies = wanted.select(F.col("rel").alias("_rel"), evidence_norm(F.col("text")).alias("_body"), "quality")
     named = located.join(bodies, F.col("_path") == F.col("_rel"), "left")
     parts = F.filter(F.transform(fragments(F.col("snippet")), evidence_norm), lambda x: x != "")
@@ -200,7 +202,7 @@ def bare_lines(pages: DataFrame, allow_navigation: bool = False, lines: DataFram
     labels, table heads, anchored lines with nothing after the anchor but
     punctuation, rows of links (if allowed), and the not-found sentence.
     """
-    lines = (numbered_lines(pages) if lines is None else lines.select("page", "line_no", "line")).withColumn("s", F.btrim("line", F.lit(" \t")))
+    lines = by_size(numbered_lines(pages) if lines is None else lines.select("page", "line_no", "line"), "line", "page").withColumn("s", F.btrim("line", F.lit(" \t")))
     order = Window.partitionBy("page").orderBy("line_no")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     fence_end = F.min(F.when((F.col("line_no") > 1) & (F.col("s") == "---"), F.col("line_no"))).over(Window.partitionBy("page"))

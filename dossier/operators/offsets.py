@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import EVIDENCE_DROP, EVIDENCE_FROM, EVIDENCE_TO, WHITE, bind, evidence_norm, strip
+from ..sources.scratch import by_size
 
 #: Characters of which the normal form has nothing: those that are dropped, and those that are mapped to such.
 DROPPED = EVIDENCE_DROP + "".join(a for a, b in zip(EVIDENCE_FROM, EVIDENCE_TO) if b in EVIDENCE_DROP)
@@ -59,7 +60,7 @@ def contexts(pairs: DataFrame, sources: DataFrame, window: int = 120) -> DataFra
     or the fragment is not in it.  Only sources that a pair names are
     normalised, each once; a text meets its pairs in one join and is cut there.
     """
-    named = sources.select(F.col("rel").alias("_rel"), "text").join(pairs.select(F.col("source").alias("_rel")).distinct(), "_rel", "left_semi")
+    named = by_size(sources.select(F.col("rel").alias("_rel"), "text"), "text", "_rel").join(pairs.select(F.col("source").alias("_rel")).distinct(), "_rel", "left_semi")
     ready = named.select("_rel", F.col("text").alias("_text"), evidence_norm(F.col("text")).alias("_body"), stretches(F.col("text")).alias("_lengths"))
     joined = pairs.join(ready, F.col("source") == F.col("_rel"), "left").withColumn("_wanted", evidence_norm(longest_fragment(F.coalesce("quote", F.lit("")))))
     at = F.when(F.col("_wanted") != "", F.call_function("locate", F.col("_wanted"), F.col("_body"), F.lit(1)) - 1)

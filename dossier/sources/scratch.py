@@ -6,7 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Bytes that a task sorts: those of a text column, and of whatever else is in a row.
+TASK_BYTES, ROW_BYTES = 1 << 25, 128
 _own: dict[str, str] = {}
 
 
@@ -23,3 +26,10 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def by_size(df: DataFrame, text: str, *keys: str) -> DataFrame:
+    """df dealt by keys to the session's number of tasks, or to more where one would sort over TASK_BYTES: tables that grow make more tasks, not larger ones."""
+    n = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(ROW_BYTES).cast("bigint"))).first()[0] or 0
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-n // TASK_BYTES)), *keys)

@@ -92,3 +92,27 @@ def test_an_index_that_is_kept(spark, tmp_path):
     assert indexing.repair(spark, out).first().in_sync
     hits = retrieval.hybrid_search(now, "river", embedding.HashEmbedder().embed_query("river"), 2, index=f"{out}/index", parents=snapshots.read(spark, f"{out}/parents")).collect()
     assert len(hits) == 2 and all(r.parent_text for r in hits)
+
+
+def test_larger_tables_make_more_tasks(spark, monkeypatch):
+    """Texts of sources and lines of pages are dealt by their bytes, not to the session's number of tasks alone; the rows stay the same."""
+    from dossier.sources import scratch
+
+    a = "〔来源: _md/{}：「{}」〕"
+    pages = spark.createDataFrame([(f"p{i}", f"# p{i}\n付款" + a.format(i, "word " + str(i if i % 3 else "no")) + f"\n裸 {i}\n\n```\nx") for i in range(60)], "page string, text string")
+    sources = spark.createDataFrame([(f"_md/{i}", None if i == 7 else f"word {i} " * 9) for i in range(55)], "rel string, text string")
+    violations = lambda: (gates.check_anchors(gates.anchors(pages), sources), gates.bare_lines(pages))
+    rows = lambda found: [sorted(map(tuple, x.collect())) for x in found]
+    tasks = lambda found: [x.rdd.getNumPartitions() for x in found]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = rows(violations())
+        n_bytes = sum(scratch.ROW_BYTES + len(r.text or "") for r in sources.collect())
+        monkeypatch.setattr(scratch, "TASK_BYTES", 1000)
+        found = violations()
+        assert tasks(found)[0] == -(-n_bytes // 1000) and tasks(found)[1] > 30
+        assert rows(found) == before and len(before[0]) == 24 and len(before[1]) > 60
+        assert scratch.by_size(sources.where("false"), "text", "rel").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
