@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dossier.llm import bpe, decontaminate, jaccard, pii, quality
 from dossier.llm.queries import vocabulary
@@ -50,11 +51,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     labels = jaccard.join(docs, SHINGLE, PERCENT)
     first = labels.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    left = docs.join(first, docs["doc_id"].eqNullSafe(first["stays"]), "left_semi")
     key = _row(docs)
-    again = _keyed(left).select(key, F.length(F.trim(F.coalesce("text", F.lit("")))).alias("filled")).where("filled > 0").groupBy(key).count().where("count > 1").select(key)
-    repeated = _keyed(left).join(again, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
-    return _keyed(left).join(again, key, "left_anti").select(*docs.columns).unionByName(repeated)
+    at, null = f"{key}_at", f"{key}_null"  # never null, so that texts are shuffled once, for the join and the repeated rows alike
+    by_id = lambda rows, column: rows.withColumns({at: F.coalesce(column, F.lit(0)), null: F.col(column).isNull()})
+    left = by_id(_keyed(docs), "doc_id").join(by_id(first, "stays"), [at, null], "left_semi")
+    nth = F.row_number().over(Window.partitionBy(at, null, key).orderBy(key))
+    filled = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
+    return left.withColumn("nth_" + key, nth).where((F.col("nth_" + key) == 1) | ~filled).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
